@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 WIDTH = 1 << 16          # rows of a unique integer order column that share one bucket
-HASH_DIGITS = 3          # hex digits of an md5 order key that form one bucket
+HASH_DIGITS = 4          # hex digits of an md5 order key that form one bucket
 SALTS = 32
 
 
