@@ -14,6 +14,15 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column captured by a lambda is evaluated again for every element, which would make a
+    per-pixel function quadratic; a lambda variable is only read.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(a: Column | str) -> Column:
     return _c(a).cast("array<double>")
 
@@ -53,11 +62,13 @@ def union_masks(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: F.greatest(x, y))
 
 
+def _rows(a: Column, h: Column, w: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.slice(a, (y * w + 1).cast("int"), w))
+
+
 def image_rows(a: Column | str, h: Column | str, w: Column | str) -> Column:
     """``array<array<..>>``: one inner array per image row."""
-    w = _c(w)
-    return F.transform(F.sequence(F.lit(0), _c(h) - 1),
-                       lambda y: F.slice(_c(a), (y * w + 1).cast("int"), w))
+    return let(_c(a), lambda v: _rows(v, _c(h), _c(w)))
 
 
 def flip_horizontal(a: Column | str, h: Column | str, w: Column | str) -> Column:
@@ -71,51 +82,58 @@ def flip_vertical(a: Column | str, h: Column | str, w: Column | str) -> Column:
 def crop(a: Column | str, w: Column | str, y0: Column, y1: Column, x0: Column, x1: Column) -> Column:
     """Half-open window ``[y0, y1) x [x0, x1)`` of a row-major image."""
     w = _c(w)
-    return F.flatten(F.transform(
+    return let(_c(a), lambda v: F.flatten(F.transform(
         F.sequence(y0, y1 - 1),
-        lambda y: F.slice(_c(a), (y * w + x0 + 1).cast("int"), (x1 - x0).cast("int"))))
+        lambda y: F.slice(v, (y * w + x0 + 1).cast("int"), (x1 - x0).cast("int")))))
 
 
 def gamma_curve(a: Column | str, gamma: Column) -> Column:
     """Power curve applied on the slice's own min-max range; the range itself is kept."""
-    a = doubles(a)
-    lo, hi = F.array_min(a), F.array_max(a)
-    span = F.greatest(hi - lo, F.lit(1e-6))
-    return F.transform(a, lambda v: F.pow(clip((v - lo) / span, 0.0, 1.0), gamma) * span + lo)
+    def curve(v):
+        lo, hi = F.array_min(v), F.array_max(v)
+        args = F.struct(lo.alias("lo"), F.greatest(hi - lo, F.lit(1e-6)).alias("span"), gamma.alias("g"))
+        return let(args, lambda p: F.transform(
+            v, lambda e: F.pow(clip((e - p["lo"]) / p["span"], 0.0, 1.0), p["g"]) * p["span"] + p["lo"]))
+    return let(doubles(a), curve)
 
 
 def percentile_of(a: Column | str, q: float) -> Column:
     """Exact percentile of one array with linear interpolation between order statistics."""
-    s = F.array_sort(doubles(a))
-    pos = F.lit(float(q)) * (F.size(s) - 1)
-    lo = F.floor(pos).cast("int")
-    hi = F.ceil(pos).cast("int")
-    a0, a1 = F.get(s, lo), F.get(s, hi)
-    return a0 + (a1 - a0) * (pos - lo)
+    def pick(s):
+        pos = F.lit(float(q)) * (F.size(s) - 1)
+        lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
+        return F.get(s, lo) + (F.get(s, hi) - F.get(s, lo)) * (pos - lo)
+    return let(F.array_sort(doubles(a)), pick)
 
 
 def display_bytes(a: Column | str, lo: Column, hi: Column) -> Column:
     """Stretch ``[lo, hi]`` to 0..255 and truncate."""
-    span = F.greatest(hi - lo, F.lit(1e-6))
-    return F.transform(doubles(a), lambda v: (clip((v - lo) / span, 0.0, 1.0) * 255).cast("int"))
+    args = F.struct(lo.alias("lo"), F.greatest(hi - lo, F.lit(1e-6)).alias("span"))
+    return let(args, lambda p: F.transform(
+        doubles(a), lambda v: (clip((v - p["lo"]) / p["span"], 0.0, 1.0) * 255).cast("int")))
 
 
 def standard_scores(a: Column | str, lo: Column, hi: Column, mean: Column, std: Column) -> Column:
-    return F.transform(doubles(a), lambda v: (clip(v, lo, hi) - mean) / (std + F.lit(1e-8)))
+    """``(clip(v) - mean) / (std + 1e-8)`` for every pixel."""
+    args = F.struct(lo.alias("lo"), hi.alias("hi"), mean.alias("m"), (std + F.lit(1e-8)).alias("s"))
+    return let(args, lambda p: F.transform(
+        doubles(a), lambda v: (clip(v, p["lo"], p["hi"]) - p["m"]) / p["s"]))
 
 
 def bounds(mask: Column | str, w: Column | str) -> Column:
     """Inclusive ``(y0, x0, y1, x1)`` of the positive pixels of one slice, null when empty."""
     w = _c(w)
-    n = F.size(_c(mask))
-    on = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(_c(mask), i) > 0)
-    cols = F.transform(on, lambda i: F.pmod(i, w))
-    return F.when(F.size(on) > 0, F.struct(
-        F.floor(F.get(on, F.lit(0)) / w).cast("int").alias("y0"),
-        F.array_min(cols).cast("int").alias("x0"),
-        F.floor(F.element_at(on, -1) / w).cast("int").alias("y1"),
-        F.array_max(cols).cast("int").alias("x1"),
-    ))
+    on = F.array_compact(F.transform(_c(mask), lambda v, i: F.when(v > 0, i)))
+
+    def box(at):
+        return F.when(F.size(at) > 0, let(
+            F.transform(at, lambda i: F.pmod(i, w)),
+            lambda cols: F.struct(
+                F.floor(F.get(at, F.lit(0)) / w).cast("int").alias("y0"),
+                F.array_min(cols).cast("int").alias("x0"),
+                F.floor(F.element_at(at, -1) / w).cast("int").alias("y1"),
+                F.array_max(cols).cast("int").alias("x1"))))
+    return let(on, box)
 
 
 def box_xywh(b: Column) -> Column:
