@@ -18,14 +18,14 @@ class VolumeContractError(ValueError):
     """A volume breaks a contract the later steps rely on."""
 
 
-def _bad_number(v: Column) -> Column:
+def bad_number(v: Column) -> Column:
     return F.isnan(v) | (F.abs(v) >= F.lit(HALF_FLOAT_LIMIT))
 
 
 def case_checks(slices: DataFrame) -> DataFrame:
     """Everything the rules need, per case, in one pass: arrays are reduced inside their row."""
     px = A.doubles("pixels")
-    finite = F.filter(px, lambda v: ~_bad_number(v))
+    finite = F.filter(px, lambda v: ~bad_number(v))
     odd = F.exists("mask", lambda m: (m != 0) & (m != 1))
     s = slices.select(
         "case_id", "z", "h", "w", F.size("pixels").alias("np"), F.size("mask").alias("nm"),

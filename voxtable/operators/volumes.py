@@ -6,7 +6,7 @@ Pixel arrays stay in their slice row.  Only narrow per-case numbers are joined b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -95,25 +95,31 @@ def box_runs(boxes: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf("array<int>")
-def _paint(area: pd.Series, width: pd.Series, ys: pd.Series, x0s: pd.Series, x1s: pd.Series) -> pd.Series:
+def _paint(h: pd.Series, w: pd.Series, ys: pd.Series, x0s: pd.Series, x1s: pd.Series) -> pd.Series:
     out = []
-    for n, w, y, a, b in zip(area, width, ys, x0s, x1s):
-        mask = np.zeros(n, dtype=np.int32)
+    for rows, cols, y, a, b in zip(h, w, ys, x0s, x1s):
+        mask = np.zeros((rows, cols), dtype=np.int32)
         if y is not None:
             for row, lo, hi in zip(y, a, b):
-                mask[row * w + lo: row * w + hi] = 1
-        out.append(mask)
+                if row < rows:
+                    mask[row, lo:hi] = 1
+        out.append(mask.ravel())
     return pd.Series(out)
 
 
+def paint_runs(slices: DataFrame, runs: DataFrame, on: Sequence[str], spread: Sequence[str] | None = None,
+               out: str = "mask") -> DataFrame:
+    """Masks from row runs keyed by ``on``; give ``spread`` when many slices share one key."""
+    per_key = runs.groupBy(*on).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_r"))
+    joined = spread_join(slices, per_key, on, spread, "left") if spread else slices.join(per_key, list(on), "left")
+    return joined.withColumn(out, _paint(F.col("h").cast("int"), F.col("w").cast("int"),
+                                         F.col("_r.y"), F.col("_r.x0"), F.col("_r.x1"))).drop("_r")
+
+
 def paint_boxes(slices: DataFrame, boxes: DataFrame, out: str = "mask") -> DataFrame:
     """Mask of every slice: 1 where the pixel lies in any box of its case."""
     runs = box_runs(boxes, case_table(slices.select("case_id", "h", "w")))
-    per_slice = runs.groupBy("case_id", "z").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_r"))
-    joined = slices.join(per_slice, ["case_id", "z"], "left")
-    return joined.withColumn(out, _paint(
-        (F.col("h") * F.col("w")).cast("int"), F.col("w").cast("int"),
-        F.col("_r.y"), F.col("_r.x0"), F.col("_r.x1"))).drop("_r")
+    return paint_runs(slices, runs, ["case_id", "z"], out=out)
 
 
 def voxels_in_boxes(voxels: DataFrame, boxes: DataFrame, cases: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Mapping
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtable.functions import arrays as A
 from voxtable.operators import quality as Q
@@ -18,24 +19,55 @@ from voxtable.session import path_exists
 MANIFEST = "manifest.json"
 BANK_INDEX = "bank_index"
 BUCKETS = 64
+CONTRACT = "volume contract: "
+
+
+def guarded(slices: DataFrame) -> DataFrame:
+    """Slices whose pixels stop the job, naming the case, when a slice breaks a contract.
+
+    The checks ride along with the write, so an expensive preparation runs once and a broken
+    slice aborts the job before any file is committed.
+    """
+    n = F.size("pixels")
+    bad = F.size(F.filter(A.doubles("pixels"), Q.bad_number))
+
+    def stop(*message) -> Column:
+        text = F.concat(F.lit(CONTRACT), F.col("case_id"), F.lit(": "),
+                        *[F.lit(m) if isinstance(m, str) else m.cast("string") for m in message])
+        return F.raise_error(text).cast("array<float>")
+    checked = (
+        F.when(n != F.col("h") * F.col("w"), stop("volume must be 3D, a slice holds ", n, " pixels"))
+        .when(F.size("mask") != n, stop("mask shape does not match volume shape"))
+        .when(n == 0, stop("volume has an empty axis"))
+        .when(bad > 0, stop("slice ", F.col("z"), " holds ", bad, " non-finite value(s)"))
+        .when(F.exists("mask", lambda m: (m != 0) & (m != 1)),
+              stop("mask must be binary, found values ", F.array_sort(F.array_distinct("mask"))))
+        .otherwise(F.col("pixels").cast("array<float>")))
+    return slices.withColumn("pixels", checked)
 
 
 def write_volumes(slices: DataFrame, path: str, crop: bool = True, mode: str = "error",
                   margin: int = 16) -> DataFrame:
-    """Crop, cast, check and write slices; returns the warnings.
+    """Crop, check, cast and write slices; returns the warnings found in what was written.
 
-    Nothing is written when a contract is broken.  Files are grouped by a hash bucket of
-    ``(case_id, z)`` runs, so a deep case is spread over several files.
+    Raises :class:`~voxtable.operators.quality.VolumeContractError` on a broken contract.  Files
+    are grouped by a hash bucket of ``(case_id, z)`` runs, so a deep case is spread over several.
     """
     s = slices if "mask" in slices.columns else slices.withColumn("mask", F.transform("pixels", lambda v: F.lit(0)))
     if crop:
         s = crop_to_roi(s, margin)
     else:
         s = s.withColumns({c: F.lit(0) for c in ("off_z", "off_y", "off_x") if c not in s.columns})
-    s = s.withColumns({"pixels": F.col("pixels").cast("array<float>"), "mask": F.col("mask").cast("array<tinyint>")})
-    report = Q.require_valid(s, expect_full_frame=not crop)
+    s = guarded(s).withColumn("mask", F.col("mask").cast("array<tinyint>"))
     bucket = F.pmod(F.hash("case_id", F.floor(F.col("z") / 64)), F.lit(BUCKETS))
-    s.withColumn("bucket", bucket).write.mode(mode).partitionBy("bucket").parquet(path)
+    try:
+        s.withColumn("bucket", bucket).write.mode(mode).partitionBy("bucket").parquet(path)
+    except Exception as e:
+        found = re.search(re.escape(CONTRACT) + r"([^\n]*)", str(e))
+        if found:
+            raise Q.VolumeContractError(found.group(1)) from e
+        raise
+    report = Q.require_valid(read_volumes(slices.sparkSession, path), expect_full_frame=not crop)
     return report.where(F.col("severity") == "warning")
 
 
