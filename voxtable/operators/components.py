@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from voxtable.functions import arrays as A
 
-SCHEMA = "array<struct<seed: int, size: int, cy: double, cx: double>>"
+COMPONENT = (StructType().add("seed", IntegerType()).add("size", IntegerType())
+             .add("cy", DoubleType()).add("cx", DoubleType()))
 
 
 def label_stack(masks: np.ndarray) -> np.ndarray:
@@ -46,7 +48,7 @@ def _describe(lab: np.ndarray) -> list[dict]:
             for s, c, y, x in zip(seeds, size, cy, cx)]
 
 
-@F.pandas_udf(SCHEMA)
+@F.pandas_udf(ArrayType(COMPONENT))
 def _components(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for mask, h, w in it:
         out = pd.Series([None] * len(mask), dtype=object)

@@ -14,9 +14,11 @@ from voxtable.operators.ordered import (
     best_before, exact_percentiles, hash_index, rolling_mean, row_index, spread_join)
 from voxtable.operators.overlap import plain_overlap
 from voxtable.operators.volumes import bilinear_array
+from voxtable.session import stored
 
 CASE_METRICS = ["dice", "iou", "sensitivity_iou", "sensitivity_centroid"]
 SCORE_BUCKETS = 4096
+RESAMPLE_RUN = 250
 
 
 # ---- cases and cohort -------------------------------------------------------------------
@@ -79,10 +81,20 @@ def bootstrap_ci(df: DataFrame, value: str, key: str = "case_id", by: Sequence[s
     groups = rows.groupBy(*k).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))
     vals = rows.where(F.col("_v").isNotNull()).withColumn("_h", order_key(seed, "_k"))
     vals = hash_index(vals, k, "_h", out="_pos").select(*k, "_pos", "_v")
-    sized = spread_join(vals.select(*k, "_pos"), groups.select(*k, "n"), k, ["_pos"])
-    draws = sized.select(*k, "n", "_pos", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"))
-    draws = draws.select(*k, "_r", F.pmod(as_int(order_key(seed, "_r", "_pos")), F.col("n")).alias("_pos"))
-    means = draws.join(vals, [*k, "_pos"]).groupBy(*k, "_r").agg(F.avg("_v").alias("_m"))
+    # Written, so that the join of draws to values is planned by the true size of the values:
+    # broadcast when they are small, shuffled by position when they are not.
+    vals = stored(spread_join(vals, groups.select(*k, "n"), k, ["_pos"]), "resampled")
+    # A few positions make many draws, so runs of resamples are dealt to tasks before they unfold.
+    runs = F.sequence(F.lit(0), F.lit((resamples - 1) // RESAMPLE_RUN))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = vals.select(*k, "n", "_pos", F.explode(runs).alias("_run")).repartition(tasks, "_run", "_pos")
+    first = F.col("_run") * RESAMPLE_RUN
+    last = F.least(first + RESAMPLE_RUN, F.lit(resamples)) - 1
+    draws = sized.select(*k, "n", "_pos", F.explode(F.sequence(first, last)).alias("_r"))
+    pick = F.pmod(as_int(order_key(seed, "_r", "_pos")), F.col("n"))
+    # Never null, and said so: the join would otherwise filter on a second evaluation of the hash.
+    draws = draws.select(*k, "_r", F.coalesce(pick, F.lit(-1)).alias("_pos"))
+    means = draws.join(vals.select(*k, "_pos", "_v"), [*k, "_pos"]).groupBy(*k, "_r").agg(F.avg("_v").alias("_m"))
     ends = F.percentile("_m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))   # over ``resamples`` means
     ci = means.groupBy(*k).agg(ends.alias("_e"))
     return (groups.join(ci, k, "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from voxtable.functions import arrays as A
 from voxtable.functions.hashing import as_unit, order_key
@@ -25,7 +25,7 @@ def score_slices(slices: DataFrame, make_scorer: Callable[[], Callable[[np.ndarr
 
     ``make_scorer`` runs once per task, so a model is loaded once and not once per slice.
     """
-    schema = StructType(slices.schema.fields).add(out, ArrayType(DoubleType()))
+    schema = StructType([*slices.schema.fields, StructField(out, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make_scorer()

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from voxtable.functions import arrays as A
 from voxtable.operators.ordered import exact_percentiles, row_index, spread_join
@@ -94,7 +95,7 @@ def box_runs(boxes: DataFrame, cases: DataFrame) -> DataFrame:
     return b.groupBy("case_id", "z", "y", "x0").agg(F.max("x1").alias("x1"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _paint(h: pd.Series, w: pd.Series, ys: pd.Series, x0s: pd.Series, x1s: pd.Series) -> pd.Series:
     out = []
     for rows, cols, y, a, b in zip(h, w, ys, x0s, x1s):
@@ -205,9 +206,12 @@ def roi(slices: DataFrame, margin: int = CROP_MARGIN) -> DataFrame:
                     lo("xa").alias("x0"), hi("xb", "_w").alias("x1"))
 
 
-def crop_to_roi(slices: DataFrame, margin: int = CROP_MARGIN) -> DataFrame:
-    """Slices cut to the window of :func:`roi`, with ``off_z, off_y, off_x`` of the cut."""
-    s = spread_join(slices, roi(slices, margin), ["case_id"], ["z"])
+def crop_to_roi(slices: DataFrame, margin: int = CROP_MARGIN, window: DataFrame | None = None) -> DataFrame:
+    """Slices cut to the window of :func:`roi`, with ``off_z, off_y, off_x`` of the cut.
+
+    Pass ``window`` when it was computed from a cheaper table with the same masks.
+    """
+    s = spread_join(slices, roi(slices, margin) if window is None else window, ["case_id"], ["z"])
     s = s.where((F.col("z") >= F.col("z0")) & (F.col("z") < F.col("z1")))
     win = [F.col(c) for c in ("y0", "y1", "x0", "x1")]
     return (s.withColumns({"pixels": A.crop("pixels", "w", *win), "mask": A.crop("mask", "w", *win)})
@@ -270,10 +274,10 @@ def nearest(stack: np.ndarray, h: int, w: int) -> np.ndarray:
     return stack[..., ys[:, None], xs]
 
 
-def _resizer(kind: str, dtype: str):
+def _resizer(kind: str):
     how = {"bilinear": bilinear, "nearest": nearest}[kind]
 
-    @F.pandas_udf(dtype)
+    @F.pandas_udf(ArrayType(DoubleType()))
     def resize_array(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, h, w, th, tw in it:
             out = pd.Series([None] * len(a), dtype=object)
@@ -288,8 +292,8 @@ def _resizer(kind: str, dtype: str):
     return resize_array
 
 
-bilinear_array = _resizer("bilinear", "array<double>")
-nearest_array = _resizer("nearest", "array<double>")
+bilinear_array = _resizer("bilinear")
+nearest_array = _resizer("nearest")
 
 
 def resize(slices: DataFrame, size: int) -> DataFrame:

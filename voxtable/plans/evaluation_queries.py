@@ -13,6 +13,7 @@ from voxtable.operators import volumes as V
 from voxtable.plans.registry import query
 from voxtable.plans.views import predictions, r6, slices, study, table, with_views
 from voxtable.plans.volume_queries import NORM, resize_sql
+from voxtable.session import stored
 
 MASSES = """, sl AS (
   SELECT case_id, case_no, z, vec_id, CAST(sum(p * m) AS DOUBLE) AS i, CAST(sum(p) AS DOUBLE) AS ps, CAST(sum(m) AS DOUBLE) AS ts
@@ -39,7 +40,7 @@ SELECT case_id, count(*) AS n_slices, count(*) FILTER (ts > 0) AS n_positive,
        {r6('avg(area)')} AS mean_box_area
 FROM sl GROUP BY case_id""", "voxels"))
 def _(spark, d):
-    s = study(spark, d).select("case_id", "z", "h", "w", "pixels", "mask")
+    s = stored(study(spark, d).select("case_id", "z", "h", "w", "pixels", "mask"), "study")
     s = V.normalise_intensity(s).withColumn("pred", A.above("pixels", 1.0))
     s = O.plain_overlap(s).withColumn("_b", A.bounds("pred", "w"))
     area = (F.col("_b.x1") - F.col("_b.x0") + 1) * (F.col("_b.y1") - F.col("_b.y0") + 1)
@@ -212,7 +213,7 @@ LONG = " UNION ALL ".join(
 
 @query("cohort_report", recursive(CASES + ", " + BOOT.format(long=LONG, seed=0, reps=10000), "study"))
 def _(spark, d):
-    return rounded_all(E.cohort_report(evaluated(spark, d)), "mean", "lo", "hi")
+    return rounded_all(E.cohort_report(stored(evaluated(spark, d), "cases")), "mean", "lo", "hi")
 
 
 @query("bootstrap_interval", "WITH " + BOOT.format(seed=3, reps=2000, long="""
@@ -222,6 +223,7 @@ def _(spark, d):
     e = table(spark, d, "events").withColumn("k", F.concat(F.lit("P"), F.col("user_id")))
     per = e.groupBy("k", F.col("event_type").alias("metric")).agg(
         F.when(F.count(F.lit(1)) > 3, F.avg("value")).alias("value"))
+    per = stored(per, "values")
     return rounded_all(E.bootstrap_ci(per, "value", key="k", by=["metric"], resamples=2000, seed=3), "mean", "lo", "hi")
 
 
@@ -257,7 +259,7 @@ SELECT count(*) AS n_patients, {r6('avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END
   {r6('avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END)')} AS top3, {r6('median(rank)')} AS median_rank,
   (SELECT {r6('avg(auc)')} FROM auc) AS auc FROM f""", "study"))
 def _(spark, d):
-    return rounded_all(E.ranking_metrics(scores(spark, d)), "top1", "top3", "median_rank", "auc")
+    return rounded_all(E.ranking_metrics(stored(scores(spark, d), "scores")), "top1", "top3", "median_rank", "auc")
 
 
 @query("case_auc", with_views(SCORES + PAIRS + f" SELECT case_id, {r6('auc')} AS auc FROM auc", "study"))

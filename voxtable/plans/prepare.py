@@ -8,6 +8,7 @@ from voxtable.functions import arrays as A
 from voxtable.operators import volumes as V
 from voxtable.operators.catalog import group_phases, pair_phases
 from voxtable.operators.ordered import spread_join
+from voxtable.session import stored
 
 SLICE = ["z", "h", "w", "pixels"]
 
@@ -17,6 +18,12 @@ def _outcome(pairs: DataFrame) -> DataFrame:
                         "reason")
 
 
+def _finish(painted: DataFrame, crop: bool, margin: int) -> DataFrame:
+    """Normalise a stored table of painted slices, and cut it by the window of its masks."""
+    out = V.normalise_intensity(painted)
+    return V.crop_to_roi(out, window=V.roi(painted, margin)) if crop else out
+
+
 def contrast_pairs(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, post_rank: int = 2) -> DataFrame:
     """Baseline and pass per patient with the first reason that rules the patient out.
 
@@ -49,14 +56,14 @@ def prepare_contrast(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, p
         key = good.select(F.col(column).alias("folder"), "case_id")
         return spread_join(slices.select("folder", *SLICE), key, ["folder"], ["z"]).drop("folder")
     diff = V.subtract_phases(phase("pre_folder"), phase("post_folder"))
-    out = V.normalise_intensity(V.paint_boxes(diff, V.boxes_from_1based(boxes3d)))
-    return (V.crop_to_roi(out, margin) if crop else out), _outcome(pairs)
+    painted = stored(V.paint_boxes(diff, V.boxes_from_1based(boxes3d)), "subtracted")
+    return _finish(painted, crop, margin), _outcome(pairs)
 
 
 def annotation_runs(boxes2d: DataFrame, slices: DataFrame, margin: int = 2) -> DataFrame:
     """Row runs per patient, view and slice; duplicates and what lies off every frame are gone."""
-    top = slices.agg(F.max("h").alias("h"), F.max("w").alias("w"), F.max("z").alias("z"))
-    h, w, z = (top.select(c).scalar() for c in ("h", "w", "z"))
+    top = slices.agg(F.struct(F.max("h").alias("h"), F.max("w").alias("w"), F.max("z").alias("z")).alias("t")).scalar()
+    h, w, z = (top.getField(c) for c in ("h", "w", "z"))
     b = boxes2d.where(F.col("patient_id").isNotNull() & (F.col("view") != ""))
     b = b.select("patient_id", F.lower("view").alias("view_key"), "slice", "x", "y", "width", "height").distinct()
     b = b.select("patient_id", "view_key",
@@ -77,10 +84,9 @@ def prepare_boxes(slices: DataFrame, boxes2d: DataFrame, margin: int = 2, crop:
     """
     runs = annotation_runs(boxes2d, slices, margin)
     on = ["patient_id", "view_key", "z"]
-    painted = V.paint_runs(slices, runs, on, spread=["case_id"])
+    painted = stored(V.paint_runs(slices, runs, on, spread=["case_id"]), "painted")
     cases = painted.groupBy("case_id").agg(F.max(A.any_positive("mask")).alias("_any"))
     reason = F.when(~F.col("_any"), "no_boxes") if skip_empty else F.lit(None).cast("string")
     cases = cases.select("case_id", reason.alias("reason"))
     kept = spread_join(painted, cases.where(F.col("reason").isNull()).select("case_id"), ["case_id"], ["z"])
-    out = V.normalise_intensity(kept)
-    return (V.crop_to_roi(out, crop_margin) if crop else out), _outcome(cases)
+    return _finish(kept, crop, crop_margin), _outcome(cases)

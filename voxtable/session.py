@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows may hold whole slices (1 MB at 512 x 512), so Arrow batches are kept short.
 ARROW_ROWS = "64"
@@ -53,3 +53,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back.
+
+    For a table that several later passes read: they scan the columns they need instead of
+    repeating its joins, and a lost executor costs a re-read and not a recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
