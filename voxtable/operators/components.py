@@ -51,13 +51,13 @@ def _describe(lab: np.ndarray) -> list[dict]:
 @F.pandas_udf(ArrayType(COMPONENT))
 def _components(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for mask, h, w in it:
-        out = pd.Series([None] * len(mask), dtype=object)
+        out = [None] * len(mask)
         for (hh, ww), at in pd.DataFrame({"h": h, "w": w}).groupby(["h", "w"]).groups.items():
             at = mask.index.get_indexer(at)
             stack = np.stack([np.asarray(mask.iloc[i]) > 0 for i in at]).reshape(-1, hh, ww)
             for i, lab in zip(at, label_stack(stack)):
-                out.iat[i] = _describe(lab)
-        yield out
+                out[i] = _describe(lab)
+        yield pd.Series(out, dtype=object)
 
 
 def with_components(slices: DataFrame, mask: str = "pred", out: str = "components",

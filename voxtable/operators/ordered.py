@@ -18,7 +18,7 @@ SALTS = 32
 
 
 def _const_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+    return (df, list(keys)) if keys else (df.withColumn("_every", F.lit(0)), ["_every"])
 
 
 def number_bucket(order: str, width: int = WIDTH) -> Column:
@@ -56,7 +56,7 @@ def row_index(df: DataFrame, keys: Sequence[str], order: str, out: str = "idx",
     out_df = (df.withColumn("_local", local).join(starts, [*k, "_b"])
               .withColumn(out, (F.col("_start") + F.col("_local")).cast("long"))
               .drop("_b", "_local", "_start"))
-    return out_df.drop("_all")
+    return out_df.drop("_every")
 
 
 def hash_index(df: DataFrame, keys: Sequence[str], order: str, out: str = "idx") -> DataFrame:
@@ -80,7 +80,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     w = W.partitionBy(*k, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
     rows = df.join(sums, [*k, "_b"])
     return (rows.withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(w), F.lit(0)))
-            .drop("_b", "_start", "_all"))
+            .drop("_b", "_start", "_every"))
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], index: str, value: str, window: int,
@@ -174,4 +174,4 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
               .agg(F.count(F.lit(1)).alias("_c")))
     res = counts.groupBy(*k).agg(
         F.percentile("_s", F.array(*[F.lit(q) for q in qs]), F.col("_c")).alias(out))
-    return res.drop("_all")
+    return res.drop("_every")

@@ -30,12 +30,13 @@ def score_slices(slices: DataFrame, make_scorer: Callable[[], Callable[[np.ndarr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make_scorer()
         for pdf in batches:
-            col = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            pdf = pdf.reset_index(drop=True)
+            found = [None] * len(pdf)
             for (h, w), part in pdf.groupby(["h", "w"]):
                 maps = score(np.stack([np.asarray(p, dtype=float) for p in part["pixels"]]).reshape(-1, h, w))
                 for i, m in zip(part.index, np.asarray(maps, dtype=float)):
-                    col.at[i] = m.ravel()
-            yield pdf.assign(**{out: col})
+                    found[i] = m.ravel()
+            yield pdf.assign(**{out: pd.Series(found, dtype=object)})
     return slices.mapInPandas(run, schema)
 
 

@@ -280,15 +280,15 @@ def _resizer(kind: str):
     @F.pandas_udf(ArrayType(DoubleType()))
     def resize_array(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, h, w, th, tw in it:
-            out = pd.Series([None] * len(a), dtype=object)
+            out = [None] * len(a)
             shapes = pd.DataFrame({"h": h, "w": w, "th": th, "tw": tw})
             for (ih, iw, oh, ow), at in shapes.groupby(["h", "w", "th", "tw"]).groups.items():
                 at = a.index.get_indexer(at)
                 stack = np.stack([np.asarray(a.iloc[i], dtype=float) for i in at]).reshape(-1, ih, iw)
                 flat = how(stack, oh, ow).reshape(len(at), -1)
                 for i, row in zip(at, flat):
-                    out.iat[i] = row
-            yield out
+                    out[i] = row
+            yield pd.Series(out, dtype=object)
     return resize_array
 
 

@@ -16,7 +16,7 @@ from voxtable.operators import quality as Q
 from voxtable.operators.volumes import crop_to_roi, resize
 from voxtable.session import path_exists
 
-MANIFEST = "manifest.json"
+MANIFEST = "_manifest"      # hidden from readers of the slices beside it
 BANK_INDEX = "bank_index"
 BUCKETS = 64
 CONTRACT = "volume contract: "
