@@ -18,9 +18,10 @@ def not_existing(series: DataFrame, existing: DataFrame, key: str = "series_uid"
     return series.join(existing.select(key), key, "left_anti")
 
 
-def annotated_only(series: DataFrame, boxes: DataFrame, key: str = "patient_id") -> DataFrame:
+def annotated_only(series: DataFrame, boxes: DataFrame, key: str = "patient_id",
+                   spread: str = "series_uid") -> DataFrame:
     """Rows of patients that occur in the annotation table."""
-    return series.join(boxes.select(key), key, "left_semi")
+    return spread_join(series, boxes.select(key).distinct(), [key], [spread], "left_semi")
 
 
 def first_patients(df: DataFrame, n: int, order: str | None = None,
@@ -76,7 +77,7 @@ def segmentations_of(catalogue: DataFrame, stored: DataFrame, existing: DataFram
     A semi join: each segmentation comes out once, however many series its study has.
     """
     segs = catalogue.where(F.col("modality").isin(list(modalities)))
-    segs = segs.join(stored.select("study_uid").distinct(), "study_uid", "left_semi")
+    segs = spread_join(segs, stored.select("study_uid").distinct(), ["study_uid"], ["series_uid"], "left_semi")
     return not_existing(segs, existing) if existing is not None else segs
 
 

@@ -244,7 +244,8 @@ def cut_slab(slices: DataFrame, cases: DataFrame, centre: str = "centre",
 
 def to_full_frame(df: DataFrame, cases: DataFrame) -> DataFrame:
     """Shift ``best_slice`` and the box by the case's crop offset; prefer the source depth."""
-    out = df.join(cases.select("case_id", "off_z", "off_y", "off_x", "source_n_slices", "depth"), "case_id")
+    meta = cases.select("case_id", "off_z", "off_y", "off_x", "source_n_slices", "depth")
+    out = spread_join(df, meta, ["case_id"], ["best_slice"])
     return out.withColumns({
         "best_slice": F.col("best_slice") + F.col("off_z"),
         "full_x": F.col("box_x") + F.col("off_x"), "full_y": F.col("box_y") + F.col("off_y"),

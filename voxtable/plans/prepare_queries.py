@@ -9,6 +9,7 @@ from voxtable.functions.numeric import rounded
 from voxtable.plans import prepare as P
 from voxtable.plans.registry import query
 from voxtable.plans.views import boxes3d, r6, slices, table, with_views
+from voxtable.session import stored
 
 
 def two_phase(spark, d):
@@ -17,6 +18,7 @@ def two_phase(spark, d):
     phase = F.when(F.col("z") % 2 == 0, "pre").otherwise("post")
     s = s.select("case_no", F.concat_ws("/", F.col("case_id"), phase).alias("folder"), "h", "w",
                  F.floor(F.col("z") / 2).cast("int").alias("z"), "pixels")
+    s = stored(s, "phases")
     no = F.col("case_no")
     series = (table(spark, d, "embeddings").select(F.col("label").alias("case_no")).distinct()
               .withColumn("phase", F.explode(F.array(F.lit("pre"), F.lit("post")))))
@@ -63,6 +65,7 @@ def single_phase(spark, d):
     no = F.col("case_no")
     s = s.withColumns({"patient_id": F.concat(F.lit("P"), F.floor(no / 2)),
                        "view_key": F.when(no % 2 == 0, "lcc").otherwise("rmlo")}).drop("case_no", "vec_id")
+    s = stored(s, "views")
     b = table(spark, d, "embeddings").select(F.col("label").alias("c")).distinct()
     c = F.col("c")
     patient = F.concat(F.lit("P"), F.floor(c / 2)).alias("patient_id")

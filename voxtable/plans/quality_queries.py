@@ -8,7 +8,7 @@ from voxtable.functions import arrays as A
 from voxtable.operators import quality as Q
 from voxtable.plans.registry import query
 from voxtable.plans.views import r6, slices, study, table, with_views
-from voxtable.session import scratch_path
+from voxtable.session import scratch_path, stored
 from voxtable.sources import tables as T
 from voxtable.sources import volumes as SV
 from voxtable.sources.storage import storage_footprint
@@ -44,7 +44,7 @@ UNION ALL SELECT case_id, 'mask_shape', 'error', case_id || ': mask shape does n
 UNION ALL SELECT case_id, 'not_3d', 'error', case_id || ': volume must be 3D: slices are missing or differ in shape (' || depth || ', 8, 8)' FROM d WHERE case_no = 6
 """, "slices"))
 def _(spark, d):
-    return Q.validate_volumes(faulty(spark, d))
+    return Q.validate_volumes(stored(faulty(spark, d), "faulty"))
 
 
 SUMMARY = """, sl AS (SELECT case_id, z, sum(m) AS n FROM study GROUP BY case_id, z),
@@ -67,7 +67,8 @@ FROM study s JOIN box b ON b.case_id = s.case_id AND z >= z0 AND z < z1 AND y >=
 GROUP BY ALL""", "study"))
 def _(spark, d):
     path = scratch_path(spark, "volumes")
-    SV.write_volumes(study(spark, d).select("case_id", "z", "h", "w", "pixels", "mask"), path, margin=2)
+    s = stored(study(spark, d).select("case_id", "z", "h", "w", "pixels", "mask"), "study")
+    SV.write_volumes(s, path, margin=2)
     v = SV.read_volumes(spark, path)
     return v.groupBy("case_id", "off_z", "off_y", "off_x").agg(
         F.count(F.lit(1)).alias("n_slices"), F.sum(F.size("pixels").cast("long")).alias("voxels"),

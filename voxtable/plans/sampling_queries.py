@@ -31,7 +31,7 @@ SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT k FROM split
 def _(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     split = S.split_cases(o.select("o_custkey").distinct(), "o_custkey")
-    return S.members(o, split, "val", key="o_custkey")
+    return S.members(o, split, "val", key="o_custkey", spread=["o_orderkey"])
 
 
 FLAGGED = """, fl AS (SELECT case_id, z, bool_or(m = 1) AS has_lesion FROM study GROUP BY case_id, z)"""

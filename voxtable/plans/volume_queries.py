@@ -10,6 +10,7 @@ from voxtable.functions.numeric import percent_of, rounded
 from voxtable.operators import volumes as V
 from voxtable.plans.registry import query
 from voxtable.plans.views import boxes3d, r6, slices, study, table, with_views
+from voxtable.session import stored
 
 DEPTHS = """, cases AS (SELECT case_id, CAST(count(*) AS INTEGER) AS depth FROM slices GROUP BY case_id)"""
 BOX01 = """, b01 AS (
@@ -117,7 +118,7 @@ def _(spark, d):
 @query("intensity_normalise", with_views(NORM + f"""
 SELECT case_id, z, y, x, {r6('n')} AS v FROM normed""", "voxels"))
 def _(spark, d):
-    n = V.normalise_intensity(slices(spark, d).select("case_id", "z", "h", "w", "pixels"))
+    n = V.normalise_intensity(stored(slices(spark, d).select("case_id", "z", "h", "w", "pixels"), "slices"))
     return V.to_voxels(n, v="pixels").select("case_id", "z", "y", "x", rounded("v").alias("v"))
 
 

@@ -18,7 +18,6 @@ from voxtable.session import path_exists
 
 MANIFEST = "_manifest"      # hidden from readers of the slices beside it
 BANK_INDEX = "bank_index"
-BUCKETS = 64
 CONTRACT = "volume contract: "
 
 
@@ -50,8 +49,9 @@ def write_volumes(slices: DataFrame, path: str, crop: bool = True, mode: str = "
                   margin: int = 16) -> DataFrame:
     """Crop, check, cast and write slices; returns the warnings found in what was written.
 
-    Raises :class:`~voxtable.operators.quality.VolumeContractError` on a broken contract.  Files
-    are grouped by a hash bucket of ``(case_id, z)`` runs, so a deep case is spread over several.
+    Raises :class:`~voxtable.operators.quality.VolumeContractError` on a broken contract.  Slices of
+    a case go to the same files; the rebalance step splits a deep case and joins small ones, so
+    files come out at the session's advisory size.
     """
     s = slices if "mask" in slices.columns else slices.withColumn("mask", F.transform("pixels", lambda v: F.lit(0)))
     if crop:
@@ -59,9 +59,8 @@ def write_volumes(slices: DataFrame, path: str, crop: bool = True, mode: str = "
     else:
         s = s.withColumns({c: F.lit(0) for c in ("off_z", "off_y", "off_x") if c not in s.columns})
     s = guarded(s).withColumn("mask", F.col("mask").cast("array<tinyint>"))
-    bucket = F.pmod(F.hash("case_id", F.floor(F.col("z") / 64)), F.lit(BUCKETS))
     try:
-        s.withColumn("bucket", bucket).write.mode(mode).partitionBy("bucket").parquet(path)
+        s.hint("rebalance", "case_id").write.mode(mode).parquet(path)
     except Exception as e:
         found = re.search(re.escape(CONTRACT) + r"([^\n]*)", str(e))
         if found:
@@ -72,7 +71,7 @@ def write_volumes(slices: DataFrame, path: str, crop: bool = True, mode: str = "
 
 
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    return spark.read.parquet(path)
 
 
 def _fingerprint(sources: list[str]) -> str:
