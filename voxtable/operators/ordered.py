@@ -141,8 +141,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
 
     A bounded sketch brackets each wanted order statistic.  Values outside the brackets are
     snapped to the nearest bracket edge, which keeps every wanted rank and leaves few distinct
-    values; those are counted (with map-side combine) and the percentile is taken over the
-    counts.  Keys small enough to be held exactly skip the snapping.  ``is_array`` treats
+    values; those are counted (with map-side combine), and a running count over them, which can
+    spill, finds the ranks.  Keys small enough to be held exactly skip the snapping.  ``is_array`` treats
     ``value`` as an array of numbers.
     """
     df, k = _const_key(df, keys)
@@ -171,7 +171,19 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     else:
         vals = joined.select(*k, F.col(value).alias("_v"), "_n", "_m")
     counts = (vals.where(F.col("_v").isNotNull()).groupBy(*k, snap(F.col("_v")).alias("_s"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    res = counts.groupBy(*k).agg(
-        F.percentile("_s", F.array(*[F.lit(q) for q in qs]), F.col("_c")).alias(out))
-    return res.drop("_every")
+              .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")))
+    upto = F.sum("_c").over(W.partitionBy(*k).orderBy("_s").rowsBetween(W.unboundedPreceding, 0))
+    last = F.max("_n") - 1
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > rank, F.col("_s")))
+    # The wanted ranks depend on the key's size only, so they are columns before the aggregate.
+    ranked = counts.withColumn("_upto", upto)
+    for i, q in enumerate(qs):
+        ranked = ranked.withColumn(f"_p{i}", F.lit(q) * (F.col("_n") - 1))
+    picks = []
+    for i, q in enumerate(qs):
+        low, high = at(F.floor(f"_p{i}")), at(F.ceil(f"_p{i}"))
+        part = F.lit(q) * last - F.floor(F.lit(q) * last)
+        picks.append(low + (high - low) * part)
+    return ranked.groupBy(*k).agg(F.array(*picks).alias(out)).drop("_every")

@@ -216,6 +216,22 @@ def _(spark, d):
                     A.positive_count("mask").alias("lesion_voxels"), "has_lesion")
 
 
+UNIT = "('0x' || substr(md5('5|{}|' || case_id || '|' || z), 1, 7))::BIGINT / CAST(268435456 AS DOUBLE)"
+
+
+@query("augmented_flips", with_views(f"""
+, dr AS (SELECT case_id, z, min(v) AS lo, greatest(max(v) - min(v), 1e-6) AS span, {UNIT.format('flip_h')} < 0.5 AS fh,
+   {UNIT.format('flip_v')} < 0.5 AS fv, 0.8 + 0.45 * ({UNIT.format('gamma')}) AS g FROM study GROUP BY case_id, z),
+mv AS (SELECT case_id, z, CASE WHEN fv THEN 7 - y ELSE y END * 8 + CASE WHEN fh THEN 7 - x ELSE x END AS spot, m,
+   pow(least(greatest((v - lo) / span, 0.0), 1.0), g) * span + lo AS v FROM study JOIN dr USING (case_id, z))
+SELECT case_id, z, {r6('sum(v * spot)')} AS weighted, CAST(sum(m * spot) AS BIGINT) AS mask_at, bool_or(m = 1) AS has_lesion
+FROM mv GROUP BY case_id, z""", "study"))
+def _(spark, d):
+    s = G.augment(study(spark, d).select("case_id", "z", "h", "w", "pixels", "mask"), seed=5, affine=False)
+    return s.select("case_id", "z", rounded(A.total(F.transform("pixels", lambda v, i: v * i))).alias("weighted"),
+                    A.total(F.transform("mask", lambda m, i: m * i)).cast("long").alias("mask_at"), "has_lesion")
+
+
 # ---- streams ----------------------------------------------------------------------------
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type, value FROM events")
