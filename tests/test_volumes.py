@@ -64,6 +64,18 @@ def test_normalise_matches_numpy(spark):
     assert np.allclose(got, (c - c.mean()) / (c.std() + 1e-8), atol=1e-9)
 
 
+def test_large_case_tables_take_the_salted_join(spark, monkeypatch):
+    v = np.random.default_rng(7).normal(size=(9, 4, 4))
+    m = box(9, 4, 4, 1, 2, 1, 3)
+    t = slice_table(spark, ("a", v, m), ("b", v * 3, m))
+
+    def run():
+        return stack(V.crop_to_roi(V.normalise_intensity(t), margin=1))
+    small = run()
+    monkeypatch.setattr("voxtable.operators.ordered.BROADCAST_ROWS", 0)
+    assert np.allclose(run(), small)
+
+
 def test_approximate_normalise_is_close(spark):
     v = np.random.default_rng(2).gamma(1.0, 50.0, (5, 6, 7))
     t = slice_table(spark, ("a", v))

@@ -12,9 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from voxtable.session import stored
+
 WIDTH = 1 << 16          # rows of a unique integer order column that share one bucket
 HASH_DIGITS = 4          # hex digits of an md5 order key that form one bucket
 SALTS = 32
+BROADCAST_ROWS = 1_000_000    # rows of a key and a few numbers: about 100 MB
 
 
 def _const_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -37,6 +40,20 @@ def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Seq
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def keyed_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
+               how: str = "inner", written: bool = False) -> DataFrame:
+    """Join narrow per-key rows to wide rows, moving the wide side only when it has to.
+
+    ``small`` (one row per key, a few numbers) is written once and counted.  Up to
+    ``BROADCAST_ROWS`` it is broadcast, so slice pixels stay where they were read; beyond that
+    the salted join of :func:`spread_join` takes over.  ``written`` says it is a stored table.
+    """
+    small = small if written else stored(small, "keyed")
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), list(on), how)
+    return spread_join(big, small, on, spread, how)
+
+
 def _before(df: DataFrame, keys: list[str], bucket: str, value: Column, start) -> Column:
     w = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(value.over(w), F.lit(start))
@@ -157,7 +174,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("_m"))
     spread = list(spread) if spread else [value]
-    joined = spread_join(df.select(*dict.fromkeys([*k, *spread, value])), sketch, k, spread)
+    join = keyed_join if is_array else spread_join      # arrays are wide rows that should not move
+    joined = join(df.select(*dict.fromkeys([*k, *spread, value])), sketch, k, spread)
 
     def snap(v: Column) -> Column:
         edge = [F.get("_m", F.lit(i)) for i in range(len(marks))]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions.hashing import order_key
-from voxtable.operators.ordered import hash_cutoff, spread_join
+from voxtable.operators.ordered import hash_cutoff, keyed_join
 
 
 def split_sizes(n: Column, val: float, test: float) -> tuple[Column, Column]:
@@ -38,7 +38,7 @@ def split_cases(df: DataFrame, key: str | Column = "case_id", val: float = 0.15,
 def members(slices: DataFrame, split: DataFrame, name: str, key: str = "case_id",
             spread: Sequence[str] = ("z",)) -> DataFrame:
     """Rows of the cases of one split; ``split`` has one row per case."""
-    return spread_join(slices, split.where(F.col("split") == name).select(key), [key], spread, "left_semi")
+    return keyed_join(slices, split.where(F.col("split") == name).select(key), [key], spread, "left_semi")
 
 
 def sample_slices(slices: DataFrame, positive_only: bool = True, neg_per_pos: float | None = None,

@@ -1,7 +1,8 @@
 """Volumes as slice rows: ordering, boxes, subtraction, normalisation, cropping, resizing.
 
 Pixel arrays stay in their slice row.  Only narrow per-case numbers are joined back, through
-:func:`~voxtable.operators.ordered.spread_join`, so a deep case is never sent to one task.
+:func:`~voxtable.operators.ordered.keyed_join`, so pixels rarely move and a deep case is never
+sent to one task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from voxtable.functions import arrays as A
-from voxtable.operators.ordered import exact_percentiles, row_index, spread_join
+from voxtable.operators.ordered import exact_percentiles, keyed_join, row_index, spread_join
 
 # Clip percentiles, crop margin, slab half-width, strip depth limits.
 CLIP_PERCENTILES = (0.01, 0.99)
@@ -149,7 +150,7 @@ def intensity_stats(slices: DataFrame, low: float = CLIP_PERCENTILES[0],
     else:
         pct = exact_percentiles(slices, ["case_id"], "pixels", [low, high], spread=["z"], is_array=True)
     levels = pct.select("case_id", F.get("pct", F.lit(0)).alias("lo"), F.get("pct", F.lit(1)).alias("hi"))
-    v = spread_join(slices.select("case_id", "z", "pixels"), levels, ["case_id"], ["z"])
+    v = keyed_join(slices.select("case_id", "z", "pixels"), levels, ["case_id"], ["z"])
     c = v.select("case_id", "lo", "hi", F.explode("pixels").alias("_v")).select(
         "case_id", "lo", "hi", F.greatest(F.least("_v", "hi"), "lo").alias("_c"))
     return c.groupBy("case_id").agg(
@@ -161,7 +162,7 @@ def normalise_intensity(slices: DataFrame, low: float = CLIP_PERCENTILES[0],
                         high: float = CLIP_PERCENTILES[1], approximate: bool = False) -> DataFrame:
     """Clip to the case's own percentiles, then standardise with the clipped mean and deviation."""
     stats = intensity_stats(slices, low, high, approximate)
-    out = spread_join(slices, stats, ["case_id"], ["z"])
+    out = keyed_join(slices, stats, ["case_id"], ["z"])
     return out.withColumn("pixels", A.standard_scores(
         "pixels", F.col("lo"), F.col("hi"), F.col("mean"), F.col("std"))).drop("lo", "hi", "mean", "std")
 
@@ -173,7 +174,7 @@ def display_window(slices: DataFrame, per: str = "stack") -> DataFrame:
         return slices.withColumn("shown", A.display_bytes(
             "pixels", A.percentile_of("pixels", lo), A.percentile_of("pixels", hi)))
     win = exact_percentiles(slices, ["case_id"], "pixels", [lo, hi], out="_w", spread=["z"], is_array=True)
-    out = spread_join(slices, win, ["case_id"], ["z"])
+    out = keyed_join(slices, win, ["case_id"], ["z"])
     return out.withColumn("shown", A.display_bytes(
         "pixels", F.get("_w", F.lit(0)), F.get("_w", F.lit(1)))).drop("_w")
 
@@ -211,7 +212,7 @@ def crop_to_roi(slices: DataFrame, margin: int = CROP_MARGIN, window: DataFrame
 
     Pass ``window`` when it was computed from a cheaper table with the same masks.
     """
-    s = spread_join(slices, roi(slices, margin) if window is None else window, ["case_id"], ["z"])
+    s = keyed_join(slices, roi(slices, margin) if window is None else window, ["case_id"], ["z"])
     s = s.where((F.col("z") >= F.col("z0")) & (F.col("z") < F.col("z1")))
     win = [F.col(c) for c in ("y0", "y1", "x0", "x1")]
     return (s.withColumns({"pixels": A.crop("pixels", "w", *win), "mask": A.crop("mask", "w", *win)})
@@ -232,7 +233,7 @@ def cut_slab(slices: DataFrame, cases: DataFrame, centre: str = "centre",
                    F.col("depth").cast("string"), F.lit(" in "), F.col("case_id"))
     lo = F.when(inside, F.greatest(c - slab, F.lit(0))).otherwise(F.raise_error(msg).cast("int"))
     cut = cases.withColumn("_lo", lo).withColumn("_hi", F.least(c + slab + 1, F.col("depth")))
-    s = spread_join(slices, cut.select("case_id", "_lo", "_hi"), ["case_id"], ["z"])
+    s = keyed_join(slices, cut.select("case_id", "_lo", "_hi"), ["case_id"], ["z"])
     s = (s.where((F.col("z") >= F.col("_lo")) & (F.col("z") < F.col("_hi")))
          .withColumn("z", F.col("z") - F.col("_lo")).drop("_lo", "_hi"))
     meta = cut.withColumns({
@@ -319,7 +320,7 @@ def slice_strip(slices: DataFrame, cases: DataFrame, best: DataFrame,
     meta = cases.where(F.col("depth").between(STRIP_MIN, max_slices)).select("case_id", "depth", "off_z")
     meta = meta.join(best.select("case_id", "best_slice"), "case_id").withColumn(
         "best_position", F.greatest(F.least(F.col("best_slice") - F.col("off_z"), F.col("depth") - 1), F.lit(0)))
-    s = spread_join(slices, meta, ["case_id"], ["z"])
+    s = keyed_join(slices, meta, ["case_id"], ["z"])
     shown = display_window(s, per="stack")
     return shown.withColumns({"index": F.col("z") + F.col("off_z"),
                               "is_best": F.col("z") == F.col("best_position")}).drop("depth", "off_z", "best_slice")

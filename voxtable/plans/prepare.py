@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxtable.functions import arrays as A
 from voxtable.operators import volumes as V
 from voxtable.operators.catalog import group_phases, pair_phases
-from voxtable.operators.ordered import spread_join
+from voxtable.operators.ordered import keyed_join
 from voxtable.session import stored
 
 SLICE = ["z", "h", "w", "pixels"]
@@ -49,12 +49,12 @@ def prepare_contrast(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, p
     ``series`` has ``patient_id, description, folder``, ``slices`` has ``folder`` and the slice
     columns, ``boxes3d`` is 1-based inclusive per ``case_id`` (the patient).
     """
-    pairs = contrast_pairs(series, slices, boxes3d, post_rank)
+    pairs = stored(contrast_pairs(series, slices, boxes3d, post_rank), "pairs")
     good = pairs.where(F.col("reason").isNull())
 
     def phase(column: str) -> DataFrame:
         key = good.select(F.col(column).alias("folder"), "case_id")
-        return spread_join(slices.select("folder", *SLICE), key, ["folder"], ["z"]).drop("folder")
+        return keyed_join(slices.select("folder", *SLICE), key, ["folder"], ["z"], written=True).drop("folder")
     diff = V.subtract_phases(phase("pre_folder"), phase("post_folder"))
     painted = stored(V.paint_boxes(diff, V.boxes_from_1based(boxes3d)), "subtracted")
     return _finish(painted, crop, margin), _outcome(pairs)
@@ -88,5 +88,6 @@ def prepare_boxes(slices: DataFrame, boxes2d: DataFrame, margin: int = 2, crop:
     cases = painted.groupBy("case_id").agg(F.max(A.any_positive("mask")).alias("_any"))
     reason = F.when(~F.col("_any"), "no_boxes") if skip_empty else F.lit(None).cast("string")
     cases = cases.select("case_id", reason.alias("reason"))
-    kept = spread_join(painted, cases.where(F.col("reason").isNull()).select("case_id"), ["case_id"], ["z"])
+    cases = stored(cases, "cases")
+    kept = keyed_join(painted, cases.where(F.col("reason").isNull()).select("case_id"), ["case_id"], ["z"], written=True)
     return _finish(kept, crop, crop_margin), _outcome(cases)
