@@ -73,3 +73,16 @@ def test_shared_folder_must_be_named_on_a_cluster():
         sparkContext = type("C", (), {"master": "yarn"})()
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_root(Cluster())
+
+
+def test_a_local_session_without_a_shared_folder_gets_one():
+    from voxtable.session import shared_root
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Local:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "local[2]", "applicationId": "local-test"})()
+    assert shared_root(Local()) == shared_root(Local())

@@ -16,7 +16,7 @@ from pyspark.storagelevel import StorageLevel
 from voxtable.functions import arrays as A
 from voxtable.operators.evaluation import class_metrics
 from voxtable.operators.features import (
-    PcaResult, as_doubles, cleaning_stages, feature_columns, fit_pca, index_label, order_features)
+    PcaResult, as_doubles, feature_columns, fit_pca, index_label, order_features)
 from voxtable.operators.sampling import class_weight
 from voxtable.session import path_exists
 

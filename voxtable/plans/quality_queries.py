@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxtable.functions import arrays as A
 from voxtable.operators import quality as Q
 from voxtable.plans.registry import query
-from voxtable.plans.views import r6, slices, study, table, with_views
+from voxtable.plans.views import r6, study, table, with_views
 from voxtable.session import scratch_path, stored
 from voxtable.sources import tables as T
 from voxtable.sources import volumes as SV

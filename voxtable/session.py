@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows may hold whole slices (1 MB at 512 x 512), so Arrow batches are kept short.
 ARROW_ROWS = "64"
 
+_LOCAL_ROOTS: dict[str, str] = {}     # only for local sessions without a shared folder
+
 
 def build_session(master: str | None = None, name: str = "voxtable",
                   partitions: int | None = None, **conf: str) -> SparkSession:
@@ -39,9 +41,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
-    root = tempfile.mkdtemp(prefix="voxtable-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="voxtable-")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
