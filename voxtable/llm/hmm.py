@@ -32,7 +32,7 @@ STATES, ROUNDS = 8, 3
 HEAD, TAIL = 28_000, 4_096
 CHUNK_BYTES = 8 << 20
 CUT = 1 << 15
-SMOOTH, PRIOR = 0.1, 20.0
+SMOOTH, SHARED = 0.1, 0.02      # added to every count; weight of the class prior in every state
 _STICKY = 0.9
 
 
@@ -60,6 +60,8 @@ class Vocabulary:
         self.whole = self.n + SMOOTH * (self.distinct + 1)
         weight = np.concatenate([self.counts + SMOOTH, tail_total + SMOOTH * (tail_words + 1), [ends + SMOOTH]])
         self.prior = weight / weight.sum()
+        added = weight - np.concatenate([self.counts, tail_total, [ends]])
+        self.smooth = added / max(self.n, 1) + SHARED * self.prior         # per count that a state has
 
     @property
     def end(self) -> int:
@@ -109,7 +111,7 @@ def encode(docs: DataFrame, shared) -> DataFrame:
             inner = kind[index] < len(vocab.head)
             logs = np.log10((vocab.counts + SMOOTH) / vocab.whole)
             base = np.bincount(row[inner], weights=logs[kind[index[inner]]], minlength=rows)
-            base += np.log10((vocab.ends + SMOOTH) / vocab.whole)
+            base = base + np.log10((vocab.ends + SMOOTH) / vocab.whole)
             pairs, n = np.unique(row[~inner] << 32 | index[~inner], return_counts=True)
             tail_word = coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF)).cast(pa.string())
 
@@ -143,9 +145,9 @@ class Hmm:
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
     @classmethod
-    def from_counts(cls, start, move, emit, prior) -> Hmm:
-        """Normalised expected counts; emissions are drawn a little to the class prior."""
-        emit = emit + PRIOR * prior
+    def from_counts(cls, start, move, emit, smooth) -> Hmm:
+        """Normalised expected counts; a word without counts is as likely in every state as in the unigram."""
+        emit = emit + smooth * np.maximum(emit.sum(axis=1, keepdims=True), 1.0)
         start, move = start + 1e-3, move + 1e-3
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
@@ -212,9 +214,9 @@ def _chunks(batches):
                 row.column("sizes"), np.int64)[1]
 
 
-def baum_welch(encoded: DataFrame, model: Hmm, prior: np.ndarray) -> tuple[Hmm, float]:
+def baum_welch(encoded: DataFrame, model: Hmm, smooth: np.ndarray) -> tuple[Hmm, float]:
     """One round over all training documents: the new model, and the log likelihood under the old one."""
-    k, classes = len(model.start), len(prior)
+    k, classes = len(model.start), len(smooth)
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     # Rows past the classes carry the start counts, one row of transitions per state, and the log likelihood.
     names = [f"s{i}" for i in range(k)]
@@ -239,7 +241,7 @@ def baum_welch(encoded: DataFrame, model: Hmm, prior: np.ndarray) -> tuple[Hmm,
             .groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toPandas())
     total = np.zeros((classes + k + 2, k))
     total[sums["class"].to_numpy(np.int64)] = sums[names].to_numpy()
-    made = Hmm.from_counts(total[classes], total[classes + 1:classes + 1 + k], total[:classes].T, prior)
+    made = Hmm.from_counts(total[classes], total[classes + 1:classes + 1 + k], total[:classes].T, smooth)
     shared.unpersist()
     return made, float(total[-1, 0])
 
@@ -272,7 +274,7 @@ def score(docs: DataFrame, train=None, states: int = STATES, rounds: int = ROUND
     encoded = stored(encode(marked, shared), "encoded")
     model = Hmm.first(vocab.prior, states)
     for _ in range(rounds):
-        model, _ = baum_welch(encoded, model, vocab.prior)
+        model, _ = baum_welch(encoded, model, vocab.smooth)
     tails = (encoded.select("chunk", F.explode(F.arrays_zip("tail_row", "tail_word", "tail_n")).alias("t"))
              .select("chunk", F.col("t.tail_row").alias("row"), F.col("t.tail_word").alias("word"),
                      F.col("t.tail_n").alias("n")))
