@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxtable.session import stored
 
-__all__ = ["WORD", "bounded", "count_words", "hash_rest", "list_numpy", "parts_for", "split_words", "stored", "table"]
+__all__ = ["WORD", "bounded", "count_words", "hash_rest", "list_numpy", "parts_for", "settle", "split_words", "stored", "table"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -74,3 +75,9 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) ->
             stop = max(start + 1, int(np.searchsorted(total, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps, which else stay until the driver collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

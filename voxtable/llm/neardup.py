@@ -315,3 +315,23 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     report = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
     report = stored(report, "dropped")
     return docs.join(report, docs["doc_id"].eqNullSafe(report["__id"]), "left_anti")
+
+
+# Pairs by shared shingles, one text per set, then reachability; for small tables.
+NEAR_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w
+         ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM worded),
+classes AS (SELECT s, min(doc_id) AS id FROM sets WHERE len(s) > 0 GROUP BY s),
+one AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS g FROM classes),
+links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM one a JOIN one b ON a.g = b.g AND a.id <> b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+named AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, coalesce(n.component_id, t.doc_id) AS component_id,
+       t.doc_id = coalesce(n.component_id, t.doc_id) AS kept
+FROM sets t LEFT JOIN classes c ON c.s = t.s LEFT JOIN named n ON n.id = c.id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import hmm, langid, media, mixing, neardup, packing, quality, tokens, vectors
+from voxtable.llm import hmm, langid, media, mixing, neardup, packing, quality, repeats, tokens, vectors
 from voxtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +59,7 @@ def op10(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
-@query("op8_near_duplicates")
+@query("op8_near_duplicates", neardup.NEAR_SQL)
 def op8(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -67,3 +67,8 @@ def op8(spark, sf_dir):
 @query("op5_lm_scores")
 def op5(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op3_repeated_bytes")
+def op3(spark, sf_dir):
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
