@@ -47,15 +47,15 @@ def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
     ``lower`` maps A-Z only, as ASCII lower case does.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.split_pattern_regex(texts, SPACES)
     values = lists.flatten()
     ends = lists.offsets.to_numpy().astype(np.int64)
     ends = ends - ends[0]
     full = pc.not_equal(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate([[0], np.cumsum(full)])
-    return before[ends], values.filter(pa.array(full))
+    words = values.filter(pa.array(full))
+    # Lower case comes last: on a slice of an array, it would misplace the texts' borders.
+    return before[ends], pc.ascii_lower(words) if lower else words
 
 
 def list_numpy(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
