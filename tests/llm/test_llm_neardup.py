@@ -49,6 +49,7 @@ def test_matches_all_pairs(spark, words, sf):
 
 def test_chains_groups_and_thresholds(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 5)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(60)]
     rows, word = [], list(base)

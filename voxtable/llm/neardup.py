@@ -8,9 +8,9 @@ the more alike the sets are. Runs of registers are the bands.
 * In every band bucket, members are compared with the least member. The likelihood of (larger, smaller, equal) register
   counts given both set sizes is maximised jointly over the similarity; pairs for which the threshold is hopeless go.
   Each class first verifies its likeliest pair on full sets.
-* Confirmed links give first components. Buckets that still hold several components compare their members of different
-  components, in blocks, and what the likelihood leaves is verified too. So no link between bucket mates is lost, no
-  bucket is gathered, and a large group of near copies costs about one comparison per member.
+* Confirmed links give first components. Buckets that still hold several components compare the registers of their
+  members, in blocks, and name the pairs of components that may be alike. Those compare full sets, in blocks of members,
+  and only confirmed pairs leave a task. So no link between bucket mates is lost and no bucket or component is gathered.
 
 With 32 bands of 4 registers, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
@@ -28,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import bounded, split_words, stored
+from voxtable.llm.common import bounded, settle, split_words, stored
 from voxtable.llm.graph import components
 
 BANDS, PER_BAND = 32, 4
 REGISTERS = BANDS * PER_BAND
 BASE, RATE, TOP = 1.001, 20.0, 65534          # spacing, rate and range of the register values
-DOUBT = 16.0                                   # log likelihood by which the threshold must be beaten to drop a pair
-BLOCK = 512                                    # bucket members compared at once
+DOUBT = 12.0                                   # log likelihood by which the threshold must be beaten to drop a pair
+BLOCK = 512                                    # bucket members compared at once, by registers
+SET_BLOCK = 256                                # and by full sets
 _STEP = 1 << 15
 
 _rng = np.random.default_rng(20240607)
@@ -230,7 +231,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Possible pairs of bucket mates in different components, each from its first common band."""
+    """Pairs of components with bucket mates that may be alike; mates meet in their first common band only."""
     named = labels.select(F.col("node").alias("id"), "component")
     tagged = stored(buckets.join(named, "id", "left").withColumn("label", F.coalesce("component", "id"))
                     .drop("component"), "bucket-labels")
@@ -247,12 +248,12 @@ def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
-        ids, label, n, part = (table.column(c).to_numpy() for c in ("id", "label", "n", "part"))
+        label, n, part = (table.column(c).to_numpy() for c in ("label", "n", "part"))
         regs = _stack(table.column("regs"))
         order = np.argsort(n, kind="stable")
-        ids, label, n, part, regs = ids[order], label[order], n[order], part[order], regs[order]
-        out_a, out_b = [], []
-        for x in range(len(ids)):
+        label, n, part, regs = label[order], n[order], part[order], regs[order]
+        found = []
+        for x in range(len(n)):
             # Sorted by size: mates of x from here on that are not too large.
             stop = int(np.searchsorted(n, n[x] / threshold + 1e-9, side="right"))
             y = np.arange(x + 1, stop)
@@ -263,15 +264,73 @@ def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold
             y = y[same.argmax(axis=1) == band]
             if len(y):
                 _, ok = judge(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y], threshold)
-                y = y[ok]
-                out_a.append(np.maximum(ids[y], ids[x]))
-                out_b.append(np.minimum(ids[y], ids[x]))
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                y = np.unique(label[y[ok]])
+                found.append(np.stack([np.maximum(y, label[x]), np.minimum(y, label[x])], axis=1))
+        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _members_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``label, id``: the classes of every component in ``pairs``."""
+    wanted = _members(pairs).withColumnRenamed("id", "label")
+    return wanted.join(labels, wanted["label"] == labels["component"], "left").select(
+        "label", F.coalesce("node", "label").alias("id"))
+
+
+def _linked(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of components ``a, b`` with a confirmed link between any of their members.
+
+    The larger component of a pair is the hub. Members of hubs and of their satellites are cut in blocks; a task holds
+    one block of each and compares full sets, so only confirmed pairs leave it.
+    """
+    sizes = stored(members.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    sided = (pairs.join(sizes.select(F.col("label").alias("a"), F.col("m").alias("ma")), "a")
+             .join(sizes.select(F.col("label").alias("b"), F.col("m").alias("mb")), "b"))
+    first = F.col("ma") > F.col("mb")
+    sided = stored(sided.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"),
+                                F.when(first, F.col("b")).otherwise(F.col("a")).alias("sat"),
+                                F.greatest("ma", "mb").alias("hubs"), F.least("ma", "mb").alias("sats")), "sided")
+    parts = [F.ceil(F.first("hubs") / SET_BLOCK).cast("int").alias("h"), F.ceil(F.sum("sats") / SET_BLOCK).cast("int").alias("s")]
+    grid = stored(sided.groupBy("hub").agg(*parts), "grid")
+
+    def cut(rows, own, other, kind):
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.select("hub", "h", "s", "label", "id", F.lit(kind).alias("kind"))
+
+    hubs = grid.join(members, grid["hub"] == members["label"])
+    sats = sided.select("hub", "sat").join(grid, "hub").join(members, F.col("sat") == members["label"])
+    rows = stored(cut(hubs, "h", "s", 0).unionByName(cut(sats, "s", "h", 1)), "linked-rows")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        kind, label, hub = (table.column(c).to_numpy() for c in ("kind", "label", "hub"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        held, asked = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        good = set()
+        if len(held) and len(asked):
+            n = np.array([len(sets[i]) for i in held])
+            known, place = np.unique(np.concatenate([sets[i] for i in held]), return_inverse=True)
+            cuts = np.cumsum(n) - n
+            flag = np.zeros(len(known), np.int64)
+            for i in asked:
+                if label[i] in good:
+                    continue
+                at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+                at = at[known[at] == sets[i]]
+                flag[at] = 1
+                both = np.add.reduceat(flag[place], cuts)
+                flag[at] = 0
+                if (100 * both >= percent * (n + len(sets[i]) - both)).any():
+                    good.add(label[i])
+        good = np.array(sorted(good), np.int64)
+        return pa.table({"a": pa.array(good), "b": pa.array(np.full(len(good), hub[0], np.int64))})
+
+    return (rows.join(sets, "id").groupBy("hub", "h", "s").applyInArrow(run, "a long, b long")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id long, text)``."""
     threshold = percent / 100
@@ -288,14 +347,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = stored(shared.join(centres, "key").filter(close).select(F.col("id").alias("a"), "b").distinct(), "pairs")
     likely = stored(_likely(pairs, named, threshold), "likely")
     first = stored(likely.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "first")
+    spark = docs.sparkSession
+    settle(spark)
     sets = stored(_sets(docs, _members(likely), words), "sets")
+    settle(spark)
     links = stored(_confirmed(first, sets, percent), "links")
     labels = stored(components(links), "labels")
+    settle(spark)
     across = stored(_across(shared, named, labels, threshold), "across")
-    rest = stored(across.join(first, ["a", "b"], "left_anti"), "rest")
-    missing = _members(rest).join(sets.select("id"), "id", "left_anti")
-    more = stored(_sets(docs, missing, words), "sets")
-    links = links.unionByName(_confirmed(rest, sets.unionByName(more), percent))
+    members = stored(_members_of(across, labels), "members")
+    missing = stored(members.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "missing")
+    sets = sets.unionByName(stored(_sets(docs, missing, words), "sets"))
+    settle(spark)
+    links = stored(links.unionByName(_linked(across, members, sets, percent)), "links")
     labels = stored(components(links), "labels")
     component = classes.join(labels, classes["id"] == labels["node"], "left").select(
         "digest", F.coalesce("component", "id").alias("component_id"))
