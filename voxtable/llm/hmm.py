@@ -30,8 +30,8 @@ from voxtable.llm.common import bounded, hash_rest, list_numpy, split_words, sto
 
 STATES, ROUNDS = 8, 3
 HEAD, TAIL = 28_000, 4_096
-CHUNK_BYTES = 8 << 20
-CUT = 1 << 15
+CHUNK_BYTES = 5 << 20
+CUT = 1 << 11
 SMOOTH, SHARED = 0.1, 0.02      # added to every count; weight of the class prior in every state
 _STICKY = 0.9
 
@@ -184,7 +184,7 @@ class Hmm:
         gamma = np.empty((len(codes), len(self.start)), np.float32)
         beta = np.ones((0, len(self.start)), np.float32)
         for t in range(len(live) - 1, -1, -1):
-            n, alpha = live[t], steps[t]
+            n, alpha = live[t], steps.pop()
             if len(beta) < n:
                 beta = np.concatenate([beta, np.ones((n - len(beta), beta.shape[1]), np.float32)])
             here = starts[:n] + t

@@ -197,7 +197,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``id, shingles`` of the documents whose id is wanted: their texts move, the others' do not reach a shuffle's end."""
+    """``id, shingles`` of the documents whose id is wanted."""
     wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = stored(likely.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "first")
     spark = docs.sparkSession
     settle(spark)
-    sets = stored(_sets(docs, _members(likely), words), "sets")
+    # As many ids as there are documents with near copies: the same sort-merge join at every size.
+    sets = stored(_sets(docs, _members(likely).hint("merge"), words), "sets")
     settle(spark)
     links = stored(_confirmed(first, sets, percent), "links")
     labels = stored(components(links), "labels")
