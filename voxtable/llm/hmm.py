@@ -44,6 +44,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             found = split_words(b.column("text"), lower=True)[1].dictionary_encode()
             n = np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))
             yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.string()), pa.array(n)], names=["word", "c"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -125,6 +126,7 @@ def encode(docs: DataFrame, shared) -> DataFrame:
                  pa.array([codes.tobytes()], pa.binary()), whole(pairs >> 32, pa.int32()),
                  pa.ListArray.from_arrays(pa.array([0, len(tail_word)], pa.int32()), tail_word), whole(n, pa.int32())],
                 names=[c.split()[0] for c in _ENCODED.split(", ")])
+        pa.default_memory_pool().release_unused()        # the worker lives on beside others
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, _ENCODED)
 
