@@ -179,3 +179,11 @@ def test_curated_cases(spark):
                     ("empty", np.zeros(big.shape), big * 0, big))
     got = [(r.case_id, r.z, r.iou) for r in E.curate_cases(t, 3).collect()]
     assert got == [("best", 0, 1.0), ("half", 0, 0.5)]
+
+
+def test_auc_leaves_out_rows_without_score(spark):
+    rows = [("a", True, 0.9), ("a", False, 0.1), ("a", True, None), ("a", False, None), ("a", False, float("nan")),
+            ("b", True, None)]
+    df = spark.createDataFrame(rows, "case_id string, y boolean, s double")
+    got = {r.case_id: r.auc for r in E.auc(df, ["case_id"], "y", "s").collect()}
+    assert got == {"a": 1.0, "b": None}

@@ -85,7 +85,7 @@ def test_exact_percentiles_with_and_without_snapping(spark, accuracy):
     data = {"hot": np.round(rng.exponential(100, 6000), 3), "flat": np.full(500, 2.5), "few": rng.normal(size=9)}
     df = spark.createDataFrame([(k, float(v), i) for k, a in data.items() for i, v in enumerate(a)], "k string, v double, i int")
     qs = [0.01, 0.5, 0.99]
-    got = R.exact_percentiles(df.repartition(7), ["k"], "v", qs, accuracy=accuracy, spread=["i"]).collect()
+    got = R.exact_percentiles(df.repartition(7), ["k"], "v", qs, accuracy=accuracy).collect()
     for r in got:
         assert r.pct == pytest.approx(np.percentile(data[r.k], [1, 50, 99]).tolist(), abs=1e-12)
     assert len(got) == 3
@@ -98,11 +98,20 @@ def test_snapping_leaves_few_distinct_values(spark):
     assert got == pytest.approx(want.tolist(), abs=1e-9)
 
 
-def test_spread_join_matches_plain_join(spark, hot):
-    _, df = hot
-    small = df.groupBy("k").agg(F.sum("v").alias("s"))
-    a = R.spread_join(df, small, ["k"], ["o"]).agg(F.sum("s"), F.count("*")).first()
-    assert a == df.join(small, "k").agg(F.sum("s"), F.count("*")).first()
+def test_null_keys_and_orders_keep_their_rows(spark):
+    rows = [("a", 1, 1.0), ("a", None, 2.0), (None, 5, 3.0), (None, 7, 4.0)]
+    df = spark.createDataFrame(rows, "k string, o long, v double")
+    assert R.row_index(df, ["k"], "o").count() == 4
+    got = {(r.k, r.o): r.running for r in R.running_sum(df, ["k"], "o", "v").collect()}
+    assert got[(None, 5)] == 3.0 and got[(None, 7)] == 7.0 and len(got) == 4
+    assert R.best_before(df, ["k"], "o", "v").count() == 4
+
+
+def test_rolling_mean_over_windows_wider_than_a_bucket(spark):
+    df = spark.createDataFrame([("a", i, float(i * i % 7)) for i in range(30)], "k string, i long, v double")
+    got = {r.i: r.smoothed for r in R.rolling_mean(df, ["k"], "i", "v", 6, width=2).collect()}
+    v = [float(i * i % 7) for i in range(30)]
+    assert all(got[i] == pytest.approx(np.mean(v[max(0, i - 5):i + 1])) for i in range(30)) and len(got) == 30
 
 
 def test_results_do_not_depend_on_partitions(spark, hot):

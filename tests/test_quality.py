@@ -62,7 +62,7 @@ def test_the_threshold_stays_far_below_real_frames():
 def test_up_to_eight_mask_values_are_quoted(spark):
     m = np.arange(36).reshape(1, 6, 6)
     msg = Q.validate_volumes(slice_table(spark, ("c", legit(1, 6), m))).first().message
-    assert msg == "c: mask must be binary, found values [0, 1, 2, 3, 4, 5, 6, 7] ..."
+    assert msg == "c: mask has values other than 0 and 1: [0, 1, 2, 3, 4, 5, 6, 7] ..."
 
 
 def test_summary_counts_slices_and_voxels(spark):

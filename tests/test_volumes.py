@@ -72,8 +72,18 @@ def test_large_case_tables_take_the_salted_join(spark, monkeypatch):
     def run():
         return stack(V.crop_to_roi(V.normalise_intensity(t), margin=1))
     small = run()
-    monkeypatch.setattr("voxtable.operators.ordered.BROADCAST_ROWS", 0)
-    assert np.allclose(run(), small)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert np.allclose(run(), small)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_missing_instances_name_their_series(spark):
+    f = spark.createDataFrame([("s", "1"), ("s", None)], "series_uid string, instance string")
+    with pytest.raises(Exception, match="no instance number in series s"):
+        V.order_slices(f).collect()
 
 
 def test_approximate_normalise_is_close(spark):

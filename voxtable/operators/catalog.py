@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from voxtable.functions.text import contains_text, parse_histology_name, phase_rank
-from voxtable.operators.ordered import running_sum, spread_join
+from voxtable.operators.ordered import running_sum
 
 # Modalities that carry segmentations.
 SEGMENTATION_MODALITIES = ("SEG", "RTSTRUCT")
@@ -18,10 +18,9 @@ def not_existing(series: DataFrame, existing: DataFrame, key: str = "series_uid"
     return series.join(existing.select(key), key, "left_anti")
 
 
-def annotated_only(series: DataFrame, boxes: DataFrame, key: str = "patient_id",
-                   spread: str = "series_uid") -> DataFrame:
+def annotated_only(series: DataFrame, boxes: DataFrame, key: str = "patient_id") -> DataFrame:
     """Rows of patients that occur in the annotation table."""
-    return spread_join(series, boxes.select(key).distinct(), [key], [spread], "left_semi")
+    return series.join(boxes.select(key).distinct(), key, "left_semi")
 
 
 def first_patients(df: DataFrame, n: int, order: str | None = None,
@@ -53,7 +52,9 @@ def select_series(series: DataFrame, existing: DataFrame | None = None, boxes: D
     """Which series to fetch: filters, annotation and storage checks, then the budgets."""
     out = series
     if max_patients is not None:
-        source, order = (boxes, order_by) if boxes is not None and order_by in boxes.columns else (series, None)
+        # Patients come from the annotation table; without an order of its own, its ids decide.
+        source = series if boxes is None else boxes
+        order = order_by if boxes is not None and order_by in boxes.columns else None
         out = out.join(first_patients(source, max_patients, order), "patient_id", "left_semi")
     if boxes is not None:
         out = annotated_only(out, boxes)
@@ -77,7 +78,7 @@ def segmentations_of(catalogue: DataFrame, stored: DataFrame, existing: DataFram
     A semi join: each segmentation comes out once, however many series its study has.
     """
     segs = catalogue.where(F.col("modality").isin(list(modalities)))
-    segs = spread_join(segs, stored.select("study_uid").distinct(), ["study_uid"], ["series_uid"], "left_semi")
+    segs = segs.join(stored.select("study_uid").distinct(), "study_uid", "left_semi")
     return not_existing(segs, existing) if existing is not None else segs
 
 
@@ -117,8 +118,7 @@ def match_boxes(series: DataFrame, boxes: DataFrame, skip_empty: bool = True) ->
 
     Boxes are folded per (patient, view) first, so a busy key does not multiply rows.
     """
-    out = spread_join(series, box_groups(boxes), ["patient_id", "view_key"], ["series_no"],
-                      "inner" if skip_empty else "left")
+    out = series.join(box_groups(boxes), ["patient_id", "view_key"], "inner" if skip_empty else "left")
     return out.withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)))
 
 

@@ -11,7 +11,7 @@ from voxtable.functions import numeric as N
 from voxtable.functions.hashing import as_int, order_key
 from voxtable.operators.components import centroid_inside, with_components
 from voxtable.operators.ordered import (
-    best_before, exact_percentiles, hash_index, rolling_mean, row_index, spread_join)
+    best_before, exact_percentiles, hash_index, rejoin, rolling_mean, row_index)
 from voxtable.operators.overlap import plain_overlap
 from voxtable.operators.volumes import bilinear_array
 from voxtable.session import stored
@@ -83,7 +83,7 @@ def bootstrap_ci(df: DataFrame, value: str, key: str = "case_id", by: Sequence[s
     vals = hash_index(vals, k, "_h", out="_pos").select(*k, "_pos", "_v")
     # Written, so that the join of draws to values is planned by the true size of the values:
     # broadcast when they are small, shuffled by position when they are not.
-    vals = stored(spread_join(vals, groups.select(*k, "n"), k, ["_pos"]), "resampled")
+    vals = stored(vals.join(groups.select(*k, "n"), k), "resampled")
     # A few positions make many draws, so runs of resamples are dealt to tasks before they unfold.
     runs = F.sequence(F.lit(0), F.lit((resamples - 1) // RESAMPLE_RUN))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -115,7 +115,7 @@ def cohort_report(cases: DataFrame, resamples: int = 10_000, alpha: float = 0.05
 
 def cohort_timing(cases: DataFrame, seconds: str = "seconds") -> DataFrame:
     """Totals and scoring times of a cohort; ``seconds`` is measured by whoever scored it."""
-    med = exact_percentiles(cases, [], seconds, [0.5], out="_p", spread=["case_id"])
+    med = exact_percentiles(cases, [], seconds, [0.5], out="_p")
     return cases.agg(
         F.count(F.lit(1)).alias("n_patients"), F.sum("n_slices").alias("n_slices"),
         F.avg(seconds).alias("seconds_mean"), F.max(seconds).alias("seconds_max"),
@@ -129,10 +129,13 @@ def auc(df: DataFrame, keys: Sequence[str], label: str, score: str, out: str = "
     """Area under the ROC curve per key with ties counted half; null when a class is absent.
 
     Rows are folded to distinct scores, and the negatives below each score are accumulated
-    over score buckets, then inside a bucket.
+    over score buckets, then inside a bucket.  Rows without score or label do not take part.
     """
     flat = df if keys else df.withColumn("_all", F.lit(0))
     k = list(keys) or ["_all"]
+    groups = flat.select(*k).distinct()
+    value = F.col(score).cast("double")
+    flat = flat.where(value.isNotNull() & ~F.isnan(value) & F.col(label).isNotNull())
     pos = F.col(label).cast("double") == 1.0
     g = flat.groupBy(*k, F.col(score).cast("double").alias("_s")).agg(
         F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n"))
@@ -141,12 +144,13 @@ def auc(df: DataFrame, keys: Sequence[str], label: str, score: str, out: str = "
     w = W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     tot = tot.select(*k, "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_below"))
     inside = W.partitionBy(*k, "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    g = g.join(tot, [*k, "_b"]).withColumn(
+    g = rejoin(g, tot, [*k, "_b"]).withColumn(
         "_lower", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     sums = g.groupBy(*k).agg(F.sum(F.col("_p") * (F.col("_lower") + F.col("_n") / 2)).alias("_w"),
                              F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     pairs = F.col("_p").cast("double") * F.col("_n")
-    return sums.select(*k, F.when(pairs > 0, F.col("_w") / pairs).alias(out)).drop("_all")
+    areas = sums.select(*k, F.when(pairs > 0, F.col("_w") / pairs).alias(out))
+    return rejoin(groups, areas, k, "left").drop("_all")
 
 
 def first_hit_rank(scores: DataFrame) -> DataFrame:
@@ -156,14 +160,14 @@ def first_hit_rank(scores: DataFrame) -> DataFrame:
     """
     order = F.struct(F.col("score").alias("s"), (-F.col("z")).alias("z"))
     top = scores.where("has_lesion").groupBy("case_id").agg(F.max(order).alias("_top"))
-    s = spread_join(scores.select("case_id", "z", "score"), top, ["case_id"], ["z"])
+    s = scores.select("case_id", "z", "score").join(top, "case_id")
     return s.groupBy("case_id").agg((F.count_if(order > F.col("_top")) + 1).alias("rank"))
 
 
 def ranking_metrics(scores: DataFrame, k: int = 3) -> DataFrame:
     """Top-1, top-k, median rank and mean AUC over cases that have a positive slice."""
     ranks = first_hit_rank(scores)
-    med = exact_percentiles(ranks, [], "rank", [0.5], out="_p", spread=["case_id"])
+    med = exact_percentiles(ranks, [], "rank", [0.5], out="_p")
     areas = auc(scores, ["case_id"], "has_lesion", "score")
     return ranks.agg(
         F.count(F.lit(1)).alias("n_patients"),

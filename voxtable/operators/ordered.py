@@ -12,12 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from voxtable.session import stored
-
 WIDTH = 1 << 16          # rows of a unique integer order column that share one bucket
 HASH_DIGITS = 4          # hex digits of an md5 order key that form one bucket
-SALTS = 32
-BROADCAST_ROWS = 1_000_000    # rows of a key and a few numbers: about 100 MB
 
 
 def _const_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -28,30 +24,14 @@ def number_bucket(order: str, width: int = WIDTH) -> Column:
     return F.floor(F.col(order) / F.lit(width))
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
-                how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join one row per key to many rows per key without gathering a hot key.
-
-    The big side is salted by ``spread`` and the small side (one row per key) is repeated per
-    salt.  There is no broadcast hint: Spark broadcasts only when the measured size allows.
-    """
-    left = big.withColumn("_salt", F.pmod(F.hash(*[F.col(c) for c in spread]), F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def keyed_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
-               how: str = "inner", written: bool = False) -> DataFrame:
-    """Join narrow per-key rows to wide rows, moving the wide side only when it has to.
+def rejoin(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one row per key to many rows per key; a null key meets a null key.
 
-    ``small`` (one row per key, a few numbers) is written once and counted.  Up to
-    ``BROADCAST_ROWS`` it is broadcast, so slice pixels stay where they were read; beyond that
-    the salted join of :func:`spread_join` takes over.  ``written`` says it is a stored table.
+    No hint and no switch: the planner broadcasts by measured size and splits skewed keys.
     """
-    small = small if written else stored(small, "keyed")
-    if small.count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), list(on), how)
-    return spread_join(big, small, on, spread, how)
+    named = small.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in small.columns])
+    match = [big[c].eqNullSafe(named[f"_on_{c}"]) for c in on]
+    return big.join(named, match, how).drop(*[f"_on_{c}" for c in on])
 
 
 def _before(df: DataFrame, keys: list[str], bucket: str, value: Column, start) -> Column:
@@ -70,7 +50,7 @@ def row_index(df: DataFrame, keys: Sequence[str], order: str, out: str = "idx",
     starts = df.groupBy(*k, "_b").agg(F.count(F.lit(1)).alias("_n"))
     starts = starts.select(*k, "_b", _before(starts, k, "_b", F.sum("_n"), 0).alias("_start"))
     local = F.row_number().over(W.partitionBy(*k, "_b").orderBy(order)) - 1
-    out_df = (df.withColumn("_local", local).join(starts, [*k, "_b"])
+    out_df = (rejoin(df.withColumn("_local", local), starts, [*k, "_b"])
               .withColumn(out, (F.col("_start") + F.col("_local")).cast("long"))
               .drop("_b", "_local", "_start"))
     return out_df.drop("_every")
@@ -95,7 +75,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     if stop_at is not None:
         sums = sums.where(F.col("_start") < F.lit(stop_at))
     w = W.partitionBy(*k, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    rows = df.join(sums, [*k, "_b"])
+    rows = rejoin(df, sums, [*k, "_b"])
     return (rows.withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(w), F.lit(0)))
             .drop("_b", "_start", "_every"))
 
@@ -104,12 +84,11 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], index: str, value: str, win
                  out: str = "smoothed", width: int = WIDTH) -> DataFrame:
     """Mean of the row and its ``window - 1`` predecessors along a dense 0-based index.
 
-    The last ``window - 1`` rows of a bucket are repeated into the next one as lead-in.
+    A row is repeated as lead-in into every later bucket that its window reaches.
     """
     k = list(keys)
     b = F.floor(F.col(index) / F.lit(width))
-    tail = F.pmod(F.col(index), F.lit(width)) >= F.lit(width - window + 1)
-    copies = F.when(tail, F.array(b, b + 1)).otherwise(F.array(b))
+    copies = F.sequence(b, F.floor((F.col(index) + F.lit(window - 1)) / F.lit(width)))
     rep = df.withColumn("_own", b).withColumn("_b", F.explode(copies))
     w = W.partitionBy(*k, "_b").orderBy(index).rowsBetween(-(window - 1), 0)
     return (rep.withColumn(out, F.avg(value).over(w)).where(F.col("_own") == F.col("_b"))
@@ -125,7 +104,7 @@ def best_before(df: DataFrame, keys: Sequence[str], index: str, value: str, out:
     w = W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     tops = tops.select(*k, "_b", F.max("_m").over(w).alias("_past"))
     inside = W.partitionBy(*k, "_b").orderBy(index).rowsBetween(W.unboundedPreceding, -1)
-    return (df.join(tops, [*k, "_b"])
+    return (rejoin(df, tops, [*k, "_b"])
             .withColumn(out, F.greatest(F.col("_past"), F.max(value).over(inside)))
             .drop("_b", "_past"))
 
@@ -152,14 +131,13 @@ def hash_cutoff(df: DataFrame, key: str, n: Column) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-                      out: str = "pct", spread: Sequence[str] | None = None,
-                      accuracy: int = 10_000, is_array: bool = False) -> DataFrame:
+                      out: str = "pct", accuracy: int = 10_000, is_array: bool = False) -> DataFrame:
     """Exact interpolated percentiles per key (array column ``out``), for keys of any size.
 
     A bounded sketch brackets each wanted order statistic.  Values outside the brackets are
     snapped to the nearest bracket edge, which keeps every wanted rank and leaves few distinct
     values; those are counted (with map-side combine), and a running count over them, which can
-    spill, finds the ranks.  Keys small enough to be held exactly skip the snapping.  ``is_array`` treats
+    spill, finds the ranks.  ``is_array`` treats
     ``value`` as an array of numbers.
     """
     df, k = _const_key(df, keys)
@@ -173,12 +151,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequen
     sketch = flat(df, F.col(value)).groupBy(*k).agg(
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("_m"))
-    spread = list(spread) if spread else [value]
-    join = keyed_join if is_array else spread_join      # arrays are wide rows that should not move
-    joined = join(df.select(*dict.fromkeys([*k, *spread, value])), sketch, k, spread)
+    joined = rejoin(df.select(*dict.fromkeys([*k, value])), sketch, k)
 
     def snap(v: Column) -> Column:
         edge = [F.get("_m", F.lit(i)) for i in range(len(marks))]
+        # Brackets of keys this small may hold a single rank, and interpolation needs its neighbour.
         e = F.when(F.col("_n") <= F.lit(10 * accuracy), v)
         for i in range(0, len(marks), 2):
             e = e.when(v < edge[i], edge[i - 1] if i else edge[0]).when(v <= edge[i + 1], v)

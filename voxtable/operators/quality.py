@@ -33,7 +33,7 @@ def case_checks(slices: DataFrame) -> DataFrame:
         F.array_min(finite).alias("lo"), F.array_max(finite).alias("hi"),
         A.positive_count("mask").alias("lesion"), odd.alias("odd"))
     g = s.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("depth"), F.min("z").alias("zmin"), F.max("z").alias("zmax"),
+        F.count(F.lit(1)).alias("depth"), F.count_distinct("z").alias("zs"), F.min("z").alias("zmin"), F.max("z").alias("zmax"),
         F.min("h").alias("h"), F.max("h").alias("hmax"), F.min("w").alias("w"), F.max("w").alias("wmax"),
         F.count_if(F.col("np") != F.col("h") * F.col("w")).alias("bad_shape"),
         F.count_if(F.col("nm") != F.col("np")).alias("bad_mask_shape"),
@@ -75,25 +75,26 @@ def validate_volumes(slices: DataFrame, expect_full_frame: bool = True) -> DataF
         return F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
                                      text.alias("message")))
     ragged = ((col("bad_shape") > 0) | (col("h") != col("hmax")) | (col("w") != col("wmax"))
-              | (col("zmin") != 0) | (col("zmax") + 1 != col("depth")))
+              | (col("zmin") != 0) | (col("zmax") + 1 != col("depth"))
+              | (col("zs") != col("depth")))
     empty = (col("depth") == 0) | (col("hmax") == 0) | (col("wmax") == 0)
     quoted = F.concat(
         F.lit("["), F.array_join(F.slice("values", 1, QUOTED_VALUES).cast("array<string>"), ", "), F.lit("]"),
         F.when(F.size("values") > QUOTED_VALUES, " ...").otherwise(""))
     contract = F.coalesce(
-        found(ragged, "not_3d", "error", "volume must be 3D: slices are missing or differ in shape ", shape),
-        found(col("bad_mask_shape") > 0, "mask_shape", "error", "mask shape does not match volume shape on ",
+        found(ragged, "not_3d", "error", "slices are missing, repeated or differ in shape: ", shape),
+        found(col("bad_mask_shape") > 0, "mask_shape", "error", "mask and pixels differ in size on ",
               col("bad_mask_shape"), " slice(s)"),
-        found(empty, "empty_axis", "error", "volume has an empty axis: shape ", shape),
-        found(col("non_finite") > 0, "non_finite", "error", "volume holds ", col("non_finite"),
-              " non-finite value(s) out of ", col("voxels")),
-        found(col("odd_slices") > 0, "mask_values", "error", "mask must be binary, found values ", quoted))
+        found(empty, "empty_axis", "error", "nothing along an axis of ", shape),
+        found(col("non_finite") > 0, "non_finite", "error", col("non_finite"), " of ",
+              col("voxels"), " pixels are no usable numbers"),
+        found(col("odd_slices") > 0, "mask_values", "error", "mask has values other than 0 and 1: ", quoted))
     small = F.lit(expect_full_frame) & (F.least("h", "w") < MIN_IN_PLANE)
     warnings = F.array_compact(F.array(
-        found(col("hi") == col("lo"), "constant", "warning", "volume is constant"),
+        found(col("hi") == col("lo"), "constant", "warning", "all pixels are equal"),
         found(small, "in_plane", "warning", "in-plane size is ", col("h"), "x", col("w"), ", below ",
               F.lit(MIN_IN_PLANE)),
-        found(col("lesion_voxels") == 0, "empty_mask", "warning", "mask is empty")))
+        found(col("lesion_voxels") == 0, "empty_mask", "warning", "no pixel is marked")))
     rows = F.when(contract.isNotNull(), F.array(contract)).otherwise(warnings)
     return c.select("case_id", F.explode(rows).alias("_r")).select("case_id", "_r.*")
 

@@ -48,8 +48,9 @@ def _sample(img: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
     x = np.clip(xs + 1, 0, w + 0.999999)
     y0, x0 = y.astype(int), x.astype(int)
     fy, fx = y - y0, x - x0
-    return ((1 - fy) * ((1 - fx) * pad[y0, x0] + fx * pad[y0, x0 + 1])
-            + fy * ((1 - fx) * pad[y0 + 1, x0] + fx * pad[y0 + 1, x0 + 1]))
+    inside = (ys > -1) & (ys < h) & (xs > -1) & (xs < w)
+    return inside * ((1 - fy) * ((1 - fx) * pad[y0, x0] + fx * pad[y0, x0 + 1])
+                     + fy * ((1 - fx) * pad[y0 + 1, x0] + fx * pad[y0 + 1, x0 + 1]))
 
 
 def rotate_scale(img: np.ndarray, mask: np.ndarray, degrees: float, scale: float) -> tuple[np.ndarray, np.ndarray]:

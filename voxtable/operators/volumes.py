@@ -1,8 +1,7 @@
 """Volumes as slice rows: ordering, boxes, subtraction, normalisation, cropping, resizing.
 
-Pixel arrays stay in their slice row.  Only narrow per-case numbers are joined back, through
-:func:`~voxtable.operators.ordered.keyed_join`, so pixels rarely move and a deep case is never
-sent to one task.
+Pixel arrays stay in their slice row.  Only narrow per-case numbers are joined back, by
+equi-joins whose strategy the planner picks by measured size.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from voxtable.functions import arrays as A
-from voxtable.operators.ordered import exact_percentiles, keyed_join, row_index, spread_join
+from voxtable.operators.ordered import exact_percentiles, row_index
 
 # Clip percentiles, crop margin, slab half-width, strip depth limits.
 CLIP_PERCENTILES = (0.01, 0.99)
@@ -29,8 +28,14 @@ BOX = ["z0", "z1", "y0", "y1", "x0", "x1"]
 # ---- slices and voxels ------------------------------------------------------------------
 
 def order_slices(files: DataFrame, key: str = "series_uid", instance: str = "instance") -> DataFrame:
-    """Dense 0-based ``z`` from the instance number, compared as a number."""
-    n = files.withColumn("_i", F.col(instance).cast("long"))
+    """Dense 0-based ``z`` from the instance number, compared as a number.
+
+    A file without a usable number stops the job and names its series.
+    """
+    number = F.col(instance).try_cast("long")
+    name = F.coalesce(F.col(key).cast("string"), F.lit("(no name)"))
+    lost = F.raise_error(F.concat(F.lit("a file has no instance number in series "), name)).cast("long")
+    n = files.withColumn("_i", F.coalesce(number, lost))
     return row_index(n, [key], "_i", out="z").withColumn("z", F.col("z").cast("int")).drop("_i")
 
 
@@ -85,8 +90,7 @@ def box_runs(boxes: DataFrame, cases: DataFrame) -> DataFrame:
     Runs that share a start are merged, so a slice has at most ``h * w`` of them whatever
     the number of boxes.
     """
-    b = spread_join(boxes.distinct(), cases.select("case_id", "depth", "h", "w"), ["case_id"],
-                    ["z0", "y0", "x0"])
+    b = boxes.distinct().join(cases.select("case_id", "depth", "h", "w"), "case_id")
     b = b.select("case_id", F.greatest("z0", F.lit(0)).alias("z0"), F.least("z1", "depth").alias("z1"),
                  F.greatest("y0", F.lit(0)).alias("y0"), F.least("y1", "h").alias("y1"),
                  F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", "w").alias("x1"))
@@ -109,11 +113,10 @@ def _paint(h: pd.Series, w: pd.Series, ys: pd.Series, x0s: pd.Series, x1s: pd.Se
     return pd.Series(out)
 
 
-def paint_runs(slices: DataFrame, runs: DataFrame, on: Sequence[str], spread: Sequence[str] | None = None,
-               out: str = "mask") -> DataFrame:
-    """Masks from row runs keyed by ``on``; give ``spread`` when many slices share one key."""
+def paint_runs(slices: DataFrame, runs: DataFrame, on: Sequence[str], out: str = "mask") -> DataFrame:
+    """Masks from row runs keyed by ``on``."""
     per_key = runs.groupBy(*on).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_r"))
-    joined = spread_join(slices, per_key, on, spread, "left") if spread else slices.join(per_key, list(on), "left")
+    joined = slices.join(per_key, list(on), "left")
     return joined.withColumn(out, _paint(F.col("h").cast("int"), F.col("w").cast("int"),
                                          F.col("_r.y"), F.col("_r.x0"), F.col("_r.x1"))).drop("_r")
 
@@ -148,9 +151,9 @@ def intensity_stats(slices: DataFrame, low: float = CLIP_PERCENTILES[0],
         pct = (slices.select("case_id", F.explode("pixels").alias("_v")).groupBy("case_id")
                .agg(F.percentile_approx("_v", F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias("pct")))
     else:
-        pct = exact_percentiles(slices, ["case_id"], "pixels", [low, high], spread=["z"], is_array=True)
+        pct = exact_percentiles(slices, ["case_id"], "pixels", [low, high], is_array=True)
     levels = pct.select("case_id", F.get("pct", F.lit(0)).alias("lo"), F.get("pct", F.lit(1)).alias("hi"))
-    v = keyed_join(slices.select("case_id", "z", "pixels"), levels, ["case_id"], ["z"])
+    v = slices.select("case_id", "z", "pixels").join(levels, "case_id")
     c = v.select("case_id", "lo", "hi", F.explode("pixels").alias("_v")).select(
         "case_id", "lo", "hi", F.greatest(F.least("_v", "hi"), "lo").alias("_c"))
     return c.groupBy("case_id").agg(
@@ -162,7 +165,7 @@ def normalise_intensity(slices: DataFrame, low: float = CLIP_PERCENTILES[0],
                         high: float = CLIP_PERCENTILES[1], approximate: bool = False) -> DataFrame:
     """Clip to the case's own percentiles, then standardise with the clipped mean and deviation."""
     stats = intensity_stats(slices, low, high, approximate)
-    out = keyed_join(slices, stats, ["case_id"], ["z"])
+    out = slices.join(stats, "case_id")
     return out.withColumn("pixels", A.standard_scores(
         "pixels", F.col("lo"), F.col("hi"), F.col("mean"), F.col("std"))).drop("lo", "hi", "mean", "std")
 
@@ -173,8 +176,8 @@ def display_window(slices: DataFrame, per: str = "stack") -> DataFrame:
     if per == "slice":
         return slices.withColumn("shown", A.display_bytes(
             "pixels", A.percentile_of("pixels", lo), A.percentile_of("pixels", hi)))
-    win = exact_percentiles(slices, ["case_id"], "pixels", [lo, hi], out="_w", spread=["z"], is_array=True)
-    out = keyed_join(slices, win, ["case_id"], ["z"])
+    win = exact_percentiles(slices, ["case_id"], "pixels", [lo, hi], out="_w", is_array=True)
+    out = slices.join(win, "case_id")
     return out.withColumn("shown", A.display_bytes(
         "pixels", F.get("_w", F.lit(0)), F.get("_w", F.lit(1)))).drop("_w")
 
@@ -212,7 +215,7 @@ def crop_to_roi(slices: DataFrame, margin: int = CROP_MARGIN, window: DataFrame
 
     Pass ``window`` when it was computed from a cheaper table with the same masks.
     """
-    s = keyed_join(slices, roi(slices, margin) if window is None else window, ["case_id"], ["z"])
+    s = slices.join(roi(slices, margin) if window is None else window, "case_id")
     s = s.where((F.col("z") >= F.col("z0")) & (F.col("z") < F.col("z1")))
     win = [F.col(c) for c in ("y0", "y1", "x0", "x1")]
     return (s.withColumns({"pixels": A.crop("pixels", "w", *win), "mask": A.crop("mask", "w", *win)})
@@ -233,7 +236,7 @@ def cut_slab(slices: DataFrame, cases: DataFrame, centre: str = "centre",
                    F.col("depth").cast("string"), F.lit(" in "), F.col("case_id"))
     lo = F.when(inside, F.greatest(c - slab, F.lit(0))).otherwise(F.raise_error(msg).cast("int"))
     cut = cases.withColumn("_lo", lo).withColumn("_hi", F.least(c + slab + 1, F.col("depth")))
-    s = keyed_join(slices, cut.select("case_id", "_lo", "_hi"), ["case_id"], ["z"])
+    s = slices.join(cut.select("case_id", "_lo", "_hi"), "case_id")
     s = (s.where((F.col("z") >= F.col("_lo")) & (F.col("z") < F.col("_hi")))
          .withColumn("z", F.col("z") - F.col("_lo")).drop("_lo", "_hi"))
     meta = cut.withColumns({
@@ -246,7 +249,7 @@ def cut_slab(slices: DataFrame, cases: DataFrame, centre: str = "centre",
 def to_full_frame(df: DataFrame, cases: DataFrame) -> DataFrame:
     """Shift ``best_slice`` and the box by the case's crop offset; prefer the source depth."""
     meta = cases.select("case_id", "off_z", "off_y", "off_x", "source_n_slices", "depth")
-    out = spread_join(df, meta, ["case_id"], ["best_slice"])
+    out = df.join(meta, "case_id")
     return out.withColumns({
         "best_slice": F.col("best_slice") + F.col("off_z"),
         "full_x": F.col("box_x") + F.col("off_x"), "full_y": F.col("box_y") + F.col("off_y"),
@@ -320,7 +323,7 @@ def slice_strip(slices: DataFrame, cases: DataFrame, best: DataFrame,
     meta = cases.where(F.col("depth").between(STRIP_MIN, max_slices)).select("case_id", "depth", "off_z")
     meta = meta.join(best.select("case_id", "best_slice"), "case_id").withColumn(
         "best_position", F.greatest(F.least(F.col("best_slice") - F.col("off_z"), F.col("depth") - 1), F.lit(0)))
-    s = keyed_join(slices, meta, ["case_id"], ["z"])
+    s = slices.join(meta, "case_id")
     shown = display_window(s, per="stack")
     return shown.withColumns({"index": F.col("z") + F.col("off_z"),
                               "is_best": F.col("z") == F.col("best_position")}).drop("depth", "off_z", "best_slice")

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from voxtable.functions import arrays as A
 from voxtable.operators import volumes as V
 from voxtable.operators.catalog import group_phases, pair_phases
-from voxtable.operators.ordered import keyed_join
 from voxtable.session import stored
 
 SLICE = ["z", "h", "w", "pixels"]
@@ -27,7 +26,7 @@ def _finish(painted: DataFrame, crop: bool, margin: int) -> DataFrame:
 def contrast_pairs(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, post_rank: int = 2) -> DataFrame:
     """Baseline and pass per patient with the first reason that rules the patient out.
 
-    Reasons in order: a phase is missing, no annotation, the two phases differ in shape.
+    Reasons in order: a phase is missing, no annotation, a phase without slices, phases that differ in shape.
     Pixels are not read here.
     """
     pairs = pair_phases(group_phases(series), post_rank).withColumnRenamed("patient_id", "case_id")
@@ -38,6 +37,7 @@ def contrast_pairs(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, pos
              .join(shape.toDF("pre_folder", "_pre"), "pre_folder", "left")
              .join(shape.toDF("post_folder", "_post"), "post_folder", "left"))
     reason = (F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_noted").isNull(), "no_boxes")
+              .when(F.col("_pre").isNull() | F.col("_post").isNull(), "missing_phase")
               .when(~F.col("_pre").eqNullSafe(F.col("_post")), "shape_mismatch"))
     return pairs.select("case_id", "pre_folder", "post_folder", reason.alias("reason"))
 
@@ -54,7 +54,7 @@ def prepare_contrast(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, p
 
     def phase(column: str) -> DataFrame:
         key = good.select(F.col(column).alias("folder"), "case_id")
-        return keyed_join(slices.select("folder", *SLICE), key, ["folder"], ["z"], written=True).drop("folder")
+        return slices.select("folder", *SLICE).join(key, "folder").drop("folder")
     diff = V.subtract_phases(phase("pre_folder"), phase("post_folder"))
     painted = stored(V.paint_boxes(diff, V.boxes_from_1based(boxes3d)), "subtracted")
     return _finish(painted, crop, margin), _outcome(pairs)
@@ -84,10 +84,10 @@ def prepare_boxes(slices: DataFrame, boxes2d: DataFrame, margin: int = 2, crop:
     """
     runs = annotation_runs(boxes2d, slices, margin)
     on = ["patient_id", "view_key", "z"]
-    painted = stored(V.paint_runs(slices, runs, on, spread=["case_id"]), "painted")
+    painted = stored(V.paint_runs(slices, runs, on), "painted")
     cases = painted.groupBy("case_id").agg(F.max(A.any_positive("mask")).alias("_any"))
     reason = F.when(~F.col("_any"), "no_boxes") if skip_empty else F.lit(None).cast("string")
     cases = cases.select("case_id", reason.alias("reason"))
     cases = stored(cases, "cases")
-    kept = keyed_join(painted, cases.where(F.col("reason").isNull()).select("case_id"), ["case_id"], ["z"], written=True)
+    kept = painted.join(cases.where(F.col("reason").isNull()).select("case_id"), "case_id")
     return _finish(kept, crop, crop_margin), _outcome(cases)

@@ -11,7 +11,6 @@ from voxtable.plans.views import r6, study, table, with_views
 from voxtable.session import scratch_path, stored
 from voxtable.sources import tables as T
 from voxtable.sources import volumes as SV
-from voxtable.sources.storage import storage_footprint
 
 
 def faulty(spark, d):
@@ -35,13 +34,13 @@ def faulty(spark, d):
         count(*) FILTER (z % 7 = 0) AS q7 FROM slices GROUP BY ALL),
 w AS (SELECT *, case_id || ': in-plane size is 8x8, below 128' AS msg FROM d)
 SELECT case_id, 'non_finite' AS rule, 'error' AS severity,
-  case_id || ': volume holds ' || CASE case_no WHEN 0 THEN q4 ELSE q5 END || ' non-finite value(s) out of ' || depth * 64 AS message FROM d WHERE case_no IN (0, 1)
-UNION ALL SELECT case_id, 'constant', 'warning', case_id || ': volume is constant' FROM d WHERE case_no = 2
+  case_id || ': ' || CASE case_no WHEN 0 THEN q4 ELSE q5 END || ' of ' || depth * 64 || ' pixels are no usable numbers' AS message FROM d WHERE case_no IN (0, 1)
+UNION ALL SELECT case_id, 'constant', 'warning', case_id || ': all pixels are equal' FROM d WHERE case_no = 2
 UNION ALL SELECT case_id, 'in_plane', 'warning', msg FROM w WHERE case_no IN (2, 4) OR case_no > 6
-UNION ALL SELECT case_id, 'mask_values', 'error', case_id || ': mask must be binary, found values [0, 1, 7]' FROM d WHERE case_no = 3
-UNION ALL SELECT case_id, 'empty_mask', 'warning', case_id || ': mask is empty' FROM d WHERE case_no = 4
-UNION ALL SELECT case_id, 'mask_shape', 'error', case_id || ': mask shape does not match volume shape on ' || q7 || ' slice(s)' FROM d WHERE case_no = 5
-UNION ALL SELECT case_id, 'not_3d', 'error', case_id || ': volume must be 3D: slices are missing or differ in shape (' || depth || ', 8, 8)' FROM d WHERE case_no = 6
+UNION ALL SELECT case_id, 'mask_values', 'error', case_id || ': mask has values other than 0 and 1: [0, 1, 7]' FROM d WHERE case_no = 3
+UNION ALL SELECT case_id, 'empty_mask', 'warning', case_id || ': no pixel is marked' FROM d WHERE case_no = 4
+UNION ALL SELECT case_id, 'mask_shape', 'error', case_id || ': mask and pixels differ in size on ' || q7 || ' slice(s)' FROM d WHERE case_no = 5
+UNION ALL SELECT case_id, 'not_3d', 'error', case_id || ': slices are missing, repeated or differ in shape: (' || depth || ', 8, 8)' FROM d WHERE case_no = 6
 """, "slices"))
 def _(spark, d):
     return Q.validate_volumes(stored(faulty(spark, d), "faulty"))
@@ -158,10 +157,6 @@ def _(spark, d):
     return T.read_report(spark, path, "n_orders long, total double, top double")
 
 
-@query("storage_footprint")
-def _(spark, d):
-    return storage_footprint(spark, d)
-
 
 @query("write_once", "SELECT n_nationkey, n_name FROM nation")
 def _(spark, d):

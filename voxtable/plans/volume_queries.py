@@ -54,7 +54,7 @@ def _(spark, d):
         F.concat(F.lit("case_"), key % 10).alias("case_id"), F.col("c_nationkey").alias("slice"),
         (key % 97).cast("int").alias("x"), (key % 89).cast("int").alias("y"),
         (10 + F.col("c_nationkey") % 7).alias("width"), (8 + F.col("c_nationkey") % 5).alias("height"))
-    b = V.spread_join(b, V.case_table(slices(spark, d)).select("case_id", "depth"), ["case_id"], ["slice", "x", "y"])
+    b = b.join(V.case_table(slices(spark, d)).select("case_id", "depth"), "case_id")
     return V.boxes_from_2d(b, F.col("depth"))
 
 
