@@ -159,7 +159,7 @@ def _(spark, d):
   SELECT s.* FROM series s
   WHERE contains(lower(coalesce(description, '')), 'dyn')
     AND patient_id IN (SELECT patient_id FROM boxes2d)
-    AND patient_id IN (SELECT DISTINCT patient_id FROM series ORDER BY patient_id LIMIT 40)
+    AND patient_id IN (SELECT DISTINCT patient_id FROM boxes2d ORDER BY patient_id LIMIT 40)
     AND series_uid NOT IN (SELECT 'S' || p_partkey FROM part)),
 run AS (
   SELECT *, coalesce(sum(size_bytes) OVER (ORDER BY series_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
