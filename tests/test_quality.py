@@ -122,3 +122,14 @@ def test_slice_bank_is_reused_until_the_request_changes(spark, scratch):
     assert SV.build_slice_bank(t, out, ["a", "b"], size=4)
     r = SV.read_slice_bank(spark, out).first()
     assert len(r.pixels) == len(r.mask) == 16 and r.has_lesion
+
+
+def test_a_broken_rebuild_is_not_taken_for_a_finished_bank(spark, scratch):
+    out = f"{scratch}/bank"
+    t = slice_table(spark, ("a", np.ones((2, 4, 4))))
+    assert SV.build_slice_bank(t, out, ["a"], size=3)
+    bad = t.withColumn("h", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        SV.build_slice_bank(bad, out, ["a", "b"], size=3)
+    assert SV.build_slice_bank(t, out, ["a"], size=3)
+    assert SV.read_slice_bank(spark, out).count() == 2

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from voxtable.functions import arrays as A
 from voxtable.operators import quality as Q
 from voxtable.operators.volumes import crop_to_roi, resize
-from voxtable.session import path_exists
+from voxtable.session import path_exists, remove_path
 
 MANIFEST = "_manifest"      # hidden from readers of the slices beside it
 BANK_INDEX = "bank_index"
@@ -40,7 +40,8 @@ def guarded(slices: DataFrame) -> DataFrame:
         .when(n == 0, stop("volume has an empty axis"))
         .when(bad > 0, stop("slice ", F.col("z"), " holds ", bad, " non-finite value(s)"))
         .when(F.exists("mask", lambda m: (m != 0) & (m != 1)),
-              stop("mask must be binary, found values ", F.array_sort(F.array_distinct("mask"))))
+              stop("mask has values other than 0 and 1: ",
+                   F.slice(F.array_sort(F.array_distinct("mask")), 1, Q.QUOTED_VALUES)))
         .otherwise(F.col("pixels").cast("array<float>")))
     return slices.withColumn("pixels", checked)
 
@@ -82,8 +83,8 @@ def build_slice_bank(slices: DataFrame, path: str, sources: list[str], size: int
                      force: bool = False) -> bool:
     """Write all slices at ``size x size`` with ``has_lesion``; true when it (re)built.
 
-    A finished bank of the same size and source list is kept unless ``force``.  The index row
-    is written after the slices, so an interrupted build is never taken for a finished one.
+    A finished bank of the same size and source list is kept unless ``force``.  The index goes
+    before a rebuild and is written after the slices, so a broken build is never taken for a finished one.
     """
     spark = slices.sparkSession
     index = f"{path}/{BANK_INDEX}"
@@ -95,6 +96,7 @@ def build_slice_bank(slices: DataFrame, path: str, sources: list[str], size: int
     s = resize(slices.select("case_id", "z", "h", "w", "pixels", "mask",
                              A.any_positive("mask").alias("has_lesion")), size)
     s = s.withColumns({"pixels": F.col("pixels").cast("array<float>"), "mask": F.col("mask").cast("array<tinyint>")})
+    remove_path(spark, index)
     s.write.mode("overwrite").parquet(f"{path}/slices")
     row = {"image_size": size, "sources_sha256": want[1], "n_sources": len(sources)}
     spark.range(1).select(*[F.lit(v).alias(k) for k, v in row.items()]).write.mode("overwrite").json(index)
