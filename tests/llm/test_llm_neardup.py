@@ -111,3 +111,12 @@ def test_stage_keeps_one_of_each_group(spark):
     kept = neardup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and [r["doc_id"] for r in by_id(kept)] == [1, 2, 3, 9]
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_stage_tells_rows_of_a_null_or_repeated_id_apart(spark):
+    copy = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, copy), (None, copy), (None, "a text of its own that nobody else has"), (7, copy), (7, "another clean text here"),
+            (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS)
+    left = sorted(((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs).collect()), key=str)
+    assert left == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import bounded, hash_rest, list_numpy, split_words, stored
+from voxtable.llm.common import bounded, hash_rest, list_numpy, release, split_words, stored
 
 STATES, ROUNDS = 8, 3
 HEAD, TAIL = 28_000, 4_096
@@ -44,7 +44,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             found = split_words(b.column("text"), lower=True)[1].dictionary_encode()
             n = np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))
             yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.string()), pa.array(n)], names=["word", "c"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, shared) -> DataFrame:
                  pa.array([codes.tobytes()], pa.binary()), whole(pairs >> 32, pa.int32()),
                  pa.ListArray.from_arrays(pa.array([0, len(tail_word)], pa.int32()), tail_word), whole(n, pa.int32())],
                 names=[c.split()[0] for c in _ENCODED.split(", ")])
-        pa.default_memory_pool().release_unused()        # the worker lives on beside others
+        release()
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, _ENCODED)
 
@@ -237,6 +237,7 @@ def baum_welch(encoded: DataFrame, model: Hmm, smooth: np.ndarray) -> tuple[Hmm,
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, i]) for i in range(k)]],
                                          names=["class", *names])
+        release()
 
     sums = (encoded.select("train", "sizes", "codes")
             .mapInArrow(run, "class int, " + ", ".join(f"{n} double" for n in names))
@@ -261,6 +262,7 @@ def _forward_scores(encoded: DataFrame, model: Hmm) -> DataFrame:
                  row.column("doc_ids").flatten(), row.column("train").flatten(), pa.array(sizes),
                  row.column("base").flatten(), pa.array(logs / np.log(10))],
                 names=["chunk", "row", "doc_id", "train", "n_tokens", "base", "log10p"])
+        release()
 
     return encoded.select("chunk", "doc_ids", "train", "sizes", "base", "codes").mapInArrow(
         run, "chunk long, row int, doc_id long, train boolean, n_tokens long, base double, log10p double")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import bounded, settle, split_words, stored
+from voxtable.llm.common import bounded, release, settle, split_words, stored
 from voxtable.llm.graph import components
 
 BANDS, PER_BAND = 32, 4
@@ -142,7 +142,7 @@ def judge(a, b, n_a, n_b, threshold):
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, digest, regs`` of every whole text; digest and registers are null for empty sets."""
+    """``doc_id, text_key, n, digest, regs`` of every whole text; digest and registers are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text", 4 << 20):
@@ -151,12 +151,14 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             digest = [xxhash.xxh3_128_digest(hashes[a:z].tobytes()) if z > a else None for a, z in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ends - starts), pa.array(digest, pa.binary()),
+                [b.column("doc_id"), b.column("text_key"), pa.array(ends - starts), pa.array(digest, pa.binary()),
                  pa.array([r.tobytes() if d else None for r, d in zip(regs, digest)], pa.binary())],
-                names=["doc_id", "n", "digest", "regs"])
+                names=["doc_id", "text_key", "n", "digest", "regs"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, regs binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        run, f"doc_id {kind}, text_key long, n long, digest binary, regs binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -207,6 +209,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array([hashes[a:z].tobytes() for a, z in zip(starts, ends)], pa.binary())],
                 names=["id", "shingles"])
+        release()
 
     found = wanted.mapInArrow(run, "id long, shingles binary")
     return found.dropDuplicates(["id"])
@@ -333,6 +336,11 @@ def _linked(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id long, text)``."""
+    return _grouped(docs, words, percent).drop("text_key")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """:func:`near_duplicates` with ``text_key``, which tells rows of one ``doc_id`` apart."""
     threshold = percent / 100
     sketched = stored(sketch(docs, words), "sketches")
     regs = F.first("regs").alias("regs")
@@ -365,9 +373,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component = classes.join(labels, classes["id"] == labels["node"], "left").select(
         "digest", F.coalesce("component", "id").alias("component_id"))
     component = stored(component, "components")
-    out = sketched.select("doc_id", "n", "digest").join(component, "digest", "left")
+    out = sketched.select("doc_id", "text_key", "n", "digest").join(component, "digest", "left")
     least = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"),
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), least.alias("component_id"),
                       F.col("doc_id").eqNullSafe(least).alias("kept"))
 
 
@@ -376,10 +384,15 @@ def _members(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates: that with the least ``doc_id``; columns as given."""
-    report = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    report = stored(report, "dropped")
-    return docs.join(report, docs["doc_id"].eqNullSafe(report["__id"]), "left_anti")
+    """One document of each group of near duplicates: that with the least ``doc_id``; columns as given.
+
+    A row goes by its ``doc_id`` and its text, so other texts under the same id, or under a null one, stay. Rows that
+    repeat both the kept id and its text stay together.
+    """
+    report = _grouped(docs, words, percent).filter("not kept")
+    report = stored(report.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dropped")
+    same = docs["doc_id"].eqNullSafe(report["__id"]) & (F.xxhash64(docs["text"]) == report["__key"])
+    return docs.join(report, same, "left_anti")
 
 
 # Pairs by shared shingles, one text per set, then reachability; for small tables.

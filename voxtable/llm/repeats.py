@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm.bwt import repeated_starts
-from voxtable.llm.common import bounded, parts_for, settle, stored
+from voxtable.llm.common import bounded, parts_for, release, settle, stored
 
 LENGTH = 200
 BUCKET = 8192                   # strings built together, about
@@ -97,6 +97,7 @@ def _fragments(rows: DataFrame, length: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)],
                                                  names=["anchor", "digest", "k1", "k2", "at"])
+        release()
 
     return rows.mapInArrow(run, "anchor long, digest long, k1 long, k2 long, at long")
 
@@ -129,6 +130,7 @@ def _strings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] * 2)],
                     names=[c.split()[0] for c in _STRING.split(", ")])
+        release()
 
     both = rows.join(lists, ["k1", "k2"]).select("text", "anchors", "digests", "ats")
     return both.mapInArrow(run, _STRING)
