@@ -142,6 +142,16 @@ def test_pinned_slice_below_threshold(spark):
     assert r.slice_preselected and r.slice_selector == "pinned" and r.n_slices == 176
 
 
+def test_a_pinned_slice_without_prediction_stops_the_job(spark):
+    with pytest.raises(Exception, match="no prediction for the chosen slice 7 of case c"):
+        localised(spark, [[0.1] * 4], 0.5, forced_slice=7)
+
+
+def test_auc_of_wide_margins_uses_many_buckets(spark):
+    df = spark.createDataFrame([(float(10 ** e) * s, int(s * e > 3)) for e in range(1, 9) for s in (-1, 1)], "s double, y int")
+    assert E.auc(df, [], "y", "s").first()["auc"] == 1.0
+
+
 @pytest.mark.parametrize("width", [4, 1 << 16])
 def test_published_curve_keeps_its_best_epoch(spark, width):
     df = spark.createDataFrame([("r", i, v) for i, v in enumerate(CURVE, 1)], "run string, epoch int, val_dice double")

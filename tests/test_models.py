@@ -110,10 +110,16 @@ def test_svm_has_no_probability(spark, table, scratch):
     M.save_model(spark, model, meta, scratch)
     got = M.score_table(table.drop("diagnosis"), scratch).select("positive_probability").distinct().collect()
     assert [r[0] for r in got] == [None]
-    with pytest.raises(ValueError, match="kind must be one of"):
+    with pytest.raises(ValueError, match="a stored model is one of"):
         M.fit_pipeline(table, "diagnosis", "forest")
 
 
+def test_predictions_are_named_by_the_label_column(spark, table):
+    other = table.withColumn("diagnosis", F.when(F.col("diagnosis") == "B", "calm").otherwise("wild"))
+    _, meta = M.fit_pipeline(other, "diagnosis")
+    assert meta["label_map"] == {"0.0": "calm", "1.0": "wild"}
+
+
 def test_missing_model_is_named(spark, scratch):
     with pytest.raises(FileNotFoundError, match="No model metadata"):
         M.load_model(spark, f"{scratch}/nowhere")

@@ -9,7 +9,7 @@ def table(spark, pred, truth):
     return slice_table(spark, ("c", np.zeros(pred.shape), truth, pred))
 
 
-def test_partial_overlap_dice_and_iou_differ(spark):
+def test_dice_exceeds_iou_between_the_extremes(spark):
     r = O.overlap(table(spark, box(1, 8, 8, 2, 6, 2, 6), box(1, 8, 8, 0, 4, 0, 4))).first()
     assert r.dice == pytest.approx(0.25, abs=1e-6)
     assert r.iou == pytest.approx(4 / 28, abs=1e-6)

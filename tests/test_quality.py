@@ -18,7 +18,7 @@ def findings(spark, *cases, **kw):
     return {(r.case_id, r.rule, r.severity) for r in Q.validate_volumes(slice_table(spark, *cases), **kw).collect()}
 
 
-def test_a_legitimate_volume_passes_silently(spark):
+def test_sound_cases_have_no_findings(spark):
     v = legit()
     assert findings(spark, ("c", v, box(5, SIDE, SIDE, 10, 20, 10, 20))) == set()
 
@@ -51,7 +51,7 @@ def test_smells_only_warn(spark):
                    ("empty", "empty_mask", "warning"), ("flat", "constant", "warning")}
 
 
-def test_an_intended_crop_is_not_flagged(spark):
+def test_small_frames_pass_when_cut_on_purpose(spark):
     assert findings(spark, ("c", legit(4, 6), box(4, 6, 6, 1, 3, 1, 3)), expect_full_frame=False) == set()
 
 
@@ -106,10 +106,25 @@ def test_write_read_and_manifest_round_trip(spark, scratch):
     assert np.allclose([r.pixels for r in back], v.reshape(4, -1).astype("float32"))
 
 
-def test_relative_path_tolerates_none():
-    assert SV.relative_path(None, "/r") is None
-    assert SV.relative_path("/elsewhere/x", "/r") == "/elsewhere/x"
-    assert SV.relative_path("/rest/x", "/r") == "/rest/x", "a longer folder name is not below the root"
+def test_manifest_strings_below_the_root_are_relative():
+    given = {"none": None, "away": "/elsewhere/x", "longer": "/rest/x", "root": "/r", "deep": [{"a": "/r/b/c"}, 3],
+             "back": "/r\\d\\e", "quoted": '/r/a"b'}
+    want = {"none": None, "away": "/elsewhere/x", "longer": "/rest/x", "root": ".", "deep": [{"a": "b/c"}, 3],
+            "back": "d/e", "quoted": 'a"b'}
+    assert SV.portable(given, "/r/") == want
+
+
+def test_a_case_with_a_gap_is_never_published(spark, scratch):
+    out = f"{scratch}/gap"
+    t = slice_table(spark, ("a", legit(4, 6))).where("z <> 2")
+    with pytest.raises(Q.VolumeContractError, match="a: "):
+        SV.write_volumes(t, out, crop=False)
+    assert not path_exists(spark, out)
+    SV.write_volumes(slice_table(spark, ("a", legit(4, 6))), out, crop=False)
+    with pytest.raises(FileExistsError):
+        SV.write_volumes(slice_table(spark, ("a", legit(4, 6))), out, crop=False)
+    SV.write_volumes(slice_table(spark, ("b", legit(3, 6))), out, crop=False, mode="overwrite")
+    assert SV.read_volumes(spark, out).count() == 3
 
 
 def test_slice_bank_is_reused_until_the_request_changes(spark, scratch):

@@ -5,10 +5,23 @@ They stay inside one slice row, so none of them moves data between tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from voxtable.functions.numeric import clip
 
+PIXEL_BUDGET = 1 << 21      # pixels that an Arrow function stacks at once, whatever the session's batch size
+
+
+def pixel_blocks(positions, pixels: int, budget: int = PIXEL_BUDGET) -> Iterator[np.ndarray]:
+    """``positions`` in runs of at most ``budget`` pixels, one slice of ``pixels`` at least."""
+    positions = np.asarray(positions)
+    step = max(1, budget // max(1, int(pixels)))
+    for a in range(0, len(positions), step):
+        yield positions[a:a + step]
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -53,10 +53,10 @@ def _components(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
     for mask, h, w in it:
         out = [None] * len(mask)
         for (hh, ww), at in pd.DataFrame({"h": h, "w": w}).groupby(["h", "w"]).groups.items():
-            at = mask.index.get_indexer(at)
-            stack = np.stack([np.asarray(mask.iloc[i]) > 0 for i in at]).reshape(-1, hh, ww)
-            for i, lab in zip(at, label_stack(stack)):
-                out[i] = _describe(lab)
+            for block in A.pixel_blocks(mask.index.get_indexer(at), hh * ww):
+                stack = np.stack([np.asarray(mask.iloc[i]) > 0 for i in block]).reshape(-1, hh, ww)
+                for i, lab in zip(block, label_stack(stack)):
+                    out[i] = _describe(lab)
         yield pd.Series(out, dtype=object)
 
 
@@ -75,8 +75,8 @@ def components(slices: DataFrame, mask: str = "pred", min_size: int = 1) -> Data
 
 def largest(found):
     """Biggest component of an array; the first one row-major wins a tie."""
-    return F.try_element_at(F.array_sort(found, lambda a, b: F.when(a["size"] != b["size"], b["size"] - a["size"])
-                                         .otherwise(a["seed"] - b["seed"])), F.lit(1))
+    return F.array_max(F.transform(found, lambda c: F.struct(
+        c["size"].alias("size"), (-c["seed"]).alias("rank"), c["seed"].alias("seed"), c["cy"].alias("cy"), c["cx"].alias("cx"))))
 
 
 def centroid_inside(found, box):

@@ -17,7 +17,7 @@ from voxtable.operators.volumes import bilinear_array
 from voxtable.session import stored
 
 CASE_METRICS = ["dice", "iou", "sensitivity_iou", "sensitivity_centroid"]
-SCORE_BUCKETS = 1 << 20     # rows of the widest per-key window; scores saturate, so buckets are fine
+SCORE_BUCKETS = 1 << 20     # a unit of score near zero; buckets widen with the score, so none takes all large ones
 RESAMPLE_RUN = 250
 
 
@@ -139,7 +139,8 @@ def auc(df: DataFrame, keys: Sequence[str], label: str, score: str, out: str = "
     pos = F.col(label).cast("double") == 1.0
     g = flat.groupBy(*k, F.col(score).cast("double").alias("_s")).agg(
         F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n"))
-    g = g.withColumn("_b", F.floor(F.atan("_s") * SCORE_BUCKETS))      # never decreases with the score
+    spread = F.signum("_s") * F.log1p(F.abs("_s"))                     # never decreases with the score
+    g = g.withColumn("_b", F.floor(spread * SCORE_BUCKETS))
     tot = g.groupBy(*k, "_b").agg(F.sum("_n").alias("_bn"))
     w = W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     tot = tot.select(*k, "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_below"))
@@ -165,16 +166,18 @@ def first_hit_rank(scores: DataFrame) -> DataFrame:
 
 
 def ranking_metrics(scores: DataFrame, k: int = 3) -> DataFrame:
-    """Top-1, top-k, median rank and mean AUC over cases that have a positive slice."""
+    """Top-1, top-k, median rank and mean AUC over cases that have a positive slice.
+
+    The exact median counts distinct ranks, at most as many as the deepest case has slices.
+    """
     ranks = first_hit_rank(scores)
-    med = exact_percentiles(ranks, [], "rank", [0.5], out="_p")
     areas = auc(scores, ["case_id"], "has_lesion", "score")
     return ranks.agg(
         F.count(F.lit(1)).alias("n_patients"),
         F.avg((F.col("rank") == 1).cast("double")).alias("top1"),
         F.avg((F.col("rank") <= k).cast("double")).alias(f"top{k}"),
-    ).withColumns({"median_rank": med.select(F.get("_p", F.lit(0)).cast("double")).scalar(),
-                   "auc": areas.agg(F.avg("auc")).scalar()})
+        F.percentile("rank", F.lit(0.5)).alias("median_rank"),
+    ).withColumn("auc", areas.agg(F.avg("auc")).scalar())
 
 
 def best_slice(scores: DataFrame, cases: DataFrame | None = None, classifier: str | None = None) -> DataFrame:
@@ -196,12 +199,16 @@ def localise(predictions: DataFrame, cases: DataFrame, threshold: float = 0.5,
 
     ``predictions`` holds a probability map per slice at the model's size (``h, w, prob``) and
     ``cases`` the native frame (``h, w, depth``) with offsets.  Only the reported slice is
-    brought to native size, so a detection can still have no box.
+    brought to native size, so a detection can still have no box.  A pinned slice without a prediction
+    stops the job and names the case.
     """
     score = predictions.select("case_id", "z", F.array_max("prob").alias("score"),
                                *([classifier] if classifier else []))
     pick = best_slice(score, cases, classifier)
-    win = predictions.select("case_id", "z", "h", "w", "prob").join(pick, ["case_id", "z"])
+    lost = F.raise_error(F.concat(F.lit("no prediction for the chosen slice "), F.col("z").cast("string"),
+                                  F.lit(" of case "), F.col("case_id").cast("string")))
+    win = pick.join(predictions.select("case_id", "z", "h", "w", "prob"), ["case_id", "z"], "left")
+    win = win.withColumn("prob", F.coalesce("prob", lost.cast(predictions.schema["prob"].dataType)))
     meta = cases.select("case_id", F.col("h").alias("_h"), F.col("w").alias("_w"), "depth", "off_z",
                         "off_y", "off_x", "forced_slice", "source_n_slices")
     win = win.join(meta, "case_id")

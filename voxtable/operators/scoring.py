@@ -23,7 +23,8 @@ def score_slices(slices: DataFrame, make_scorer: Callable[[], Callable[[np.ndarr
                  out: str = "prob") -> DataFrame:
     """Probability map of each slice from a user function ``(n, h, w) -> (n, h, w)``.
 
-    ``make_scorer`` runs once per task, so a model is loaded once and not once per slice.
+    ``make_scorer`` runs once per task, so a model is loaded once and not once per slice.  A call gets
+    slices of one frame size, as many as fit the pixel budget.
     """
     schema = StructType([*slices.schema.fields, StructField(out, ArrayType(DoubleType()))])
 
@@ -31,12 +32,12 @@ def score_slices(slices: DataFrame, make_scorer: Callable[[], Callable[[np.ndarr
         score = make_scorer()
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            found = [None] * len(pdf)
-            for (h, w), part in pdf.groupby(["h", "w"]):
-                maps = score(np.stack([np.asarray(p, dtype=float) for p in part["pixels"]]).reshape(-1, h, w))
-                for i, m in zip(part.index, np.asarray(maps, dtype=float)):
-                    found[i] = m.ravel()
-            yield pdf.assign(**{out: pd.Series(found, dtype=object)})
+            for (h, w), rows in pdf.groupby(["h", "w"]).groups.items():
+                for block in A.pixel_blocks(rows, h * w):
+                    part = pdf.loc[block].reset_index(drop=True)
+                    maps = score(np.stack([np.asarray(p, dtype=float) for p in part["pixels"]]).reshape(-1, h, w))
+                    found = [m.ravel() for m in np.asarray(maps, dtype=float)]
+                    yield part.assign(**{out: pd.Series(found, dtype=object)})
     return slices.mapInPandas(run, schema)
 
 

@@ -104,12 +104,13 @@ def box_runs(boxes: DataFrame, cases: DataFrame) -> DataFrame:
 def _paint(h: pd.Series, w: pd.Series, ys: pd.Series, x0s: pd.Series, x1s: pd.Series) -> pd.Series:
     out = []
     for rows, cols, y, a, b in zip(h, w, ys, x0s, x1s):
-        mask = np.zeros((rows, cols), dtype=np.int32)
+        edge = np.zeros((rows, cols + 1), dtype=np.int32)       # +1 where a run starts, -1 where it ends
         if y is not None:
-            for row, lo, hi in zip(y, a, b):
-                if row < rows:
-                    mask[row, lo:hi] = 1
-        out.append(mask.ravel())
+            y, a, b = (np.asarray(v, dtype=np.int64) for v in (y, a, b))
+            inside = (y >= 0) & (y < rows)
+            np.add.at(edge, (y[inside], np.clip(a[inside], 0, cols)), 1)
+            np.add.at(edge, (y[inside], np.clip(b[inside], 0, cols)), -1)
+        out.append((np.cumsum(edge, axis=1)[:, :cols] > 0).astype(np.int32).ravel())
     return pd.Series(out)
 
 
@@ -288,11 +289,10 @@ def _resizer(kind: str):
             out = [None] * len(a)
             shapes = pd.DataFrame({"h": h, "w": w, "th": th, "tw": tw})
             for (ih, iw, oh, ow), at in shapes.groupby(["h", "w", "th", "tw"]).groups.items():
-                at = a.index.get_indexer(at)
-                stack = np.stack([np.asarray(a.iloc[i], dtype=float) for i in at]).reshape(-1, ih, iw)
-                flat = how(stack, oh, ow).reshape(len(at), -1)
-                for i, row in zip(at, flat):
-                    out[i] = row
+                for block in A.pixel_blocks(a.index.get_indexer(at), max(ih * iw, oh * ow)):
+                    stack = np.stack([np.asarray(a.iloc[i], dtype=float) for i in block]).reshape(-1, ih, iw)
+                    for i, row in zip(block, how(stack, oh, ow).reshape(len(block), -1)):
+                        out[i] = row
             yield pd.Series(out, dtype=object)
     return resize_array
 

@@ -133,7 +133,7 @@ FROM predictions""", "predictions"))
 def _(spark, d):
     from pyspark.ml.functions import array_to_vector
     p = predictions(spark, d).withColumn("probability", array_to_vector(F.array(1 - F.col("score"), F.col("score"))))
-    out = M.label_predictions(p, {"label_map": M.LABELS, "produces_probability": True})
+    out = M.label_predictions(p, {"label_map": {"0.0": "Benign", "1.0": "Malignant"}, "produces_probability": True})
     return out.select("doc_id", "diagnosis", rounded("positive_probability").alias("positive_probability"))
 
 
@@ -203,6 +203,21 @@ def _(spark, d):
     return M.score_table(rows, stored_model(spark, d, "linear_svm"), keep=("vec_id",)).drop("positive_probability")
 
 
+def agreement(one, other):
+    """How many rows two scorings share, and on how many they agree."""
+    return one.select("vec_id", F.col("prediction").alias("_own")).join(other, "vec_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_own") == F.col("prediction")).alias("same"))
+
+
+@query("reload_agreement", "SELECT count(*) AS n, count(*) AS same FROM embeddings")
+def _(spark, d):
+    """A stored and reloaded model against the fitted one."""
+    rows, path = labelled_vectors(spark, d), scratch_path(spark, "model")
+    model, meta = M.fit_pipeline(rows.drop("vec_id"), "diagnosis")
+    M.save_model(spark, model, meta, path)
+    return agreement(model.transform(rows), M.score_table(rows.drop("diagnosis"), path, keep=("vec_id",)))
+
+
 @query("slice_ranker")
 def _(spark, d):
     f = M.slice_features(study(spark, d).withColumn("has_lesion", A.any_positive("mask")))
@@ -245,12 +260,23 @@ def _(spark, d):
     return spark.read.parquet(dst).select("event_id", "user_id", "event_type", "value")
 
 
-@query("stream_scores")
-def _(spark, d):
-    path = stored_model(spark, d, "logistic")
+def streamed_scores(spark, d, path):
     src, dst = scratch_path(spark, "arriving"), scratch_path(spark, "scored")
     rows = labelled_vectors(spark, d).drop("diagnosis")
     rows.write.parquet(src)
     scored = jobs.score_stream(spark.readStream.schema(rows.schema).parquet(src), path, keep=("vec_id",))
     jobs.write_stream(scored, dst, scratch_path(spark, "offsets")).awaitTermination()
     return spark.read.parquet(dst)
+
+
+@query("stream_scores")
+def _(spark, d):
+    return streamed_scores(spark, d, stored_model(spark, d, "logistic"))
+
+
+@query("stream_agreement", "SELECT count(*) AS n, count(*) AS same FROM embeddings")
+def _(spark, d):
+    """Scores of a stream against those of the same rows as a table."""
+    path = stored_model(spark, d, "logistic")
+    rows = labelled_vectors(spark, d).drop("diagnosis")
+    return agreement(M.score_table(rows, path, keep=("vec_id",)), streamed_scores(spark, d, path))

@@ -64,6 +64,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def move_path(spark: SparkSession, src: str, dst: str) -> None:
+    """Give a finished folder its final name."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (src, dst))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"{src} could not become {dst}")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared folder and read back.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 from typing import Any
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from voxtable.functions import arrays as A
 from voxtable.operators import quality as Q
 from voxtable.operators.volumes import crop_to_roi, resize
-from voxtable.session import path_exists, remove_path
+from voxtable.session import move_path, path_exists, remove_path
 
 MANIFEST = "_manifest"      # hidden from readers of the slices beside it
 BANK_INDEX = "bank_index"
@@ -24,8 +25,8 @@ CONTRACT = "volume contract: "
 def guarded(slices: DataFrame) -> DataFrame:
     """Slices whose pixels stop the job, naming the case, when a slice breaks a contract.
 
-    The checks ride along with the write, so an expensive preparation runs once and a broken
-    slice aborts the job before any file is committed.
+    These checks ride along with the write, so an expensive preparation runs once and a broken
+    slice aborts it at once; those of whole cases follow on the written rows.
     """
     n = F.size("pixels")
     bad = F.size(F.filter(A.doubles("pixels"), Q.bad_number))
@@ -50,24 +51,36 @@ def write_volumes(slices: DataFrame, path: str, crop: bool = True, mode: str = "
                   margin: int = 16) -> DataFrame:
     """Crop, check, cast and write slices; returns the warnings found in what was written.
 
-    Raises :class:`~voxtable.operators.quality.VolumeContractError` on a broken contract.  Slices of
-    a case go to the same files; the rebalance step splits a deep case and joins small ones, so
-    files come out at the session's advisory size.
+    Raises :class:`~voxtable.operators.quality.VolumeContractError` on a broken contract.  The slices go to a folder
+    beside ``path`` and take that name only when their cases are whole, so nothing broken is ever found there.
+    ``mode`` is ``error`` or ``overwrite``.  Slices of a case go to the same files; the rebalance step splits a deep
+    case and joins small ones, so files come out at the session's advisory size.
     """
+    if mode not in ("error", "overwrite"):
+        raise ValueError(f"mode {mode!r} is neither error nor overwrite")
+    spark, path = slices.sparkSession, path.rstrip("/")
+    if mode == "error" and path_exists(spark, path):
+        raise FileExistsError(path)
     s = slices if "mask" in slices.columns else slices.withColumn("mask", F.transform("pixels", lambda v: F.lit(0)))
     if crop:
         s = crop_to_roi(s, margin)
     else:
         s = s.withColumns({c: F.lit(0) for c in ("off_z", "off_y", "off_x") if c not in s.columns})
     s = guarded(s).withColumn("mask", F.col("mask").cast("array<tinyint>"))
+    side = f"{path}.unchecked-{uuid.uuid4().hex}"
     try:
-        s.hint("rebalance", "case_id").write.mode(mode).parquet(path)
+        s.hint("rebalance", "case_id").write.parquet(side)
+        Q.require_valid(read_volumes(spark, side), expect_full_frame=not crop)
     except Exception as e:
+        remove_path(spark, side)
         found = re.search(re.escape(CONTRACT) + r"([^\n]*)", str(e))
         if found:
             raise Q.VolumeContractError(found.group(1)) from e
         raise
-    report = Q.require_valid(read_volumes(slices.sparkSession, path), expect_full_frame=not crop)
+    if mode == "overwrite":
+        remove_path(spark, path)
+    move_path(spark, side, path)
+    report = Q.validate_volumes(read_volumes(spark, path), expect_full_frame=not crop)
     return report.where(F.col("severity") == "warning")
 
 
@@ -109,21 +122,14 @@ def read_slice_bank(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- manifest ---------------------------------------------------------------------------
 
-def relative_path(path: str | None, root: str) -> str | None:
-    """Forward-slashed path below ``root``; paths elsewhere are returned as they are."""
-    if path is None:
-        return None
-    p, r = str(path).replace("\\", "/"), root.replace("\\", "/").rstrip("/")
-    return "." if p == r else p[len(r):].lstrip("/") if p.startswith(r + "/") else str(path)
-
+def portable(record: Mapping[str, Any], root: str) -> dict[str, Any]:
+    """A record whose strings below ``root`` are given relative to it, with forward slashes; others stay.
 
-def scrub(value: Any, root: str) -> Any:
-    """:func:`relative_path` over every string of a nested parameter value."""
-    if isinstance(value, Mapping):
-        return {k: scrub(v, root) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [scrub(v, root) for v in value]
-    return relative_path(value, root) if isinstance(value, str) else value
+    Works on the JSON text, so strings are found at any depth.
+    """
+    top = re.escape(json.dumps(root.rstrip("/\\"))[1:-1])
+    below = re.compile(rf'"{top}(?:(?:/|\\\\)+([^"]*))?"')
+    return json.loads(below.sub(lambda m: '"' + ((m[1] or "").replace("\\\\", "/") or ".") + '"', json.dumps(dict(record))))
 
 
 def write_manifest(slices: DataFrame, path: str, source: str, parameters: Mapping[str, Any], root: str,
@@ -134,10 +140,8 @@ def write_manifest(slices: DataFrame, path: str, source: str, parameters: Mappin
     own line, so the driver holds the parameters only.
     """
     spark = slices.sparkSession
-    run = {
-        "generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "revision": revision,
-        "source": relative_path(source, root), "output_dir": relative_path(path, root),
-        "parameters": scrub(dict(parameters), root)}
+    run = {"generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "revision": revision,
+           **portable({"source": source, "output_dir": path, "parameters": dict(parameters)}, root)}
     cases = Q.summarise_volumes(slices)
     shape = F.array("depth", "h", "w").alias("shape")
     line = F.to_json(F.struct(F.lit("case").alias("kind"), "case_id", shape, "lesion_voxels", "lesion_slices",
