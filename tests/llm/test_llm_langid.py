@@ -116,3 +116,25 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     kept = langid.keep_identified(docs.unionByName(docs_table(spark, [None, "!!"], ids=[-1, -2])
                                                    .withColumn("rejected", F.lit("mine"))))
     assert kept.columns == docs.columns and kept.count() >= 995 and kept.filter("doc_id < 0").count() == 0
+
+
+def test_one_unlike_document_does_not_move_the_limits(spark):
+    docs = table(spark, SF, "documents")
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz    "))
+
+    def noise(n):
+        return "".join(rng.choice(letters, n))
+
+    german = " ".join(r["text"] for r in docs.filter("lang = 'de'").orderBy("doc_id").limit(40).collect())
+    plain = langid.train(docs)
+    lengths = np.array([50, 300, 2000, 20_000])
+    for first in (-1, -40):                                         # counted or held back, by the hash of id and text
+        added = docs_table(spark, [noise(20_000), german[:20_000]], ids=[first, first - 1])
+        model = langid.train(docs.unionByName(added))
+        assert np.allclose(model.highest(lengths), plain.highest(lengths), rtol=0.1)
+        got = model.identify([noise(n) for n in lengths])
+        assert got["rejected"].all(), got
+        kept = langid.keep_identified(docs.unionByName(added))
+        ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+        assert first not in ids and len(ids) >= 990

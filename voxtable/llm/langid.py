@@ -5,10 +5,14 @@ before it. Per language, four-gram counts are summed by Spark over the training
 and interpolation weights follow from the distinct four-grams. All languages share sorted hash arrays, so one look-up
 of a four-gram gives its log probability in every language, and only unseen ones go to lower orders. The language with
 the least cross-entropy per character wins, ties to the first name. A document is rejected if its cross-entropy lies
-above a limit calibrated on training documents of that language, wider for shorter texts.
+above a limit of that language and its class of length, a power of two.
 
 The model is fitted on at most about ``train_rows`` documents per language, taken by hash when there are more, which
-bounds its size; every document is scored whole. Null texts and texts without a letter are ``und`` with score 0 and are
+bounds its size; every document is scored whole. The limits come from all labelled documents that were not counted, a
+fifth of a language being held back: the language's median cross-entropy and, per class, the ``HIGH`` quantile of the
+surplus over it, so single unlike documents do not move them. Classes with fewer than ``LEAST`` such documents borrow
+from the next shorter class, else from the next longer one. A language with fewer has no part held back and goes by the
+widest limit of the others; without others, by that of a uniform draw over all letters. Null texts and texts without a letter are ``und`` with score 0 and are
 rejected; so is everything when there is nothing to learn from. Repeated rows are scored one by one.
 """
 
@@ -23,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import bounded, hash_rest
+from voxtable.llm.common import bounded, hash_rest, stored
 
 ORDER = 4
 TRAIN_ROWS = 3000
 SLACK = 1.25                 # of the calibrated limits
+HOLD = 5                     # one in so many labelled documents is not counted
+LEAST, HIGH = 20, 0.95       # documents that make a limit, and their quantile that does
+CLASSES = 32                 # of length, by powers of two
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 _RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -189,6 +196,15 @@ class Model:
         letters = np.bincount(doc[codes != 32], minlength=len(ends)) > 0
         return -sums / n[:, None], n, letters
 
+    def highest(self, n: np.ndarray) -> np.ndarray:
+        """Cross-entropy above which a text of ``n`` characters is rejected, one column per language."""
+        middle, spread, most = self.limits
+        kind = length_class(n)
+        out = middle + spread[:, kind].T / np.sqrt(np.minimum(n[:, None], most[:, kind].T))
+        known = ~np.isnan(middle)
+        widest = out[:, known].max(axis=1) if known.any() else np.full(len(n), np.log(self.size + 1.0) / SLACK)
+        return SLACK * np.where(known, out, widest[:, None])
+
     def identify(self, texts) -> pd.DataFrame:
         if not self.langs:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "cross_entropy": np.nan,
@@ -199,24 +215,31 @@ class Model:
         score = 1 / np.exp(np.clip((least[:, None] - ce) * np.sqrt(n)[:, None], -700, 0)).sum(axis=1)
         rejected = ~letters
         if self.limits is not None:
-            mean, spread = self.limits[best, 0], self.limits[best, 1]
-            rejected = rejected | (least > SLACK * (mean + spread / np.sqrt(n)))
+            rejected = rejected | (least > self.highest(n)[np.arange(len(n)), best])
         names = np.array([*self.langs, "und"], object)
         return pd.DataFrame({"lang_pred": names[np.where(letters, best, len(self.langs))],
                              "score": np.where(letters, score, 0.0), "cross_entropy": least, "rejected": rejected})
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(n)[1] - 1, CLASSES - 1)
+
+
 def _training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
-    """At most about ``train_rows`` documents per language, by hash of the id."""
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    """All rows with ``learn``: whether they are counted, at most about ``train_rows`` documents per language by hash."""
+    fold = F.pmod(F.xxhash64(F.lit("langid-limit"), "doc_id", "text"), F.lit(HOLD)) == 0
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.count_if(fold).alias("_f"))
+    held = (F.col("_f") >= LEAST) & (2 * F.col("_f") <= F.col("_n"))
     share = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return docs.join(F.broadcast(counts.limit(10_000)), "lang").filter(share * F.col("_n") < train_rows)
+    rest = F.col("_n") - F.when(held, F.col("_f")).otherwise(0)
+    return docs.join(F.broadcast(counts.limit(10_000)), "lang").withColumn(
+        "learn", ~(held & fold) & (share * rest < train_rows))
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Model from ``docs(doc_id, text, lang)``; rows without text or language are not learned from."""
     docs = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    kept = _training_rows(docs, train_rows)
+    rows = _training_rows(docs, train_rows)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text", 4 << 20):
@@ -235,7 +258,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
                     [pa.array([lang] * len(first)), *[pa.array(p[first].astype(np.int32)) for p in places],
                      pa.array(n.astype(np.int64))], names=["lang", "a", "b", "c", "d", "n"])
 
-    found = (kept.select("text", "lang").mapInArrow(grams, "lang string, a int, b int, c int, d int, n long")
+    found = (rows.filter("learn").select("text", "lang").mapInArrow(grams, "lang string, a int, b int, c int, d int, n long")
              .groupBy("lang", "a", "b", "c", "d").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(found["lang"].unique())
     model = Model(langs, found[["a", "b", "c", "d"]].to_numpy(np.int64).reshape(-1, ORDER),
@@ -244,31 +267,47 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     if not langs:
         model.langs, model.limits = [], None
         return model
-    return calibrated(model, kept)
+    return calibrated(model, rows.filter("not learn"))
 
 
 def calibrated(model: Model, labelled: DataFrame) -> Model:
-    """Set the rejection limits from the cross-entropies of documents in their own language."""
+    """Set the rejection limits from the cross-entropies of documents that were not counted in their own language."""
     shared = labelled.sparkSession.sparkContext.broadcast(model)
     names = {lang: i for i, lang in enumerate(model.langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text", 4 << 20):
             ce, n, letters = shared.value.cross_entropies(b.column("text").to_pylist())
-            own = ce[np.arange(len(ce)), [names[x] for x in b.column("lang").to_pylist()]]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(own[:]), pa.array(n.astype(float)),
-                                              pa.array(letters)], names=["lang", "ce", "n", "ok"])
-
-    seen = labelled.select("text", "lang").mapInArrow(run, "lang string, ce double, n double, ok boolean").filter("ok")
-    mean = F.sum(F.col("ce") * F.col("n")) / F.sum("n")
-    means = seen.groupBy("lang").agg(mean.alias("mean"))
-    rows = (seen.join(F.broadcast(means), "lang").groupBy("lang")
-            .agg(F.first("mean").alias("mean"),
-                 F.max((F.col("ce") - F.col("mean")) * F.sqrt("n")).alias("spread")).collect())
-    limits = np.full((len(model.langs), 2), np.inf)
-    for r in rows:
-        limits[names[r["lang"]]] = r["mean"], max(0.0, r["spread"])
-    model.limits = limits
+            own = np.array([names.get(x, -1) for x in b.column("lang").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.astype(np.int32)), pa.array(ce[np.arange(len(ce)), own]), pa.array(n.astype(float)),
+                 pa.array(length_class(n).astype(np.int32)), pa.array(letters & (own >= 0))],
+                names=["lang", "ce", "n", "kind", "ok"])
+
+    seen = stored(labelled.select("text", "lang").mapInArrow(run, "lang int, ce double, n double, kind int, ok boolean")
+                  .filter("ok"), "calibration")
+    middles = seen.groupBy("lang").agg(F.percentile_approx("ce", 0.5).alias("middle"), F.count(F.lit(1)).alias("all"),
+                                       F.percentile_approx("kind", 0.5).alias("usual"))
+    over = F.percentile_approx((F.col("ce") - F.col("middle")) * F.sqrt("n"), HIGH).alias("spread")
+    marked = seen.join(F.broadcast(middles.filter(F.col("all") >= LEAST)), "lang")
+    middle = np.full(len(model.langs), np.nan)
+    spread = np.full((len(model.langs), CLASSES), np.nan)
+    most = np.full((len(model.langs), CLASSES), np.inf)
+    for r in marked.groupBy("lang", "kind").agg(over, F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LEAST).collect():
+        spread[r["lang"], r["kind"]] = max(0.0, r["spread"])
+    for r in marked.groupBy("lang").agg(over, F.first("middle").alias("middle"), F.first("usual").alias("usual")).collect():
+        own = spread[r["lang"]]
+        middle[r["lang"]] = r["middle"]
+        if np.isnan(own).all():
+            own[r["usual"]] = max(0.0, r["spread"])
+        full = np.flatnonzero(~np.isnan(own))
+        for k in np.flatnonzero(np.isnan(own)):
+            shorter = full[full < k]
+            if len(shorter):                           # no narrower than at the longest text of that class
+                own[k], most[r["lang"], k] = own[shorter[-1]], 2.0 ** (shorter[-1] + 1)
+            else:
+                own[k] = own[full[0]]
+    model.limits = middle, spread, most
     return model
 
 
