@@ -120,3 +120,19 @@ def test_stage_tells_rows_of_a_null_or_repeated_id_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS)
     left = sorted(((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs).collect()), key=str)
     assert left == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_one_row_of_a_component_stays_whatever_its_ids(spark):
+    copy, near = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}" for i in range(79))
+    lone, lone_near = " ".join(f"v{i}" for i in range(80)), " ".join(f"v{i}" for i in range(79))
+    twice = "a clean text that occurs twice under one id"
+    rows = [(3, near), (7, copy), (7, "unlike text of its own here"), (None, lone), (None, lone), (None, lone_near),
+            (9, twice), (9, twice), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS)
+    left = [(r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs).collect()]
+    named = [x for x in left if x[1] not in (lone, lone_near)]
+    assert sorted(named, key=str) == sorted([rows[0], rows[2], rows[6], rows[8], rows[9]], key=str)
+    assert len(left) == len(named) + 1
+    report = neardup.near_duplicates(docs).collect()
+    assert len(report) == len(rows) and sum(r["kept"] for r in report) == len(left)
+    assert sorted(r["component_id"] for r in report if r["doc_id"] == 7) == [3, 7]

@@ -4,7 +4,8 @@ A document's set is its distinct word shingles. Every register holds an exponent
 ``floor(1 - log_b(least exponential))``: registers of two sets merge by maximum, and two registers agree the likelier
 the more alike the sets are. Runs of registers are the bands.
 
-* Equal sets are one *class*, represented by its least ``doc_id``; only classes go on.
+* Equal sets are one *class*, named by 64 bits of the set's digest; only classes go on, and names lead back to the
+  least ``doc_id`` at the end.
 * In every band bucket, members are compared with the least member. The likelihood of (larger, smaller, equal) register
   counts given both set sizes is maximised jointly over the similarity; pairs for which the threshold is hopeless go.
   Each class first verifies its likeliest pair on full sets.
@@ -15,7 +16,8 @@ the more alike the sets are. Runs of registers are the bands.
 With 32 bands of 4 registers, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
 Null and empty texts have the empty set, link with nothing and are kept. Texts with fewer words than a shingle have
-their whole word sequence as one shingle. Repeated rows are equal sets. A null ``doc_id`` is never a component's name.
+their whole word sequence as one shingle. Repeated rows are equal sets. Of a component exactly one row is kept: the least
+``doc_id``, nulls last, then the least hash of the text, then one of equal rows.
 """
 
 from __future__ import annotations
@@ -142,7 +144,10 @@ def judge(a, b, n_a, n_b, threshold):
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, text_key, n, digest, regs`` of every whole text; digest and registers are null for empty sets."""
+    """``doc_id, text_key, n, digest, regs, row`` of every whole text; digest and registers are null for empty sets.
+
+    ``row`` numbers the rows; it is fixed only once the result is stored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text", 4 << 20):
@@ -158,7 +163,8 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        run, f"doc_id {kind}, text_key long, n long, digest binary, regs binary")
+        run, f"doc_id {kind}, text_key long, n long, digest binary, regs binary").withColumn(
+        "row", F.monotonically_increasing_id())
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -198,16 +204,24 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, estimate double")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``id, shingles`` of the documents whose id is wanted."""
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+def _class_key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``id, shingles`` of the wanted classes, read from one document (id and text hash) of each."""
+    places = ids.join(classes.select("id", "best.doc_id", "best.text_key"), "id").select(
+        F.coalesce("doc_id", F.lit(-2 ** 63)).alias("__id"), F.col("text_key").alias("__key"))
+    wanted = docs.select(F.coalesce("doc_id", F.lit(-2 ** 63)).alias("__id"), F.xxhash64("text").alias("__key"), "text")
+    wanted = wanted.join(places.hint("merge"), ["__id", "__key"], "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text", 4 << 20):
             ends, hashes = shingle_sets(b.column("text"), words)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            sets = [hashes[a:z].tobytes() for a, z in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([hashes[a:z].tobytes() for a, z in zip(starts, ends)], pa.binary())],
+                [pa.array([_class_key(xxhash.xxh3_128_digest(x)) for x in sets], pa.int64()), pa.array(sets, pa.binary())],
                 names=["id", "shingles"])
         release()
 
@@ -336,47 +350,53 @@ def _linked(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id long, text)``."""
-    return _grouped(docs, words, percent).drop("text_key")
+    return _grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """:func:`near_duplicates` with ``text_key``, which tells rows of one ``doc_id`` apart."""
+    """:func:`near_duplicates` with ``text_key``, and ``equal``: whether the row equals its component's kept one."""
     threshold = percent / 100
     sketched = stored(sketch(docs, words), "sketches")
     regs = F.first("regs").alias("regs")
-    classes = stored(sketched.filter("digest is not null").groupBy("digest")
-                     .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), regs), "classes")
-    named = classes.filter("id is not null")
-    buckets = stored(_banded(named), "buckets")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "row")).alias("best")
+    key = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
+    classes = stored(sketched.filter("digest is not null").groupBy("digest").agg(best, F.first("n").alias("n"), regs)
+                     .withColumn("id", key), "classes")
+    buckets = stored(_banded(classes), "buckets")
     centres = stored(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.count(F.lit(1)).alias("c"))
                      .filter("c > 1").select("key", F.col("m.id").alias("b"), F.col("m.n").alias("nb")), "centres")
     shared = stored(buckets.join(centres.select("key"), "key", "left_semi"), "shared")
     close = (F.least("n", "nb") >= threshold * F.greatest("n", "nb") - 1e-9) & (F.col("id") > F.col("b"))
     pairs = stored(shared.join(centres, "key").filter(close).select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    likely = stored(_likely(pairs, named, threshold), "likely")
+    likely = stored(_likely(pairs, classes, threshold), "likely")
     first = stored(likely.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "first")
     spark = docs.sparkSession
     settle(spark)
     # As many ids as there are documents with near copies: the same sort-merge join at every size.
-    sets = stored(_sets(docs, _members(likely).hint("merge"), words), "sets")
+    sets = stored(_sets(docs, _members(likely), classes, words), "sets")
     settle(spark)
     links = stored(_confirmed(first, sets, percent), "links")
     labels = stored(components(links), "labels")
     settle(spark)
-    across = stored(_across(shared, named, labels, threshold), "across")
+    across = stored(_across(shared, classes, labels, threshold), "across")
     members = stored(_members_of(across, labels), "members")
     missing = stored(members.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "missing")
-    sets = sets.unionByName(stored(_sets(docs, missing, words), "sets"))
+    sets = sets.unionByName(stored(_sets(docs, missing, classes, words), "sets"))
     settle(spark)
     links = stored(links.unionByName(_linked(across, members, sets, percent)), "links")
     labels = stored(components(links), "labels")
-    component = classes.join(labels, classes["id"] == labels["node"], "left").select(
-        "digest", F.coalesce("component", "id").alias("component_id"))
-    component = stored(component, "components")
-    out = sketched.select("doc_id", "text_key", "n", "digest").join(component, "digest", "left")
-    least = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), least.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(least).alias("kept"))
+    named = classes.join(labels, classes["id"] == labels["node"], "left").select(
+        "digest", "best", F.coalesce("component", "id").alias("component"))
+    named = stored(named, "components")
+    least = named.groupBy("component").agg(F.min("best").alias("kept"))
+    component = stored(named.select("digest", "component").join(least, "component").select("digest", "kept"), "kept")
+    out = sketched.select("doc_id", "text_key", "n", "digest", "row").join(
+        component.withColumnRenamed("kept", "k"), "digest", "left")
+    alone = F.col("digest").isNull()
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"),
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("k.doc_id")).alias("component_id"),
+                      (alone | (F.col("row") == F.col("k.row"))).alias("kept"),
+                      (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key"))).alias("equal"))
 
 
 def _members(pairs: DataFrame) -> DataFrame:
@@ -386,13 +406,19 @@ def _members(pairs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates: that with the least ``doc_id``; columns as given.
 
-    A row goes by its ``doc_id`` and its text, so other texts under the same id, or under a null one, stay. Rows that
-    repeat both the kept id and its text stay together.
+    A row goes by its ``doc_id`` and its text, so other texts under the same id, or under a null one, stay. Of rows that
+    repeat both one stays.
     """
     report = _grouped(docs, words, percent).filter("not kept")
-    report = stored(report.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dropped")
-    same = docs["doc_id"].eqNullSafe(report["__id"]) & (F.xxhash64(docs["text"]) == report["__key"])
-    return docs.join(report, same, "left_anti")
+    report = stored(report.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "equal").distinct(),
+                    "dropped")
+
+    def rows(found, how):
+        same = docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__key"])
+        return docs.join(found, same, how)
+
+    again = rows(report.filter("equal"), "left_semi").withColumn("__key", F.xxhash64("text"))
+    return rows(report, "left_anti").unionByName(again.dropDuplicates(["doc_id", "__key"]).drop("__key"))
 
 
 # Pairs by shared shingles, one text per set, then reachability; for small tables.
