@@ -120,3 +120,21 @@ def test_cut_training_documents(spark, monkeypatch):
     assert list(hmm._stretches(np.array([3, 40, 16]))) == [3, 16, 16, 8, 16]
     docs = docs_table(spark, ["a b " * 50, "c"] * 4)
     assert all(np.isfinite(r["score"]) for r in hmm.score(docs).collect())
+
+
+def test_long_training_documents_stay_whole(spark, monkeypatch):
+    model, rng = small_model(), np.random.default_rng(5)
+    sizes = np.array([3, 50, 16, 33, 1, 32])
+    codes = rng.integers(0, 5, sizes.sum()).astype(np.int32)
+    whole = model.expected(codes, np.cumsum(sizes) - sizes, sizes)
+    monkeypatch.setattr(hmm, "CUT", 16)
+    for a, b in zip(whole, model.expected(codes, np.cumsum(sizes) - sizes, sizes)):
+        assert np.allclose(a, b, rtol=1e-5)
+    assert whole[1].sum() == pytest.approx(len(sizes), rel=1e-5)
+    # The same by a round over chunks: one start a document, a transition between all its tokens.
+    rows = [(1, [True] * len(sizes), sizes.tolist(), bytearray(codes.astype(np.uint16).tobytes()))]
+    encoded = spark.createDataFrame(rows, "chunk long, train array<boolean>, sizes array<int>, codes binary")
+    made, logs = hmm.baum_welch(encoded, model, np.full(5, 0.1))
+    want = hmm.Hmm.from_counts(*whole[1:], np.full(5, 0.1))
+    assert logs == pytest.approx(whole[0], rel=1e-5)
+    assert np.allclose(made.start, want.start, atol=1e-5) and np.allclose(made.move, want.move, atol=1e-5)

@@ -8,8 +8,9 @@ over an unbounded vocabulary.
 
 Baum-Welch: each task runs scaled forward and backward recursions over the training documents of its chunks in step,
 expected counts are summed by class in a shuffle, and the driver normalises the bounded tables. The score is the scaled
-forward recursion's exact log10 likelihood plus the class-to-word terms. Only for training, a document of more than
-``CUT`` tokens is cut into stretches.
+forward recursion's exact log10 likelihood plus the class-to-word terms. Documents stay whole in training, too: of a
+long one, only the scaled forward vector at every ``CUT``-th token is kept, and the steps of a block are computed again
+on the way back.
 
 Null and empty texts are one end token. Repeated rows are scored and learned from one by one. Without training rows
 every table is the smoothed uniform one.
@@ -153,56 +154,83 @@ class Hmm:
         start, move = start + 1e-3, move + 1e-3
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
-    def forward(self, codes, starts, sizes, keep=False, dtype=np.float64):
-        """Log likelihood (natural) of every sequence, all taken one step at a time; longest first.
-
-        With ``keep``, also scaled forward vectors and scales per step.
-        """
+    def forward(self, codes, starts, sizes, dtype=np.float64):
+        """Log likelihood (natural) of every sequence, all taken one step at a time; longest first."""
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
         move, emit = self.move.astype(dtype), self.emit.astype(dtype)
         logs = np.zeros(len(sizes))
-        live = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
-        alpha, steps, scales = None, [], []
-        for t, n in enumerate(live):
+        alpha, first = None, 0
+        for size in _stretches(sizes[:1]):
+            alpha, *_ = self._steps(alpha, codes, starts, sizes, first, size, move, emit, logs)
+            first += size
+        out = np.empty(len(sizes))
+        out[order] = logs
+        return out
+
+    def _steps(self, alpha, codes, starts, sizes, first, size, move, emit, logs, keep=False):
+        """``size`` forward steps from step ``first`` on, added to ``logs``: ``(last vectors, live, vectors, scales)``.
+
+        Sequences come longest first, ``live`` counts those that reach a step; the lists are empty without ``keep``.
+        """
+        live = np.searchsorted(-sizes, -np.arange(first + 1, first + size + 1), side="right")
+        steps, scales = [], []
+        for t, n in enumerate(live, first):
             seen = emit[codes[starts[:n] + t]]
-            alpha = self.start.astype(dtype) * seen if t == 0 else (alpha[:n] @ move) * seen
+            alpha = self.start.astype(move.dtype) * seen if t == 0 else (alpha[:n] @ move) * seen
             scale = alpha.sum(axis=1)
             alpha /= scale[:, None]
             logs[:n] += np.log(scale)
             if keep:
                 steps.append(alpha)
                 scales.append(scale)
-        out = np.empty(len(sizes))
-        out[order] = logs
-        return (out, order, live, steps, scales) if keep else out
+        return alpha, live, steps, scales
 
     def expected(self, codes, starts, sizes):
-        """``(log likelihood, start, move, emit)`` expected counts of the sequences, in single precision."""
-        logs, order, live, steps, scales = self.forward(codes, starts, sizes, keep=True, dtype=np.float32)
-        starts = starts[order]
+        """``(log likelihood, start, move, emit)`` expected counts of the whole sequences, in single precision."""
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
         move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)
-        pairs = np.zeros(move.shape)
-        gamma = np.empty((len(codes), len(self.start)), np.float32)
-        beta = np.ones((0, len(self.start)), np.float32)
-        for t in range(len(live) - 1, -1, -1):
-            n, alpha = live[t], steps.pop()
-            if len(beta) < n:
-                beta = np.concatenate([beta, np.ones((n - len(beta), beta.shape[1]), np.float32)])
-            here = starts[:n] + t
-            gamma[here] = alpha * beta
-            if t:
-                back = emit[codes[here]] * beta
-                back /= scales[t][:, None]
-                pairs += steps[t - 1][:n].T @ back
-                beta = back @ move.T
-        emit_counts = np.stack([np.bincount(codes, weights=gamma[:, k], minlength=len(emit))
-                                for k in range(len(self.start))])
-        return logs.sum(), gamma[starts].sum(axis=0, dtype=float), pairs * self.move, emit_counts
+        blocks = _stretches(sizes[:1])
+        logs, unused = np.zeros(len(sizes)), np.zeros(len(sizes))
+        entering, alpha, first = [], None, 0
+        for size in blocks[:-1]:
+            entering.append(alpha)
+            alpha, *_ = self._steps(alpha, codes, starts, sizes, first, size, move, emit, logs)
+            first += size
+        entering.append(alpha)
+        pairs, k = np.zeros(move.shape), len(self.start)
+        emit_counts = np.zeros((k, len(emit)))
+        start_counts = np.zeros(k)
+        beta = np.ones((0, k), np.float32)
+        for i in range(len(blocks) - 1, -1, -1):
+            before, last = entering.pop(), i == len(blocks) - 1
+            _, live, steps, scales = self._steps(before, codes, starts, sizes, first, blocks[i], move, emit,
+                                                 logs if last else unused, keep=True)
+            to = np.cumsum(live)
+            gamma, kind = np.empty((to[-1], k), np.float32), np.empty(to[-1], codes.dtype)
+            for j in range(len(live) - 1, -1, -1):
+                n, alpha, t = live[j], steps.pop(), first + j
+                if len(beta) < n:
+                    beta = np.concatenate([beta, np.ones((n - len(beta), k), np.float32)])
+                seen = codes[starts[:n] + t]
+                gamma[to[j] - n:to[j]] = alpha * beta
+                kind[to[j] - n:to[j]] = seen
+                if t:
+                    back = emit[seen] * beta
+                    back /= scales[j][:, None]
+                    pairs += (steps[j - 1] if j else before)[:n].T @ back
+                    beta = back @ move.T
+                else:
+                    start_counts = gamma[:n].sum(axis=0, dtype=float)
+            for x in range(k):
+                emit_counts[x] += np.bincount(kind, weights=gamma[:, x], minlength=len(emit))
+            first -= blocks[i - 1] if i else 0
+        return logs.sum(), start_counts, pairs * self.move, emit_counts
 
 
 def _stretches(sizes: np.ndarray) -> np.ndarray:
-    """Lengths of the training stretches: documents, the long ones cut."""
+    """Lengths of the blocks of at most ``CUT`` steps that sequences are taken in."""
     if not len(sizes) or sizes.max() <= CUT:
         return sizes
     return np.array([min(CUT, n - a) for n in sizes for a in range(0, n, CUT)], np.int64)
@@ -227,7 +255,7 @@ def baum_welch(encoded: DataFrame, model: Hmm, smooth: np.ndarray) -> tuple[Hmm,
         total = np.zeros((classes + k + 2, k))
         for row, codes, sizes in _chunks(batches):
             train = np.array(row.column("train")[0].as_py(), bool)
-            codes, sizes = codes[np.repeat(train, sizes)].astype(np.int32), _stretches(sizes[train])
+            codes, sizes = codes[np.repeat(train, sizes)].astype(np.int32), sizes[train]
             if len(sizes):
                 logs, start, move, emit = shared.value.expected(codes, np.cumsum(sizes) - sizes, sizes)
                 total[:classes] += emit.T
