@@ -136,3 +136,15 @@ def test_one_row_of_a_component_stays_whatever_its_ids(spark):
     report = neardup.near_duplicates(docs).collect()
     assert len(report) == len(rows) and sum(r["kept"] for r in report) == len(left)
     assert sorted(r["component_id"] for r in report if r["doc_id"] == 7) == [3, 7]
+
+
+def test_a_pair_goes_only_if_the_threshold_is_hopeless():
+    n, between = np.array([1000]), 0
+    for k in range(neardup.REGISTERS // 2):                  # k registers larger, k smaller
+        a, b = np.ones((1, neardup.REGISTERS), np.uint16), np.ones((1, neardup.REGISTERS), np.uint16)
+        a[0, :k], b[0, k:2 * k] = 2, 2
+        sim, logs = neardup.likelihoods(np.array([k]), np.array([k]), n.astype(float), n.astype(float))
+        lost = logs.max() - logs[sim >= 0.8 - 0.03].max()
+        between += 12 < lost <= 16
+        assert neardup.judge(a, b, n, n, 0.8)[1][0] == (lost <= 16)
+    assert between
