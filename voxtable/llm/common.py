@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxtable.session import stored
 
-__all__ = ["WORD", "bounded", "count_words", "hash_rest", "list_numpy", "parts_for",
+__all__ = ["WORD", "bounded", "byte_runs", "count_words", "hash_rest", "list_numpy", "parts_for",
            "release", "settle", "split_words", "stored", "table"]
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,6 +60,39 @@ def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
     return before[ends], pc.ascii_lower(words) if lower else words
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def byte_runs(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Maximal runs of the bytes marked in ``inside`` (256 flags) of every text, A-Z in lower case.
+
+    ``(offsets, starts, runs, data)``: the runs of text ``i`` are ``runs[offsets[i]:offsets[i + 1]]``, as binary; ``starts``
+    are their places in ``data``, the bytes of all texts in a row. Null has none. Only single bytes decide, so borders are
+    right in UTF-8 where ``inside`` has all or none of the bytes above 127.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    return runs_of(data, ends, inside[data])
+
+
+def runs_of(data: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """:func:`byte_runs` of texts that end at ``ends`` in ``data``, by a flag for every byte."""
+    border = np.zeros(len(data) + 1, bool)
+    border[ends] = True
+    first, last = keep.copy(), keep.copy()
+    first[1:] &= ~keep[:-1] | border[1:-1]
+    last[:-1] &= ~keep[1:] | border[1:-1]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts),
+                                            [None, pa.py_buffer(cuts), pa.py_buffer(_LOWER[data[keep]])])
+    return np.searchsorted(starts, ends), starts, runs, data
+
+
 def list_numpy(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     """``(offsets, flat values)`` of a list column without nulls inside."""
     offsets = column.offsets.to_numpy().astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import hmm, langid, media, mixing, neardup, packing, quality, repeats, tokens, vectors
+from voxtable.llm import hmm, langid, media, mixing, neardup, packing, phrases, quality, repeats, tokens, vectors
 from voxtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op5(spark, sf_dir):
 @query("op3_repeated_bytes")
 def op3(spark, sf_dir):
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_phrases", phrases.PHRASE_SQL)
+def op11(spark, sf_dir):
+    return phrases.mine_phrases(table(spark, sf_dir, "documents", "text", "lang"))
