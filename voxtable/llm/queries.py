@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import hmm, langid, media, mixing, neardup, packing, phrases, quality, repeats, tokens, vectors
+from voxtable.llm import hmm, langid, media, mixing, neardup, packing, phrases, quality, repeats, spelling, tokens, vectors
 from voxtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op3(spark, sf_dir):
 @query("op11_phrases", phrases.PHRASE_SQL)
 def op11(spark, sf_dir):
     return phrases.mine_phrases(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+@query("op12_spelling")
+def op12(spark, sf_dir):
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents", "doc_id", "text"), slip=97))
