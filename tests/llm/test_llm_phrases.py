@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.util import AWKWARD, docs_table
+from util import AWKWARD, docs_table
 from voxtable.llm import phrases
 
 
@@ -92,7 +92,7 @@ def test_fingerprint_collisions_over_chunks_do_not_count(spark):
     # The same entries with all fingerprints equal: everything is read back, and text alone decides.
     rows = [(0, r["chunk"], r["m"], bytes(len(r["prints"])), r["counts"], r["places"]) for r in entries]
     frequent = phrases._frequent(spark.createDataFrame(rows, phrases.ENTRY), 13)
-    found = phrases._texts(chunks, frequent).groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f"))
+    found = phrases._counted(phrases._texts(chunks, frequent, 3), 1)
     assert {r["phrase"]: r["f"] for r in found.collect()} == dict.fromkeys("pqrs", 12)
 
 

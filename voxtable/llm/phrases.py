@@ -8,8 +8,8 @@ dictionary, with a border between pieces. A chunk's prefix polynomial gives the
   what reaches the least count to their chunks. Single words go first, then pairs of words that reached it, then phrases
   of three to five words whose pairs all did; a phrase is never more frequent than its parts, so nothing is lost.
 * **Verification.** Inside a chunk, occurrences that share a fingerprint are compared code by code with the first one; unlike
-  ones get entries of their own. Across chunks, pointers are read back as text and counts are summed by text. Fingerprints
-  only choose what is read back: a collision can add a phrase to that choice, and its own count drops it again.
+  ones get entries of their own. Across chunks, pointers are read back as text, sent packed by range again, and counts are
+  summed by text. Fingerprints only choose what is read back: a collision can add a phrase to that choice, and its own count drops it again.
 * **Score.** Parts of a frequent phrase are frequent, so both counts of every cut come from joins of the phrase table with
   itself. Products are decimals of 38 digits.
 
@@ -97,11 +97,15 @@ class _Chunk:
         return np.fromiter((xxhash.xxh3_64_intdigest(self.word(c), seed) for c in codes), np.uint64, len(codes))
 
 
+def _range_of(prints: np.ndarray, ranges: int) -> np.ndarray:
+    return ((prints >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
 def _scatter(chunk: _Chunk, m: int, prints, counts, places, ranges: int) -> Iterator[tuple]:
     """Entry rows of one chunk and phrase length, a row per fingerprint range that has any."""
     order = np.argsort(prints)
     prints, counts, places = prints[order], counts[order], places[order]
-    own = ((prints >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    own = _range_of(prints, ranges)
     cuts = np.flatnonzero(np.diff(own)) + 1
     for a, z in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(own)]])):
         if z > a:
@@ -163,7 +167,7 @@ def _words(chunks: DataFrame, ranges: int) -> DataFrame:
 
 
 def _frequent(entries: DataFrame, least: int) -> DataFrame:
-    """``chunk, m, counts, places`` of the entries whose fingerprint occurs ``least`` times in all chunks."""
+    """``chunk, m, prints, counts, places`` of the entries whose fingerprint occurs ``least`` times in all chunks."""
 
     def run(table: pa.Table) -> pa.Table:
         sizes = pc.divide(pc.binary_length(table.column("prints")), 8).to_numpy()
@@ -176,20 +180,17 @@ def _frequent(entries: DataFrame, least: int) -> DataFrame:
         good[order] = (total >= least)[np.cumsum(new) - 1]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         left = np.concatenate([[0], np.cumsum(good)])[ends]
-        counts, places = counts[good], places[good]
         some = np.flatnonzero(np.diff(left))
-        return pa.table({
-            "chunk": table.column("chunk").combine_chunks().take(pa.array(some)),
-            "m": table.column("m").combine_chunks().take(pa.array(some)),
-            "counts": pa.array([counts[left[i]:left[i + 1]].tobytes() for i in some], pa.binary()),
-            "places": pa.array([places[left[i]:left[i + 1]].tobytes() for i in some], pa.binary())})
+        packed = {name: pa.array([x[left[i]:left[i + 1]].tobytes() for i in some], pa.binary()) for name, x in (
+            ("prints", prints[good]), ("counts", counts[good]), ("places", places[good]))}
+        return pa.table({c: table.column(c).combine_chunks().take(pa.array(some)) for c in ("chunk", "m")} | packed)
 
-    return entries.groupBy("range").applyInArrow(run, "chunk long, m int, counts binary, places binary")
+    return entries.groupBy("range").applyInArrow(run, "chunk long, m int, prints binary, counts binary, places binary")
 
 
-def _joined(table: pa.Table, m: int, column: str) -> np.ndarray:
+def _joined(table: pa.Table, m: int, column: str, kind=np.int32) -> np.ndarray:
     rows = table.filter(pc.equal(table.column("m"), m)).column(column).to_pylist()
-    return np.frombuffer(b"".join(rows), np.int32)
+    return np.frombuffer(b"".join(rows), kind)
 
 
 def _longer(chunks: DataFrame, parts: DataFrame, lengths: range, ranges: int) -> DataFrame:
@@ -232,25 +233,47 @@ def _longer(chunks: DataFrame, parts: DataFrame, lengths: range, ranges: int) ->
     return chunks.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(run, ENTRY)
 
 
-def _texts(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``lang, m, phrase, f``: pointers read back as text, a row per chunk and phrase."""
+def _texts(chunks: DataFrame, frequent: DataFrame, ranges: int) -> DataFrame:
+    """``lang, m, range, texts, counts``: pointers read back as text, packed by fingerprint range; words hold no line end."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
             chunk = _Chunk(left)
             for m in sorted(set(right.column("m").to_pylist())):
-                places, counts = _joined(right, m, "places"), _joined(right, m, "counts")
+                places, counts = _joined(right, m, "places"), _joined(right, m, "counts").astype(np.int64)
+                own = _range_of(_joined(right, m, "prints", np.uint64), ranges)
+                order = np.argsort(own, kind="stable")
+                places, counts, own = places[order], counts[order], own[order]
                 codes = places[:, None] if m == 1 else chunk.codes[places[:, None] + np.arange(m)]
-                used = {c: chunk.word(c).decode() for c in np.unique(codes).tolist()}
-                rows += [(m, " ".join(map(used.__getitem__, x)), f) for x, f in zip(codes.tolist(), counts.tolist())]
-        m, phrase, f = zip(*rows) if rows else ([], [], [])
-        lang = [chunk.lang] * len(rows) if rows else []
-        return pa.table([pa.array(lang, pa.string()), pa.array(m, pa.int32()), pa.array(phrase, pa.string()),
-                         pa.array(f, pa.int64())], names=["lang", "m", "phrase", "f"])
+                used = np.unique(codes)
+                words = pa.array([chunk.word(c) for c in used.tolist()], pa.binary())
+                parts = [words.take(pa.array(np.searchsorted(used, codes[:, k]))) for k in range(m)]
+                texts = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if m > 1 else parts[0]
+                cuts = np.flatnonzero(np.diff(own)) + 1
+                for a, z in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(own)]]).tolist()):
+                    rows.append((chunk.lang, m, int(own[a]), b"\n".join(texts[a:z].to_pylist()), counts[a:z].tobytes()))
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["lang", "m", "range", "texts", "counts"])
 
     return chunks.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(
-        run, "lang string, m int, phrase string, f long")
+        run, "lang string, m int, range int, texts binary, counts binary")
+
+
+def _counted(texts: DataFrame, least: int) -> DataFrame:
+    """``lang, m, phrase, f`` by the text itself; equal texts have equal fingerprints and so one range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        phrases = pc.split_pattern(pa.chunked_array([table.column("texts").combine_chunks().cast(pa.large_string())]), "\n")
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
+        found = pa.table({"phrase": pc.list_flatten(phrases), "f": pa.array(counts)}).group_by("phrase").aggregate([("f", "sum")])
+        found = found.filter(pc.greater_equal(found.column("f_sum"), least))
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * found.num_rows, pa.string()),
+                         "m": pa.array([table.column("m")[0].as_py()] * found.num_rows, pa.int32()),
+                         "phrase": found.column("phrase").cast(pa.string()), "f": found.column("f_sum")})
+
+    return texts.groupBy("lang", "m", "range").applyInArrow(run, "lang string, m int, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -266,8 +289,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tup
         if longest > 2:
             found = found.unionByName(_frequent(_longer(chunks, pairs, range(3, longest + 1), ranges), least))
         found = stored(found, "frequent")
-    texts = _texts(chunks, found).groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return stored(texts, "phrases"), sizes
+    return stored(_counted(_texts(chunks, found, ranges), least), "phrases"), sizes
 
 
 def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
