@@ -143,8 +143,12 @@ def test_a_broken_rebuild_is_not_taken_for_a_finished_bank(spark, scratch):
     out = f"{scratch}/bank"
     t = slice_table(spark, ("a", np.ones((2, 4, 4))))
     assert SV.build_slice_bank(t, out, ["a"], size=3)
-    bad = t.withColumn("h", F.raise_error(F.lit("lost")).cast("int"))
+    unread = t.withColumn("h", F.raise_error(F.lit("lost")).cast("int"))
     with pytest.raises(Exception, match="lost"):
+        SV.build_slice_bank(unread, out, ["a", "b"], size=3)
+    assert not SV.build_slice_bank(t, out, ["a"], size=3)           # nothing was touched yet
+    bad = t.withColumn("pixels", F.slice("pixels", 1, 5))
+    with pytest.raises(Exception, match="reshape"):
         SV.build_slice_bank(bad, out, ["a", "b"], size=3)
     assert SV.build_slice_bank(t, out, ["a"], size=3)
     assert SV.read_slice_bank(spark, out).count() == 2

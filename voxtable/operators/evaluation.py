@@ -11,14 +11,13 @@ from voxtable.functions import numeric as N
 from voxtable.functions.hashing import as_int, order_key
 from voxtable.operators.components import centroid_inside, with_components
 from voxtable.operators.ordered import (
-    best_before, exact_percentiles, hash_index, rejoin, rolling_mean, row_index)
+    before_buckets, best_before, exact_percentiles, hash_index, rejoin, rolling_mean, row_index)
 from voxtable.operators.overlap import plain_overlap
 from voxtable.operators.volumes import bilinear_array
 from voxtable.session import stored
 
 CASE_METRICS = ["dice", "iou", "sensitivity_iou", "sensitivity_centroid"]
 SCORE_BUCKETS = 1 << 20     # a unit of score near zero; buckets widen with the score, so none takes all large ones
-RESAMPLE_RUN = 250
 
 
 # ---- cases and cohort -------------------------------------------------------------------
@@ -80,24 +79,25 @@ def bootstrap_ci(df: DataFrame, value: str, key: str = "case_id", by: Sequence[s
     rows = flat.select(*k, F.col(key).alias("_k"), clean.alias("_v"))
     groups = rows.groupBy(*k).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))
     vals = rows.where(F.col("_v").isNotNull()).withColumn("_h", order_key(seed, "_k"))
-    vals = hash_index(vals, k, "_h", out="_pos").select(*k, "_pos", "_v")
-    # Written, so that the join of draws to values is planned by the true size of the values:
-    # broadcast when they are small, shuffled by position when they are not.
-    vals = stored(vals.join(groups.select(*k, "n"), k), "resampled")
-    # A few positions make many draws, so runs of resamples are dealt to tasks before they unfold.
-    runs = F.sequence(F.lit(0), F.lit((resamples - 1) // RESAMPLE_RUN))
+    vals = rejoin(hash_index(vals, k, "_h", out="_pos").select(*k, "_pos", "_v"), groups.select(*k, "n"), k)
+    # Read by both sides of the join, which is planned by its true size.
+    vals = stored(vals.select(*k, "n", "_pos", "_v"), "resampled")
+    # Draw (r, i) is hashed once and serves every group that has an i-th draw, whatever its size. All draws of a resample
+    # come from one task, so a broadcast join needs no shuffle before the sums.
+    sizes = F.sort_array(F.collect_set("n"))
+    sizes = vals.agg(sizes.alias("s")).scalar()
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = vals.select(*k, "n", "_pos", F.explode(runs).alias("_run")).repartition(tasks, "_run", "_pos")
-    first = F.col("_run") * RESAMPLE_RUN
-    last = F.least(first + RESAMPLE_RUN, F.lit(resamples)) - 1
-    draws = sized.select(*k, "n", "_pos", F.explode(F.sequence(first, last)).alias("_r"))
-    pick = F.pmod(as_int(order_key(seed, "_r", "_pos")), F.col("n"))
-    # Never null, and said so: the join would otherwise filter on a second evaluation of the hash.
-    draws = draws.select(*k, "_r", F.coalesce(pick, F.lit(-1)).alias("_pos"))
-    means = draws.join(vals.select(*k, "_pos", "_v"), [*k, "_pos"]).groupBy(*k, "_r").agg(F.avg("_v").alias("_m"))
+    draws = df.sparkSession.range(0, resamples, 1, min(resamples, tasks)).select(F.col("id").alias("_r"), sizes.alias("_sizes"))
+    most = F.array_max("_sizes")
+    draws = draws.select("_r", "_sizes", F.explode(F.when(most > 0, F.sequence(F.lit(0).cast("long"), most - 1))).alias("_i"))
+    draws = draws.select("_r", F.filter("_sizes", lambda s: s > F.col("_i")).alias("_sizes"),
+                         as_int(order_key(seed, "_r", "_i")).alias("_h"))
+    draws = draws.select("_r", "_h", F.explode("_sizes").alias("n")).select(
+        "_r", "n", F.coalesce(F.pmod("_h", "n"), F.lit(-1)).alias("_pos"))
+    means = draws.join(vals, ["n", "_pos"]).groupBy(*k, "_r").agg(F.avg("_v").alias("_m"))
     ends = F.percentile("_m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))   # over ``resamples`` means
     ci = means.groupBy(*k).agg(ends.alias("_e"))
-    return (groups.join(ci, k, "left")
+    return (rejoin(groups, ci, k, "left")
             .select(*k, "mean", F.get("_e", F.lit(0)).alias("lo"), F.get("_e", F.lit(1)).alias("hi"), "n")
             .drop("_all"))
 
@@ -133,25 +133,22 @@ def auc(df: DataFrame, keys: Sequence[str], label: str, score: str, out: str = "
     """
     flat = df if keys else df.withColumn("_all", F.lit(0))
     k = list(keys) or ["_all"]
-    groups = flat.select(*k).distinct()
-    value = F.col(score).cast("double")
-    flat = flat.where(value.isNotNull() & ~F.isnan(value) & F.col(label).isNotNull())
-    pos = F.col(label).cast("double") == 1.0
-    g = flat.groupBy(*k, F.col(score).cast("double").alias("_s")).agg(
-        F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n"))
+    value, truth = F.col(score).cast("double"), F.col(label)
+    # Rows without score or label keep their key in the result, by a line without score that counts nothing.
+    usable = value.isNotNull() & ~F.isnan(value) & truth.isNotNull()
+    pos = truth.cast("double") == 1.0
+    g = flat.groupBy(*k, F.when(usable, value).alias("_s")).agg(
+        F.count_if(usable & pos).alias("_p"), F.count_if(usable & ~pos).alias("_n"))
     spread = F.signum("_s") * F.log1p(F.abs("_s"))                     # never decreases with the score
-    g = g.withColumn("_b", F.floor(spread * SCORE_BUCKETS))
-    tot = g.groupBy(*k, "_b").agg(F.sum("_n").alias("_bn"))
-    w = W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    tot = tot.select(*k, "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_below"))
+    g = g.withColumn("_b", F.coalesce(F.floor(spread * SCORE_BUCKETS), F.lit(0)))
+    tot = before_buckets(g.groupBy(*k, "_b").agg(F.sum("_n").alias("_bn")), k, "_bn", "_below")
     inside = W.partitionBy(*k, "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     g = rejoin(g, tot, [*k, "_b"]).withColumn(
         "_lower", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     sums = g.groupBy(*k).agg(F.sum(F.col("_p") * (F.col("_lower") + F.col("_n") / 2)).alias("_w"),
                              F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     pairs = F.col("_p").cast("double") * F.col("_n")
-    areas = sums.select(*k, F.when(pairs > 0, F.col("_w") / pairs).alias(out))
-    return rejoin(groups, areas, k, "left").drop("_all")
+    return sums.select(*k, F.when(pairs > 0, F.col("_w") / pairs).alias(out)).drop("_all")
 
 
 def first_hit_rank(scores: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from voxtable.functions import bits
+
+FAN = 1 << 15            # buckets whose totals one window accumulates
 WIDTH = 1 << 16          # rows of a unique integer order column that share one bucket
 HASH_DIGITS = 4          # hex digits of an md5 order key that form one bucket
 
@@ -34,21 +37,38 @@ def rejoin(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inne
     return big.join(named, match, how).drop(*[f"_on_{c}" for c in on])
 
 
-def _before(df: DataFrame, keys: list[str], bucket: str, value: Column, start) -> Column:
-    w = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    return F.coalesce(value.over(w), F.lit(start))
+def before_buckets(totals: DataFrame, keys: Sequence[str], value: str, out: str, past: str = "sum") -> DataFrame:
+    """``keys, _b, out``: what lies in all earlier buckets of the key, of ``totals(keys, _b, value)``.
+
+    Runs of ``FAN`` buckets are totalled first, so a window holds ``FAN`` rows of a key with up to ``FAN ** 2`` buckets.
+    ``past`` is ``sum``, 0 without earlier buckets, or ``max``, null without.
+    """
+    fold = {"sum": F.sum, "max": F.max}[past]
+
+    def earlier(column: str, over: Sequence[str], order: str) -> Column:
+        return fold(column).over(W.partitionBy(*over).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+
+    rows = totals.select(*keys, "_b", F.col(value).alias("_v"), F.floor(F.col("_b") / FAN).alias("_run"))
+    runs = rows.groupBy(*keys, "_run").agg(fold("_v").alias("_t"))
+    runs = runs.select(*keys, "_run", earlier("_t", keys, "_run").alias("_far"))
+    rows = rejoin(rows.withColumn("_near", earlier("_v", [*keys, "_run"], "_b")), runs, [*keys, "_run"])
+    if past == "max":
+        return rows.select(*keys, "_b", F.greatest("_far", "_near").alias(out))
+    return rows.select(*keys, "_b", (F.coalesce("_far", F.lit(0)) + F.coalesce("_near", F.lit(0))).alias(out))
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: str, out: str = "idx",
               width: int = WIDTH, bucket: Column | None = None) -> DataFrame:
     """Exact 0-based position of each row in its key, by a column unique within the key.
 
-    ``bucket`` must not decrease along ``order``; by default ``floor(order / width)``.
+    ``bucket`` must not decrease along ``order`` and have at most ``16 ** HASH_DIGITS`` values; by default it is
+    ``floor(order / width)``, with any number of values.
     """
     df, k = _const_key(df, keys)
     df = df.withColumn("_b", number_bucket(order, width) if bucket is None else bucket)
     starts = df.groupBy(*k, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(*k, "_b", _before(starts, k, "_b", F.sum("_n"), 0).alias("_start"))
+    starts = before_buckets(starts, k, "_n", "_start") if bucket is None else starts.select(*k, "_b", F.coalesce(
+        F.sum("_n").over(W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     local = F.row_number().over(W.partitionBy(*k, "_b").orderBy(order)) - 1
     out_df = (rejoin(df.withColumn("_local", local), starts, [*k, "_b"])
               .withColumn(out, (F.col("_start") + F.col("_local")).cast("long"))
@@ -71,7 +91,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     df, k = _const_key(df, keys)
     df = df.withColumn("_b", number_bucket(order, width))
     sums = df.groupBy(*k, "_b").agg(F.sum(value).alias("_s"))
-    sums = sums.select(*k, "_b", _before(sums, k, "_b", F.sum("_s"), 0).alias("_start"))
+    sums = before_buckets(sums, k, "_s", "_start")
     if stop_at is not None:
         sums = sums.where(F.col("_start") < F.lit(stop_at))
     w = W.partitionBy(*k, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
@@ -101,8 +121,7 @@ def best_before(df: DataFrame, keys: Sequence[str], index: str, value: str, out:
     k = list(keys)
     df = df.withColumn("_b", F.floor(F.col(index) / F.lit(width)))
     tops = df.groupBy(*k, "_b").agg(F.max(value).alias("_m"))
-    w = W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.select(*k, "_b", F.max("_m").over(w).alias("_past"))
+    tops = before_buckets(tops, k, "_m", "_past", past="max")
     inside = W.partitionBy(*k, "_b").orderBy(index).rowsBetween(W.unboundedPreceding, -1)
     return (rejoin(df, tops, [*k, "_b"])
             .withColumn(out, F.greatest(F.col("_past"), F.max(value).over(inside)))
@@ -131,54 +150,47 @@ def hash_cutoff(df: DataFrame, key: str, n: Column) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-                      out: str = "pct", accuracy: int = 10_000, is_array: bool = False) -> DataFrame:
+                      out: str = "pct", accuracy: int = 256, is_array: bool = False) -> DataFrame:
     """Exact interpolated percentiles per key (array column ``out``), for keys of any size.
 
-    A bounded sketch brackets each wanted order statistic.  Values outside the brackets are
-    snapped to the nearest bracket edge, which keeps every wanted rank and leaves few distinct
-    values; those are counted (with map-side combine), and a running count over them, which can
-    spill, finds the ranks.  ``is_array`` treats
-    ``value`` as an array of numbers.
+    Two rounds.  Values are counted by their leading bits, ``accuracy`` bins an octave, which names the bins that hold the
+    wanted ranks and the ranks inside them; then the distinct values of those bins alone are counted.  ``is_array`` treats
+    ``value`` as an array of numbers: both counts happen inside the row, and only counts leave it.  Nulls do not take part,
+    NaN is the largest number.  ``accuracy`` changes the work, never the result.
     """
     df, k = _const_key(df, keys)
     qs = [float(q) for q in qs]
-    margin = 4.0 / accuracy
-    marks = [m for q in sorted(qs) for m in (max(0.0, q - margin), min(1.0, q + margin))]
-
-    def flat(d, col):
-        return d.select(*k, F.explode(col).alias("_v")) if is_array else d.select(*k, col.alias("_v"))
-
-    sketch = flat(df, F.col(value)).groupBy(*k).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("_m"))
-    joined = rejoin(df.select(*dict.fromkeys([*k, value])), sketch, k)
-
-    def snap(v: Column) -> Column:
-        edge = [F.get("_m", F.lit(i)) for i in range(len(marks))]
-        # Brackets of keys this small may hold a single rank, and interpolation needs its neighbour.
-        e = F.when(F.col("_n") <= F.lit(10 * accuracy), v)
-        for i in range(0, len(marks), 2):
-            e = e.when(v < edge[i], edge[i - 1] if i else edge[0]).when(v <= edge[i + 1], v)
-        return e.otherwise(edge[-1])
-
+    shift = bits.shift_for(accuracy)
     if is_array:
-        vals = joined.select(*k, F.explode(value).alias("_v"), "_n", "_m")
+        rows = df.select(*k, F.col(value).cast("array<double>").alias("_a"))
+        bins = rows.select(*k, F.explode(bits.bin_counts(shift)("_a")).alias("_e")).select(*k, "_e.*")
+        bins = bins.groupBy(*k, "p").agg(F.sum("n").alias("n"))
     else:
-        vals = joined.select(*k, F.col(value).alias("_v"), "_n", "_m")
-    counts = (vals.where(F.col("_v").isNotNull()).groupBy(*k, snap(F.col("_v")).alias("_s"))
-              .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")))
-    upto = F.sum("_c").over(W.partitionBy(*k).orderBy("_s").rowsBetween(W.unboundedPreceding, 0))
-    last = F.max("_n") - 1
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > rank, F.col("_s")))
-    # The wanted ranks depend on the key's size only, so they are columns before the aggregate.
-    ranked = counts.withColumn("_upto", upto)
-    for i, q in enumerate(qs):
-        ranked = ranked.withColumn(f"_p{i}", F.lit(q) * (F.col("_n") - 1))
-    picks = []
+        rows = df.select(*k, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+        rows = rows.withColumn("p", bits.bin_of(shift)("v"))
+        bins = rows.groupBy(*k, "p").agg(F.count(F.lit(1)).alias("n"))
+    # The ranks wanted around each percentile, as columns.
+    ranks = [f(F.lit(q) * (F.col("_n") - 1)).cast("long") for q in qs for f in (F.floor, F.ceil)]
+    along = W.partitionBy(*k)
+    upto = F.sum("n").over(along.orderBy("p").rowsBetween(W.unboundedPreceding, 0))
+    bins = bins.withColumns({"_before": upto - F.col("n"), "_n": F.sum("n").over(along)})
+    wanted = bins.groupBy(*k).agg(F.max("_n").alias("_n"), *[
+        F.max(F.when((r >= F.col("_before")) & (r < F.col("_before") + F.col("n")), F.struct("p", "_before"))).alias(f"_w{i}")
+        for i, r in enumerate(ranks)])
+    wanted = wanted.withColumn("_bins", F.array_distinct(F.array(*[F.col(f"_w{i}.p") for i in range(len(ranks))])))
+    rows = rejoin(rows, wanted.select(*k, "_bins"), k)
+    if is_array:
+        found = rows.select(*k, F.explode(bits.values_in_bins(shift)("_a", "_bins")).alias("_e")).select(*k, "_e.*")
+    else:
+        found = rows.where(F.array_contains("_bins", F.col("p"))).select(*k, "p", "v", F.lit(1).cast("long").alias("n"))
+    found = found.groupBy(*k, "p", "v").agg(F.sum("n").alias("n"))
+    inside = W.partitionBy(*k, "p").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    found = rejoin(found.withColumn("_upto", F.sum("n").over(inside)), wanted.drop("_bins"), k)
+    picks = found.groupBy(*k).agg(F.max("_n").alias("_n"), *[
+        F.min(F.when((F.col("p") == F.col(f"_w{i}.p")) & (F.col("_upto") > r - F.col(f"_w{i}._before")), F.col("v")))
+        .alias(f"_v{i}") for i, r in enumerate(ranks)])
+    whole = []
     for i, q in enumerate(qs):
-        low, high = at(F.floor(f"_p{i}")), at(F.ceil(f"_p{i}"))
-        part = F.lit(q) * last - F.floor(F.lit(q) * last)
-        picks.append(low + (high - low) * part)
-    return ranked.groupBy(*k).agg(F.array(*picks).alias(out)).drop("_every")
+        low, high, place = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}"), F.lit(q) * (F.col("_n") - 1)
+        whole.append(low + (high - low) * (place - F.floor(place)))
+    return picks.select(*k, F.array(*whole).alias(out)).drop("_every")

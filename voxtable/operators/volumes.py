@@ -10,10 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from voxtable.functions import arrays as A
+from voxtable.functions import bits
 from voxtable.operators.ordered import exact_percentiles, row_index
 
 # Clip percentiles, crop margin, slab half-width, strip depth limits.
@@ -22,6 +24,8 @@ CROP_MARGIN = 16
 SLAB = 12
 STRIP_MIN, STRIP_MAX = 2, 41
 
+Z_RUN = 16              # slices that share one list of box corners
+
 BOX = ["z0", "z1", "y0", "y1", "x0", "x1"]
 
 
@@ -101,35 +105,69 @@ def box_runs(boxes: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
-def _paint(h: pd.Series, w: pd.Series, ys: pd.Series, x0s: pd.Series, x1s: pd.Series) -> pd.Series:
+def _paint(h: pd.Series, w: pd.Series, z: pd.Series, zs: pd.Series, ys: pd.Series, xs: pd.Series, steps: pd.Series) -> pd.Series:
     out = []
-    for rows, cols, y, a, b in zip(h, w, ys, x0s, x1s):
-        edge = np.zeros((rows, cols + 1), dtype=np.int32)       # +1 where a run starts, -1 where it ends
-        if y is not None:
-            y, a, b = (np.asarray(v, dtype=np.int64) for v in (y, a, b))
-            inside = (y >= 0) & (y < rows)
-            np.add.at(edge, (y[inside], np.clip(a[inside], 0, cols)), 1)
-            np.add.at(edge, (y[inside], np.clip(b[inside], 0, cols)), -1)
-        out.append((np.cumsum(edge, axis=1)[:, :cols] > 0).astype(np.int32).ravel())
+    for rows, cols, at, zz, y, x, step in zip(h, w, z, zs, ys, xs, steps):
+        count = np.zeros((rows + 1, cols + 1), dtype=np.int64)
+        if zz is not None:
+            zz, y, x, step = (np.asarray(v, dtype=np.int64) for v in (zz, y, x, step))
+            begun = zz <= at
+            np.add.at(count, (np.minimum(y[begun], rows), np.minimum(x[begun], cols)), step[begun])
+        # Two running sums turn the steps at the corners into the number of boxes over each pixel.
+        out.append((count.cumsum(axis=0).cumsum(axis=1)[:rows, :cols] > 0).astype(np.int32).ravel())
     return pd.Series(out)
 
 
-def paint_runs(slices: DataFrame, runs: DataFrame, on: Sequence[str], out: str = "mask") -> DataFrame:
-    """Masks from row runs keyed by ``on``."""
-    per_key = runs.groupBy(*on).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_r"))
-    joined = slices.join(per_key, list(on), "left")
-    return joined.withColumn(out, _paint(F.col("h").cast("int"), F.col("w").cast("int"),
-                                         F.col("_r.y"), F.col("_r.x0"), F.col("_r.x1"))).drop("_r")
-
+def corner_steps(boxes: DataFrame, frames: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``on, _zb, _steps``: boxes as steps of +1 and -1 at their corners, per run of ``Z_RUN`` slices.
 
-def paint_boxes(slices: DataFrame, boxes: DataFrame, out: str = "mask") -> DataFrame:
-    """Mask of every slice: 1 where the pixel lies in any box of its case."""
-    runs = box_runs(boxes, case_table(slices.select("case_id", "h", "w")))
-    return paint_runs(slices, runs, ["case_id", "z"], out=out)
+    A box has eight corners in every run it reaches, whatever its size; equal corners are summed, so a run has no
+    more of them than pixel corners.  ``frames`` bounds the boxes by ``depth, h, w`` per ``on``.
+    """
+    b = boxes.select(*on, *BOX).distinct().join(frames.select(*on, "depth", "h", "w"), list(on))
+    b = b.select(*on, F.greatest("z0", F.lit(0)).alias("z0"), F.least("z1", "depth").alias("z1"),
+                 F.greatest("y0", F.lit(0)).alias("y0"), F.least("y1", "h").alias("y1"),
+                 F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", "w").alias("x1"))
+    b = b.where((F.col("z1") > F.col("z0")) & (F.col("y1") > F.col("y0")) & (F.col("x1") > F.col("x0")))
+    b = b.withColumn("_zb", F.explode(F.sequence(F.floor(F.col("z0") / Z_RUN), F.floor((F.col("z1") - 1) / Z_RUN))))
+    base = F.col("_zb") * Z_RUN
+    first, last = F.greatest(F.col("z0") - base, F.lit(0)), F.col("z1") - base
+    corners = [F.struct(z.cast("int").alias("z"), F.col(y).cast("int").alias("y"), F.col(x).cast("int").alias("x"),
+                        F.lit(sz * sy * sx).alias("s"))
+               for z, sz in ((first, 1), (last, -1)) for y, sy in (("y0", 1), ("y1", -1)) for x, sx in (("x0", 1), ("x1", -1))]
+    c = b.select(*on, "_zb", F.explode(F.array(*corners)).alias("_c")).where(F.col("_c.z") < Z_RUN)
+    c = c.groupBy(*on, "_zb", "_c.z", "_c.y", "_c.x").agg(F.sum("_c.s").alias("s")).where(F.col("s") != 0)
+    return c.groupBy(*on, "_zb").agg(F.collect_list(F.struct("z", "y", "x", "s")).alias("_steps"))
+
+
+def paint_boxes(slices: DataFrame, boxes: DataFrame, out: str = "mask", on: Sequence[str] = ("case_id",)) -> DataFrame:
+    """Mask of every slice: 1 where the pixel lies in any half-open box of the same ``on``."""
+    on = list(on)
+    frames = slices.groupBy(*on).agg((F.max("z") + 1).alias("depth"), F.max("h").alias("h"), F.max("w").alias("w"))
+    steps = corner_steps(boxes, frames, on)
+    joined = slices.withColumn("_zb", F.floor(F.col("z") / Z_RUN)).join(steps, [*on, "_zb"], "left")
+    inside = F.pmod("z", F.lit(Z_RUN)).cast("int")
+    painted = _paint(F.col("h").cast("int"), F.col("w").cast("int"), inside,
+                     *[F.col(f"_steps.{c}") for c in ("z", "y", "x", "s")])
+    kept = [c for c in slices.columns if c != out]
+    return joined.withColumn(out, painted).select(*kept, out)
+
+
+def pixels_in_boxes(slices: DataFrame, boxes: DataFrame, value: str = "pixels") -> DataFrame:
+    """``case_id, z, y, x, v`` of the pixels inside any box: marked in their slice row, and only hits leave it."""
+    s = paint_boxes(slices.select("case_id", "z", "h", "w", value), boxes, out="_in")
+    hit = F.filter(F.transform(F.arrays_zip(F.col(value).alias("v"), F.col("_in").alias("m")),
+                               lambda e, i: F.struct(i.alias("i"), e["v"].alias("v"), e["m"].alias("m"))), lambda e: e["m"] > 0)
+    s = s.select("case_id", "z", "w", F.explode(hit).alias("_e"))
+    return s.select("case_id", "z", F.floor(F.col("_e.i") / F.col("w")).cast("int").alias("y"),
+                    F.pmod("_e.i", "w").cast("int").alias("x"), F.col("_e.v").alias("v"))
 
 
 def voxels_in_boxes(voxels: DataFrame, boxes: DataFrame, cases: DataFrame) -> DataFrame:
-    """Voxels inside any box: a range join on top of equal case, slice and image row."""
+    """Voxels inside any box: a range join on top of equal case, slice and image row.
+
+    For tables that hold voxels only; slices are better served by :func:`pixels_in_boxes`, which moves no voxels.
+    """
     runs = box_runs(boxes, cases).withColumnsRenamed({"case_id": "_c", "z": "_z", "y": "_y"})
     on = ((F.col("case_id") == F.col("_c")) & (F.col("z") == F.col("_z")) & (F.col("y") == F.col("_y"))
           & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
@@ -154,12 +192,13 @@ def intensity_stats(slices: DataFrame, low: float = CLIP_PERCENTILES[0],
     else:
         pct = exact_percentiles(slices, ["case_id"], "pixels", [low, high], is_array=True)
     levels = pct.select("case_id", F.get("pct", F.lit(0)).alias("lo"), F.get("pct", F.lit(1)).alias("hi"))
-    v = slices.select("case_id", "z", "pixels").join(levels, "case_id")
-    c = v.select("case_id", "lo", "hi", F.explode("pixels").alias("_v")).select(
-        "case_id", "lo", "hi", F.greatest(F.least("_v", "hi"), "lo").alias("_c"))
-    return c.groupBy("case_id").agg(
-        F.max("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.avg("_c").alias("mean"), F.stddev_pop("_c").alias("std"))
+    part = slices.select("case_id", "pixels").join(levels, "case_id").select(
+        "case_id", "lo", "hi", bits.clipped_moments(A.doubles("pixels"), "lo", "hi").alias("_m"))
+    sums = part.groupBy("case_id").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"),
+                                       *[F.sum(f"_m.{c}").alias(c) for c in ("n", "s1", "s2")])
+    shift = F.col("s1") / F.col("n")
+    return sums.select("case_id", "lo", "hi", ((F.col("lo") + F.col("hi")) / 2 + shift).alias("mean"),
+                       F.sqrt(F.greatest(F.col("s2") / F.col("n") - shift * shift, F.lit(0.0))).alias("std"))
 
 
 def normalise_intensity(slices: DataFrame, low: float = CLIP_PERCENTILES[0],
@@ -183,10 +222,38 @@ def display_window(slices: DataFrame, per: str = "stack") -> DataFrame:
         "pixels", F.get("_w", F.lit(0)), F.get("_w", F.lit(1)))).drop("_w")
 
 
+def _highest(keys: Sequence[str], value: str):
+    """Element-wise maximum of a stream of slices, one frame in memory."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, first = None, None
+        for b in batches:
+            first = b if first is None else first
+            for a in b.column(value):
+                frame = a.values.to_numpy(zero_copy_only=False)
+                top = frame.copy() if top is None else np.fmax(top, frame)
+        yield pa.RecordBatch.from_arrays(
+            [*(first.column(c).slice(0, 1) for c in (*keys, "h", "w")), pa.array([top], pa.list_(pa.float64()))],
+            names=[*keys, "h", "w", value])
+    return fold
+
+
+def projection(slices: DataFrame, value: str = "pixels", run: int = Z_RUN) -> DataFrame:
+    """Maximum-intensity projection of each case as one frame ``case_id, h, w, value``.
+
+    Runs of slices are folded first, then the runs of a case; frames are read one by one, so neither has to fit in memory.
+    """
+    s = slices.select("case_id", F.floor(F.col("z") / run).alias("_run"), "h", "w", F.col(value).cast("array<double>").alias(value))
+    kind, of = slices.schema["case_id"].dataType.simpleString(), {c: slices.schema[c].dataType.simpleString() for c in "hw"}
+    tail = f"h {of['h']}, w {of['w']}, {value} array<double>"
+    runs = s.groupBy("case_id", "_run").applyInArrow(
+        _highest(["case_id", "_run"], value), f"case_id {kind}, _run long, {tail}")
+    return runs.drop("_run").groupBy("case_id").applyInArrow(_highest(["case_id"], value), f"case_id {kind}, {tail}")
+
+
 def mip(slices: DataFrame, value: str = "pixels") -> DataFrame:
-    """Maximum-intensity projection: the largest value of each pixel position over z."""
-    vox = to_voxels(slices.select("case_id", "z", "h", "w", value), v=value)
-    return vox.groupBy("case_id", "y", "x").agg(F.max("v").alias("v"))
+    """``case_id, y, x, v`` of :func:`projection`."""
+    return to_voxels(projection(slices, value), v=value)
 
 
 # ---- cropping and cutting ---------------------------------------------------------------
@@ -314,16 +381,24 @@ def resize(slices: DataFrame, size: int) -> DataFrame:
 # ---- review strip -----------------------------------------------------------------------
 
 def slice_strip(slices: DataFrame, cases: DataFrame, best: DataFrame,
-                max_slices: int = STRIP_MAX) -> DataFrame:
+                max_slices: int = STRIP_MAX, project: bool = False) -> DataFrame:
     """Windowed slices of shallow cases with their full-frame index and the scored one marked.
 
     ``best`` has ``(case_id, best_slice)`` in full-frame indexing.  Cases with one slice or
-    more than ``max_slices`` have nothing to browse and are left out.
+    more than ``max_slices`` have nothing to browse and are left out.  ``project`` adds a row per case with the
+    maximum projection in the same window; its ``z`` and ``index`` are null and it is never marked.
     """
     meta = cases.where(F.col("depth").between(STRIP_MIN, max_slices)).select("case_id", "depth", "off_z")
     meta = meta.join(best.select("case_id", "best_slice"), "case_id").withColumn(
         "best_position", F.greatest(F.least(F.col("best_slice") - F.col("off_z"), F.col("depth") - 1), F.lit(0)))
     s = slices.join(meta, "case_id")
-    shown = display_window(s, per="stack")
-    return shown.withColumns({"index": F.col("z") + F.col("off_z"),
-                              "is_best": F.col("z") == F.col("best_position")}).drop("depth", "off_z", "best_slice")
+    win = exact_percentiles(s, ["case_id"], "pixels", list(CLIP_PERCENTILES), out="_w", is_array=True)
+    rows = s.select("case_id", "z", "h", "w", F.col("pixels").cast("array<double>").alias("pixels"), "off_z", "best_position")
+    if project:
+        seen = projection(s).join(meta.select("case_id", "off_z", "best_position"), "case_id")
+        rows = rows.unionByName(seen, allowMissingColumns=True)
+    shown = rows.join(win, "case_id").withColumn("shown", A.display_bytes(
+        "pixels", F.get("_w", F.lit(0)), F.get("_w", F.lit(1))))
+    return shown.select("case_id", "z", "h", "w", "pixels", "best_position", "shown",
+                        (F.col("z") + F.col("off_z")).alias("index"),
+                        F.coalesce(F.col("z") == F.col("best_position"), F.lit(False)).alias("is_best"))

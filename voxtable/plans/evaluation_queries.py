@@ -9,6 +9,7 @@ from voxtable.functions.numeric import rounded
 from voxtable.operators import components as K
 from voxtable.operators import evaluation as E
 from voxtable.operators import overlap as O
+from voxtable.operators import tiles as T
 from voxtable.operators import volumes as V
 from voxtable.plans.registry import query
 from voxtable.plans.views import predictions, r6, slices, study, table, with_views
@@ -145,6 +146,14 @@ def _(spark, d):
     return rounded_all(K.components(study(spark, d), min_size=2), "cy", "cx")
 
 
+@query("components_tiled", recursive(COMPONENTS + f"""
+SELECT case_id, z, CAST(seed AS BIGINT) AS seed, CAST(size AS BIGINT) AS size, {r6('cy')} AS cy, {r6('cx')} AS cx FROM comps""",
+                                     "study"))
+def _(spark, d):
+    tiles = T.cut_tiles(study(spark, d), tile=(3, 2))
+    return rounded_all(T.tiled_components(tiles), "cy", "cx")
+
+
 TARGET = """, target AS (SELECT case_id, z, min(y) AS r0, max(y) AS r1, min(x) AS c0, max(x) AS c1
   FROM study WHERE m = 1 GROUP BY case_id, z),
 big AS (SELECT *, row_number() OVER (PARTITION BY case_id, z ORDER BY size DESC, seed) AS rn FROM comps WHERE size >= 3),

@@ -60,20 +60,13 @@ def prepare_contrast(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, p
     return _finish(painted, crop, margin), _outcome(pairs)
 
 
-def annotation_runs(boxes2d: DataFrame, slices: DataFrame, margin: int = 2) -> DataFrame:
-    """Row runs per patient, view and slice; duplicates and what lies off every frame are gone."""
-    top = slices.agg(F.struct(F.max("h").alias("h"), F.max("w").alias("w"), F.max("z").alias("z")).alias("t")).scalar()
-    h, w, z = (top.getField(c) for c in ("h", "w", "z"))
+def annotation_boxes(boxes2d: DataFrame, margin: int = 2) -> DataFrame:
+    """Half-open boxes per patient and view, without duplicates; the mark's slice is widened by ``margin`` both ways."""
     b = boxes2d.where(F.col("patient_id").isNotNull() & (F.col("view") != ""))
-    b = b.select("patient_id", F.lower("view").alias("view_key"), "slice", "x", "y", "width", "height").distinct()
-    b = b.select("patient_id", "view_key",
-                 F.greatest(F.col("slice") - margin, F.lit(0)).alias("z0"), F.least(F.col("slice") + margin, z).alias("z1"),
-                 F.col("y").alias("y0"), F.least(F.col("y") + F.col("height"), h).alias("y1"),
-                 F.col("x").alias("x0"), F.least(F.col("x") + F.col("width"), w).alias("x1"))
-    b = b.where((F.col("z1") >= F.col("z0")) & (F.col("y1") > F.col("y0")) & (F.col("x1") > F.col("x0")))
-    b = b.select("patient_id", "view_key", F.explode(F.sequence("z0", "z1")).alias("z"), "y0", "y1", "x0", "x1")
-    b = b.select("patient_id", "view_key", "z", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1")
-    return b.groupBy("patient_id", "view_key", "z", "y", "x0").agg(F.max("x1").alias("x1"))
+    b = b.select("patient_id", F.lower("view").alias("view_key"), (F.col("slice") - margin).alias("z0"),
+                 (F.col("slice") + margin + 1).alias("z1"), F.col("y").alias("y0"), (F.col("y") + F.col("height")).alias("y1"),
+                 F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1"))
+    return b.distinct()
 
 
 def prepare_boxes(slices: DataFrame, boxes2d: DataFrame, margin: int = 2, crop: bool = True,
@@ -82,9 +75,7 @@ def prepare_boxes(slices: DataFrame, boxes2d: DataFrame, margin: int = 2, crop:
 
     ``slices`` carry ``case_id`` (the series), ``patient_id`` and ``view_key``.
     """
-    runs = annotation_runs(boxes2d, slices, margin)
-    on = ["patient_id", "view_key", "z"]
-    painted = stored(V.paint_runs(slices, runs, on), "painted")
+    painted = stored(V.paint_boxes(slices, annotation_boxes(boxes2d, margin), on=["patient_id", "view_key"]), "painted")
     cases = painted.groupBy("case_id").agg(F.max(A.any_positive("mask")).alias("_any"))
     reason = F.when(~F.col("_any"), "no_boxes") if skip_empty else F.lit(None).cast("string")
     cases = cases.select("case_id", reason.alias("reason"))

@@ -73,9 +73,7 @@ def _(spark, d):
 SELECT case_id, y, x, count(*) AS n, {r6('sum(v)')} AS v_sum FROM painted WHERE inside GROUP BY case_id, y, x""",
                                           "voxels", "boxes3d"))
 def _(spark, d):
-    s = slices(spark, d)
-    vox = V.to_voxels(s.select("case_id", "z", "h", "w", "pixels"), v="pixels")
-    hit = V.voxels_in_boxes(vox, V.boxes_from_1based(boxes3d(spark, d)), V.case_table(s))
+    hit = V.pixels_in_boxes(slices(spark, d), V.boxes_from_1based(boxes3d(spark, d)))
     return hit.groupBy("case_id", "y", "x").agg(F.count(F.lit(1)).alias("n"),
                                                 rounded(F.sum("v")).alias("v_sum"))
 
@@ -207,18 +205,19 @@ def _(spark, d):
 @query("slice_strip", with_views(SLAB + """
 , vox AS (SELECT v.case_id, z - lo AS z, y, x, v FROM voxels v JOIN cut USING (case_id) WHERE z >= lo AND z < hi),
 pct AS (SELECT case_id, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99 FROM vox GROUP BY case_id),
-best AS (SELECT case_id, arg_max(z, v) AS z FROM vox GROUP BY case_id)
+best AS (SELECT case_id, arg_max(z, v) AS z FROM vox GROUP BY case_id),
+rows AS (SELECT * FROM vox UNION ALL SELECT case_id, NULL AS z, y, x, max(v) AS v FROM vox GROUP BY case_id, y, x)
 SELECT case_id, CAST(v.z AS INTEGER) AS z, CAST(v.z + off_z + lo AS INTEGER) AS index, CAST(b.z AS INTEGER) AS best_position,
-       v.z = b.z AS is_best,
+       coalesce(v.z = b.z, false) AS is_best,
        CAST(sum(trunc(255 * least(greatest((v - p1) / greatest(p99 - p1, 1e-6), 0.0), 1.0))) AS BIGINT) AS brightness
-FROM vox v JOIN cut USING (case_id) JOIN pct USING (case_id) JOIN best b USING (case_id)
+FROM rows v JOIN cut USING (case_id) JOIN pct USING (case_id) JOIN best b USING (case_id)
 GROUP BY ALL""", "voxels"))
 def _(spark, d):
     s, meta = slab(spark, d)
     top = s.groupBy("case_id").agg(F.max_by("z", F.array_max("pixels")).alias("best_slice"))
     best = top.join(meta.select("case_id", "off_z"), "case_id").select(
         "case_id", (F.col("best_slice") + F.col("off_z")).alias("best_slice"))
-    strip = V.slice_strip(s, meta, best)
+    strip = V.slice_strip(s, meta, best, project=True)
     return strip.select("case_id", "z", "index", "best_position", "is_best",
                         A.total("shown").cast("long").alias("brightness"))
 

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from voxtable.functions import arrays as A
 from voxtable.operators import quality as Q
 from voxtable.operators.volumes import crop_to_roi, resize
-from voxtable.session import move_path, path_exists, remove_path
+from voxtable.session import move_path, path_exists, remove_path, stored
 
 MANIFEST = "_manifest"      # hidden from readers of the slices beside it
+CHECKS = "_checks"          # likewise
 BANK_INDEX = "bank_index"
 CONTRACT = "volume contract: "
 
@@ -28,19 +29,20 @@ def guarded(slices: DataFrame) -> DataFrame:
     These checks ride along with the write, so an expensive preparation runs once and a broken
     slice aborts it at once; those of whole cases follow on the written rows.
     """
-    n = F.size("pixels")
+    n = Q.array_size("pixels")
     bad = F.size(F.filter(A.doubles("pixels"), Q.bad_number))
 
     def stop(*message) -> Column:
-        text = F.concat(F.lit(CONTRACT), F.col("case_id"), F.lit(": "),
-                        *[F.lit(m) if isinstance(m, str) else m.cast("string") for m in message])
+        name = F.coalesce(F.col("case_id"), F.lit("(no name)"))
+        text = F.concat(F.lit(CONTRACT), name, F.lit(": "), *[
+            F.lit(m) if isinstance(m, str) else F.coalesce(m.cast("string"), F.lit("null")) for m in message])
         return F.raise_error(text).cast("array<float>")
     checked = (
-        F.when(n != F.col("h") * F.col("w"), stop("volume must be 3D, a slice holds ", n, " pixels"))
-        .when(F.size("mask") != n, stop("mask shape does not match volume shape"))
-        .when(n == 0, stop("volume has an empty axis"))
-        .when(bad > 0, stop("slice ", F.col("z"), " holds ", bad, " non-finite value(s)"))
-        .when(F.exists("mask", lambda m: (m != 0) & (m != 1)),
+        F.when(~n.eqNullSafe(F.col("h").cast("long") * F.col("w")), stop("slice ", F.col("z"), " has ", n, " pixels, not h times w"))
+        .when(~Q.array_size("mask").eqNullSafe(n), stop("mask and pixels differ in size on slice ", F.col("z")))
+        .when(n == 0, stop("nothing along an axis of slice ", F.col("z")))
+        .when(bad > 0, stop(bad, " pixels of slice ", F.col("z"), " are no usable numbers"))
+        .when(F.exists("mask", Q.odd_value),
               stop("mask has values other than 0 and 1: ",
                    F.slice(F.array_sort(F.array_distinct("mask")), 1, Q.QUOTED_VALUES)))
         .otherwise(F.col("pixels").cast("array<float>")))
@@ -53,7 +55,8 @@ def write_volumes(slices: DataFrame, path: str, crop: bool = True, mode: str = "
 
     Raises :class:`~voxtable.operators.quality.VolumeContractError` on a broken contract.  The slices go to a folder
     beside ``path`` and take that name only when their cases are whole, so nothing broken is ever found there.
-    ``mode`` is ``error`` or ``overwrite``.  Slices of a case go to the same files; the rebalance step splits a deep
+    What was written is scanned once; the numbers of every case are kept in the folder for the manifest.
+    ``mode`` is ``error`` or ``overwrite``; what is overwritten is put aside first and goes when the new folder has its name.  Slices of a case go to the same files; the rebalance step splits a deep
     case and joins small ones, so files come out at the session's advisory size.
     """
     if mode not in ("error", "overwrite"):
@@ -70,48 +73,72 @@ def write_volumes(slices: DataFrame, path: str, crop: bool = True, mode: str = "
     side = f"{path}.unchecked-{uuid.uuid4().hex}"
     try:
         s.hint("rebalance", "case_id").write.parquet(side)
-        Q.require_valid(read_volumes(spark, side), expect_full_frame=not crop)
+        Q.case_checks(read_volumes(spark, side)).write.parquet(f"{side}/{CHECKS}")
+        Q.require_sound(Q.findings(spark.read.parquet(f"{side}/{CHECKS}"), expect_full_frame=not crop))
     except Exception as e:
         remove_path(spark, side)
         found = re.search(re.escape(CONTRACT) + r"([^\n]*)", str(e))
         if found:
             raise Q.VolumeContractError(found.group(1)) from e
         raise
-    if mode == "overwrite":
-        remove_path(spark, path)
-    move_path(spark, side, path)
-    report = Q.validate_volumes(read_volumes(spark, path), expect_full_frame=not crop)
-    return report.where(F.col("severity") == "warning")
+    replace_path(spark, side, path)
+    return Q.findings(read_checks(spark, path), expect_full_frame=not crop).where(F.col("severity") == "warning")
+
+
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Give ``new`` the name ``path``; a folder of that name is put aside first, and back if that fails."""
+    aside = f"{path}.replaced-{uuid.uuid4().hex}" if path_exists(spark, path) else None
+    if aside:
+        move_path(spark, path, aside)
+    try:
+        move_path(spark, new, path)
+    except Exception:
+        if aside:
+            move_path(spark, aside, path)
+        raise
+    if aside:
+        remove_path(spark, aside)
+
+
+def read_checks(spark: SparkSession, path: str) -> DataFrame:
+    """The numbers of every case as scanned after the write of ``path``."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{CHECKS}")
 
 
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _fingerprint(sources: list[str]) -> str:
-    return hashlib.sha256("\n".join(sources).encode()).hexdigest()
+BANK_COLUMNS = ("case_id", "z", "h", "w", "pixels", "mask")
+
+
+def _fingerprint(slices: DataFrame, sources: list[str]) -> str:
+    """A digest of the source list and of all slices, in any order of rows."""
+    row = [F.xxhash64(*BANK_COLUMNS, F.lit(seed)) for seed in (1, 2)]
+    marks = slices.agg(F.count(F.lit(1)), *[F.bit_xor(h) for h in row]).first()
+    return hashlib.sha256("\n".join([*sources, *map(str, marks)]).encode()).hexdigest()
 
 
 def build_slice_bank(slices: DataFrame, path: str, sources: list[str], size: int = 256,
                      force: bool = False) -> bool:
     """Write all slices at ``size x size`` with ``has_lesion``; true when it (re)built.
 
-    A finished bank of the same size and source list is kept unless ``force``.  The index goes
-    before a rebuild and is written after the slices, so a broken build is never taken for a finished one.
+    A finished bank of the same size, source list and slices is kept unless ``force``; that the slices are the same is seen
+    from a digest of them, which costs one scan.  The index goes before a rebuild and is written after the slices, so a broken
+    build is never taken for a finished one.
     """
     spark = slices.sparkSession
     index = f"{path}/{BANK_INDEX}"
-    want = (size, _fingerprint(sources))
+    want = (size, _fingerprint(slices, sources))
     if not force and path_exists(spark, f"{index}/_SUCCESS"):
         have = spark.read.json(index).first()
-        if (have["image_size"], have["sources_sha256"]) == want:
+        if (have["image_size"], have["slices_sha256"] if "slices_sha256" in have else None) == want:
             return False
-    s = resize(slices.select("case_id", "z", "h", "w", "pixels", "mask",
-                             A.any_positive("mask").alias("has_lesion")), size)
+    s = resize(slices.select(*BANK_COLUMNS, A.any_positive("mask").alias("has_lesion")), size)
     s = s.withColumns({"pixels": F.col("pixels").cast("array<float>"), "mask": F.col("mask").cast("array<tinyint>")})
     remove_path(spark, index)
     s.write.mode("overwrite").parquet(f"{path}/slices")
-    row = {"image_size": size, "sources_sha256": want[1], "n_sources": len(sources)}
+    row = {"image_size": size, "slices_sha256": want[1], "n_sources": len(sources)}
     spark.range(1).select(*[F.lit(v).alias(k) for k, v in row.items()]).write.mode("overwrite").json(index)
     return True
 
@@ -136,13 +163,15 @@ def write_manifest(slices: DataFrame, path: str, source: str, parameters: Mappin
                    warnings: DataFrame | None = None, revision: str | None = None) -> str:
     """Describe a finished volume folder.  Call it after the data write: no manifest means no finished run.
 
-    Per-case summaries are written by the executors as one JSON line per case beside the run's
-    own line, so the driver holds the parameters only.
+    Per-case summaries come from the scan that followed the write, or from one scan of ``slices`` if the folder has none. They
+    are written by the executors as one JSON line per case beside the run's own line, so the driver holds the parameters only.
     """
     spark = slices.sparkSession
+    there = path_exists(spark, f"{path.rstrip('/')}/{CHECKS}/_SUCCESS")
+    checks = read_checks(spark, path) if there else stored(Q.case_checks(slices), "checks")
     run = {"generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "revision": revision,
            **portable({"source": source, "output_dir": path, "parameters": dict(parameters)}, root)}
-    cases = Q.summarise_volumes(slices)
+    cases = Q.summaries(checks)
     shape = F.array("depth", "h", "w").alias("shape")
     line = F.to_json(F.struct(F.lit("case").alias("kind"), "case_id", shape, "lesion_voxels", "lesion_slices",
                               "lesion_slice_fraction"))
