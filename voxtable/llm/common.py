@@ -43,29 +43,12 @@ def parts_for(df_rows: int, rows_per_part: int, least: int = 1) -> int:
     return max(least, -(-int(df_rows) // rows_per_part))
 
 
-def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
-    """``(offsets, words)``: the words of text ``i`` are ``words[offsets[i]:offsets[i + 1]]``; null has none.
-
-    ``lower`` maps A-Z only, as ASCII lower case does.
-    """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.split_pattern_regex(texts, SPACES)
-    values = lists.flatten()
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    ends = ends - ends[0]
-    full = pc.not_equal(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(full)])
-    words = values.filter(pa.array(full))
-    # Lower case comes last: on a slice of an array, it would misplace the texts' borders.
-    return before[ends], pc.ascii_lower(words) if lower else words
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def byte_runs(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Maximal runs of the bytes marked in ``inside`` (256 flags) of every text, A-Z in lower case.
+def byte_runs(texts: pa.Array, inside: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Maximal runs of the bytes marked in ``inside`` (256 flags) of every text, A-Z in lower case if ``lower``.
 
     ``(offsets, starts, runs, data)``: the runs of text ``i`` are ``runs[offsets[i]:offsets[i + 1]]``, as binary; ``starts``
     are their places in ``data``, the bytes of all texts in a row. Null has none. Only single bytes decide, so borders are
@@ -75,10 +58,11 @@ def byte_runs(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
     ends = ends - ends[0]
-    return runs_of(data, ends, inside[data])
+    return runs_of(data, ends, inside[data], lower)
 
 
-def runs_of(data: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+def runs_of(data: np.ndarray, ends: np.ndarray, keep: np.ndarray,
+            lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """:func:`byte_runs` of texts that end at ``ends`` in ``data``, by a flag for every byte."""
     border = np.zeros(len(data) + 1, bool)
     border[ends] = True
@@ -88,11 +72,24 @@ def runs_of(data: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.nd
     starts = np.flatnonzero(first)
     sizes = np.flatnonzero(last) + 1 - starts
     cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts),
-                                            [None, pa.py_buffer(cuts), pa.py_buffer(_LOWER[data[keep]])])
+    kept = _LOWER[data[keep]] if lower else data[keep]
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(kept)])
     return np.searchsorted(starts, ends), starts, runs, data
 
 
+_WORDS = np.ones(256, bool)
+_WORDS[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
+    """``(offsets, words)``: the words of text ``i`` are ``words[offsets[i]:offsets[i + 1]]``; null has none.
+
+    ``lower`` maps A-Z only, as ASCII lower case does.
+    """
+    offsets, _, words, _ = byte_runs(texts, _WORDS, lower)
+    return offsets, words.view(pa.large_string())
+
+
 def list_numpy(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     """``(offsets, flat values)`` of a list column without nulls inside."""
     offsets = column.offsets.to_numpy().astype(np.int64)

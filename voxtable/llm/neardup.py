@@ -4,80 +4,44 @@ A document's set is its distinct word shingles. Every register holds an exponent
 ``floor(1 - log_b(least exponential))``: registers of two sets merge by maximum, and two registers agree the likelier
 the more alike the sets are. Runs of registers are the bands.
 
-* Equal sets are one *class*, named by 64 bits of the set's digest; only classes go on, and names lead back to the
-  least ``doc_id`` at the end.
-* In every band bucket, members are compared with the least member. The likelihood of (larger, smaller, equal) register
-  counts given both set sizes is maximised jointly over the similarity; pairs for which the threshold is hopeless go.
-  Each class first verifies its likeliest pair on full sets.
-* Confirmed links give first components. Buckets that still hold several components compare the registers of their
-  members, in blocks, and name the pairs of components that may be alike. Those compare full sets, in blocks of members,
-  and only confirmed pairs leave a task. So no link between bucket mates is lost and no bucket or component is gathered.
+* Equal sets (by a digest of 128 bits) are one *class*; only classes go on, and a number of their own names them.
+* Members of a band bucket are compared as :mod:`rounds` says: pairs of small buckets and of centres, then blocks. Each pair
+  is judged by the likelihood of its (larger, smaller, equal) register counts given both set sizes, maximised jointly over
+  the similarity; pairs for which the threshold is hopeless go, all others are confirmed on full sets.
 
 With 32 bands of 4 registers, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
 Null and empty texts have the empty set, link with nothing and are kept. Texts with fewer words than a shingle have
-their whole word sequence as one shingle. Repeated rows are equal sets. Of a component exactly one row is kept: the least
-``doc_id``, nulls last, then the least hash of the text, then one of equal rows.
+their whole word sequence as one shingle. Repeated rows are equal sets. Very long texts are sketched whole. Of a component the
+report keeps the rows whose ``doc_id`` is the component's (null ids match null), the stage exactly one row: the least
+``doc_id``, nulls last, then the least hash of the text, then one of equal rows. Only ``doc_id`` and ``text`` are read; the
+stage's own columns start with two underscores and a random word, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import bounded, release, settle, split_words, stored
-from voxtable.llm.graph import components
+from voxtable.llm.common import bounded, release, settle, stored
+from voxtable.llm.rounds import connect
+from voxtable.llm.shingles import class_sets, digests, mixed, shingle_sets
 
 BANDS, PER_BAND = 32, 4
 REGISTERS = BANDS * PER_BAND
 BASE, RATE, TOP = 1.001, 20.0, 65534          # spacing, rate and range of the register values
 DOUBT = 16.0                                   # log likelihood by which the threshold must be beaten to drop a pair
-BLOCK = 512                                    # bucket members compared at once, by registers
-SET_BLOCK = 256                                # and by full sets
 _STEP = 1 << 15
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(1, 2 ** 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2 ** 63, REGISTERS, dtype=np.uint64)
 _BAND_MUL = _rng.integers(1, 2 ** 63, (BANDS, PER_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ONE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(h):
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(ends, hashes)``: sorted distinct 64-bit shingle hashes of every text, one text after the other."""
-    offsets, values = split_words(texts, lower=True)
-    coded = values.dictionary_encode()
-    known = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    hashed = known[coded.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.uint64)
-    n = np.diff(offsets)
-    row = np.repeat(np.arange(len(n), dtype=np.int64), n)
-    with np.errstate(over="ignore"):
-        shingle = np.zeros(len(hashed), np.uint64)
-        for k in range(words):                           # the k-th word from here, as far as the text reaches
-            at = np.arange(len(hashed)) + k
-            inside = at < offsets[row + 1]
-            shingle = shingle * _ONE
-            shingle[inside] += hashed[at[inside]]
-        shingle = _mix(shingle + np.minimum(n[row], words).astype(np.uint64))
-    start = np.arange(len(hashed)) - offsets[row]
-    full = (start <= n[row] - words) | (start == 0)
-    row, shingle = row[full], shingle[full]
-    order = np.lexsort((shingle, row))
-    row, shingle = row[order], shingle[order]
-    first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])
-    row, shingle = row[first], shingle[first]
-    return np.cumsum(np.bincount(row, minlength=len(n))), shingle
 
 
 def registers(ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -112,7 +76,7 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; equal keys of different bands do not meet."""
     parts = regs.reshape(len(regs), BANDS, PER_BAND).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return _mix((parts * _BAND_MUL).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
+        return mixed((parts * _BAND_MUL).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
 
 
 def _agree(x):
@@ -153,10 +117,9 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
         for b in bounded(batches, "text", 4 << 20):
             ends, hashes = shingle_sets(b.column("text"), words)
             regs = registers(ends, hashes)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            digest = [xxhash.xxh3_128_digest(hashes[a:z].tobytes()) if z > a else None for a, z in zip(starts, ends)]
+            digest = digests(ends, hashes)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(ends - starts), pa.array(digest, pa.binary()),
+                [b.column("doc_id"), b.column("text_key"), pa.array(np.diff(ends, prepend=0)), pa.array(digest, pa.binary()),
                  pa.array([r.tobytes() if d else None for r, d in zip(regs, digest)], pa.binary())],
                 names=["doc_id", "text_key", "n", "digest", "regs"])
         release()
@@ -204,187 +167,41 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, estimate double")
 
 
-def _class_key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
-
-
-def _sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """``id, shingles`` of the wanted classes, read from one document (id and text hash) of each."""
-    places = ids.join(classes.select("id", "best.doc_id", "best.text_key"), "id").select(
-        F.coalesce("doc_id", F.lit(-2 ** 63)).alias("__id"), F.col("text_key").alias("__key"))
-    wanted = docs.select(F.coalesce("doc_id", F.lit(-2 ** 63)).alias("__id"), F.xxhash64("text").alias("__key"), "text")
-    wanted = wanted.join(places.hint("merge"), ["__id", "__key"], "left_semi").select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "text", 4 << 20):
-            ends, hashes = shingle_sets(b.column("text"), words)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            sets = [hashes[a:z].tobytes() for a, z in zip(starts, ends)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_class_key(xxhash.xxh3_128_digest(x)) for x in sets], pa.int64()), pa.array(sets, pa.binary())],
-                names=["id", "shingles"])
-        release()
-
-    found = wanted.mapInArrow(run, "id long, shingles binary")
-    return found.dropDuplicates(["id"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with ``100 * intersection >= percent * union`` on full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                at = np.searchsorted(x, y)
-                same = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = (pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _across(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of components with bucket mates that may be alike; mates meet in their first common band only."""
-    named = labels.select(F.col("node").alias("id"), "component")
-    tagged = stored(buckets.join(named, "id", "left").withColumn("label", F.coalesce("component", "id"))
-                    .drop("component"), "bucket-labels")
-    mixed = stored(tagged.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"),
-                                             F.max("label").alias("hi")).filter("lo < hi").select("key", "c"), "mixed")
-    rows = tagged.join(mixed, "key").join(classes.select("id", "regs"), "id")
-    rows = rows.withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # A block meets every later block of its bucket and itself: a row goes to as many pairs of blocks as there are blocks.
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part",
-                           "band", "id", "n", "label", "regs")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
-        label, n, part = (table.column(c).to_numpy() for c in ("label", "n", "part"))
-        regs = _stack(table.column("regs"))
-        order = np.argsort(n, kind="stable")
-        label, n, part, regs = label[order], n[order], part[order], regs[order]
-        found = []
-        for x in range(len(n)):
-            # Sorted by size: mates of x from here on that are not too large.
-            stop = int(np.searchsorted(n, n[x] / threshold + 1e-9, side="right"))
-            y = np.arange(x + 1, stop)
-            y = y[(label[y] != label[x]) & ((part[y] != part[x]) if i < j else True)]
-            if not len(y):
-                continue
-            same = (regs[y] == regs[x]).reshape(len(y), BANDS, PER_BAND).all(axis=2)
-            y = y[same.argmax(axis=1) == band]
-            if len(y):
-                _, ok = judge(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y], threshold)
-                y = np.unique(label[y[ok]])
-                found.append(np.stack([np.maximum(y, label[x]), np.minimum(y, label[x])], axis=1))
-        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
-
-
-def _members_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``label, id``: the classes of every component in ``pairs``."""
-    wanted = _members(pairs).withColumnRenamed("id", "label")
-    return wanted.join(labels, wanted["label"] == labels["component"], "left").select(
-        "label", F.coalesce("node", "label").alias("id"))
-
-
-def _linked(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of components ``a, b`` with a confirmed link between any of their members.
-
-    The larger component of a pair is the hub. Members of hubs and of their satellites are cut in blocks; a task holds
-    one block of each and compares full sets, so only confirmed pairs leave it.
-    """
-    sizes = stored(members.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "sizes")
-    sided = (pairs.join(sizes.select(F.col("label").alias("a"), F.col("m").alias("ma")), "a")
-             .join(sizes.select(F.col("label").alias("b"), F.col("m").alias("mb")), "b"))
-    first = F.col("ma") > F.col("mb")
-    sided = stored(sided.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"),
-                                F.when(first, F.col("b")).otherwise(F.col("a")).alias("sat"),
-                                F.greatest("ma", "mb").alias("hubs"), F.least("ma", "mb").alias("sats")), "sided")
-    parts = [F.ceil(F.first("hubs") / SET_BLOCK).cast("int").alias("h"), F.ceil(F.sum("sats") / SET_BLOCK).cast("int").alias("s")]
-    grid = stored(sided.groupBy("hub").agg(*parts), "grid")
-
-    def cut(rows, own, other, kind):
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return rows.select("hub", "h", "s", "label", "id", F.lit(kind).alias("kind"))
-
-    hubs = grid.join(members, grid["hub"] == members["label"])
-    sats = sided.select("hub", "sat").join(grid, "hub").join(members, F.col("sat") == members["label"])
-    rows = stored(cut(hubs, "h", "s", 0).unionByName(cut(sats, "s", "h", 1)), "linked-rows")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        kind, label, hub = (table.column(c).to_numpy() for c in ("kind", "label", "hub"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        held, asked = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        good = set()
-        if len(held) and len(asked):
-            n = np.array([len(sets[i]) for i in held])
-            known, place = np.unique(np.concatenate([sets[i] for i in held]), return_inverse=True)
-            cuts = np.cumsum(n) - n
-            flag = np.zeros(len(known), np.int64)
-            for i in asked:
-                if label[i] in good:
-                    continue
-                at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
-                at = at[known[at] == sets[i]]
-                flag[at] = 1
-                both = np.add.reduceat(flag[place], cuts)
-                flag[at] = 0
-                if (100 * both >= percent * (n + len(sets[i]) - both)).any():
-                    good.add(label[i])
-        good = np.array(sorted(good), np.int64)
-        return pa.table({"a": pa.array(good), "b": pa.array(np.full(len(good), hub[0], np.int64))})
-
-    return (rows.join(sets, "id").groupBy("hub", "h", "s").applyInArrow(run, "a long, b long")).distinct()
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id long, text)``."""
     return _grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """:func:`near_duplicates` with ``text_key``, and ``equal``: whether the row equals its component's kept one."""
+    """:func:`near_duplicates` with ``text_key``, ``one``: whether the row is its component's kept one, and ``equal`` to it."""
     threshold = percent / 100
+    docs = docs.select("doc_id", "text")
     sketched = stored(sketch(docs, words), "sketches")
     regs = F.first("regs").alias("regs")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "row")).alias("best")
-    key = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     classes = stored(sketched.filter("digest is not null").groupBy("digest").agg(best, F.first("n").alias("n"), regs)
-                     .withColumn("id", key), "classes")
+                     .withColumn("id", F.monotonically_increasing_id()), "classes")
     buckets = stored(_banded(classes), "buckets")
-    centres = stored(buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.count(F.lit(1)).alias("c"))
-                     .filter("c > 1").select("key", F.col("m.id").alias("b"), F.col("m.n").alias("nb")), "centres")
-    shared = stored(buckets.join(centres.select("key"), "key", "left_semi"), "shared")
-    close = (F.least("n", "nb") >= threshold * F.greatest("n", "nb") - 1e-9) & (F.col("id") > F.col("b"))
-    pairs = stored(shared.join(centres, "key").filter(close).select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    likely = stored(_likely(pairs, classes, threshold), "likely")
-    first = stored(likely.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "first")
-    spark = docs.sparkSession
-    settle(spark)
-    # As many ids as there are documents with near copies: the same sort-merge join at every size.
-    sets = stored(_sets(docs, _members(likely), classes, words), "sets")
-    settle(spark)
-    links = stored(_confirmed(first, sets, percent), "links")
-    labels = stored(components(links), "labels")
-    settle(spark)
-    across = stored(_across(shared, classes, labels, threshold), "across")
-    members = stored(_members_of(across, labels), "members")
-    missing = stored(members.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "missing")
-    sets = sets.unionByName(stored(_sets(docs, missing, classes, words), "sets"))
-    settle(spark)
-    links = stored(links.unionByName(_linked(across, members, sets, percent)), "links")
-    labels = stored(components(links), "labels")
+    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = stored(buckets.join(several, "key"), "shared")
+
+    def fits(table: pa.Table):
+        regs, n, band = _stack(table.column("regs")), table.column("n").to_numpy(), table.column("band")[0].as_py()
+
+        def test(x, y):
+            # Mates meet in their first common band only.
+            same = (regs[y] == regs[x]).reshape(len(y), BANDS, PER_BAND).all(axis=2)
+            ok = same.argmax(axis=1) == band
+            ok[ok] = judge(np.broadcast_to(regs[x], (ok.sum(), REGISTERS)), regs[y[ok]], np.full(ok.sum(), n[x]), n[y[ok]],
+                           threshold)[1]
+            return ok
+
+        return test
+
+    labels = connect(shared, percent, lambda x, y: F.lit(True), lambda pairs: _likely(pairs, classes, threshold),
+                     lambda ids: class_sets(docs, ids, classes, words),
+                     lambda rows: rows.join(classes.select("id", "regs"), "id"), fits)
+    settle(docs.sparkSession)
     named = classes.join(labels, classes["id"] == labels["node"], "left").select(
         "digest", "best", F.coalesce("component", "id").alias("component"))
     named = stored(named, "components")
@@ -393,32 +210,30 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     out = sketched.select("doc_id", "text_key", "n", "digest", "row").join(
         component.withColumnRenamed("kept", "k"), "digest", "left")
     alone = F.col("digest").isNull()
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"),
-                      F.when(alone, F.col("doc_id")).otherwise(F.col("k.doc_id")).alias("component_id"),
-                      (alone | (F.col("row") == F.col("k.row"))).alias("kept"),
+    out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("k.doc_id")))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id",
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                      (alone | (F.col("row") == F.col("k.row"))).alias("one"),
                       (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key"))).alias("equal"))
 
 
-def _members(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates: that with the least ``doc_id``; columns as given.
 
     A row goes by its ``doc_id`` and its text, so other texts under the same id, or under a null one, stay. Of rows that
     repeat both one stays.
     """
-    report = _grouped(docs, words, percent).filter("not kept")
-    report = stored(report.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "equal").distinct(),
-                    "dropped")
+    own_id, own_key = (f"__neardup_{uuid.uuid4().hex[:8]}_{k}" for k in ("id", "key"))
+    report = _grouped(docs, words, percent).filter("not one")
+    report = stored(report.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), "equal").distinct(),
+                    "dropped").withColumnRenamed("equal", f"{own_id}_equal")
 
     def rows(found, how):
-        same = docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__key"])
+        same = docs["doc_id"].eqNullSafe(found[own_id]) & (F.xxhash64(docs["text"]) == found[own_key])
         return docs.join(found, same, how)
 
-    again = rows(report.filter("equal"), "left_semi").withColumn("__key", F.xxhash64("text"))
-    return rows(report, "left_anti").unionByName(again.dropDuplicates(["doc_id", "__key"]).drop("__key"))
+    again = rows(report.filter(F.col(f"{own_id}_equal")), "left_semi").withColumn(own_key, F.xxhash64("text"))
+    return rows(report, "left_anti").unionByName(again.dropDuplicates(["doc_id", own_key]).drop(own_key))
 
 
 # Pairs by shared shingles, one text per set, then reachability; for small tables.

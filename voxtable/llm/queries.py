@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import hmm, langid, media, mixing, neardup, packing, phrases, quality, repeats, spelling, tokens, vectors
+from voxtable.llm import hmm, jaccard, langid, media, mixing, neardup, packing, phrases, quality, repeats, spelling, tokens, vectors
 from voxtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op11(spark, sf_dir):
 @query("op12_spelling")
 def op12(spark, sf_dir):
     return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents", "doc_id", "text"), slip=97))
+
+
+@query("op13_jaccard_join", jaccard.JOIN_SQL)
+def op13(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), words=5, percent=80)
