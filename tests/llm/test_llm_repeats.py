@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -119,3 +120,32 @@ def test_stage_cuts_whole_characters(spark):
     out = by_id(repeats.drop_repeats(docs))
     assert [r["text"] for r in out] == ["ß start  end", "xyé", None, "short"]
     assert repeats.drop_repeats(docs).columns == docs.columns
+
+
+def test_texts_with_one_checksum_are_told_apart(spark):
+    found, pair = {}, None
+    for i in range(400_000):                              # equal checksums stay equal under a common end
+        t = f"{i * 7919 % 1_000_003} " + "q" * (i % 41)
+        other = found.setdefault(zlib.crc32(t.encode()), t)
+        if len(other) != len(t):
+            pair = [t, other]
+            break
+    assert pair
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefg ") for _ in range(260))
+    texts = [t + shared for t in pair]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted(tuple(r)[1:] for r in repeats.repeat_report(docs).collect())
+    assert got == sorted(brute(texts, 200))
+
+
+def test_copies_of_a_text_have_one_list_of_spans(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefg ") for _ in range(300)) for _ in range(3)]
+    rows = [(None, texts[0])] * 60 + [(5, texts[0])] + [(i, texts[1] + texts[2][:250]) for i in (5, 5)] + [(9, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = repeats.repeated_spans(docs)
+    assert spans.count() == 3
+    assert spans.selectExpr("max(size(spans))").first()[0] <= 300
+    got = sorted(tuple(r)[1:] for r in repeats.repeat_report(docs).collect())
+    assert got == sorted(brute([t for _, t in rows], 200))

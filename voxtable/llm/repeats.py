@@ -13,13 +13,15 @@ The collection is cut down, without losing a repeat, to what a task can build:
    neighbouring suffix shares that many. A core with very many different strings needs no neighbours: its windows are
    counted one by one, so no bucket grows without bound.
 
-Null texts are empty. Texts shorter than ``length`` have no repeat. Matches never cross documents; rows that repeat both
-``doc_id`` and text repeat each other. Very long texts are hashed in blocks.
+Null texts are empty. Texts shorter than ``length`` have no repeat. Matches never cross documents; rows of one text repeat each
+other, whatever their ids, which are not used. Very long texts are hashed in blocks. Added columns start with two underscores and a
+random word, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,11 +74,16 @@ def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return h[place[first]], place[first], first, np.concatenate([cuts - 1, [len(place) - 1]])
 
 
+def text_key(text: Column) -> list[Column]:
+    """128 bits of a text: two hashes with seeds of their own. Rows of one text have the same spans, whatever their ids."""
+    return [F.xxhash64(F.lit(seed), text) for seed in (1, 2)]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``k1, k2, text``: what tells the rows apart in the joins below."""
+    """``k1, k2, text``: the texts and what tells them apart in the joins below."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63)).alias("k1"),
-                       F.crc32(text).alias("k2"), text.alias("text"))
+    one, two = text_key(text)
+    return docs.select(one.alias("k1"), two.alias("k2"), text.alias("text"))
 
 
 def _fragments(rows: DataFrame, length: int) -> DataFrame:
@@ -199,7 +206,7 @@ def _partial(rows: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``k1, k2, spans`` of the rows of ``keyed(docs)`` with repeats: runs of repeated starts as ``[first, last]``.
 
-    Runs are neither sorted nor merged; at most one list per row, bounded by its text.
+    Runs are neither sorted nor merged; one list per distinct text, bounded by it however often it occurs.
     """
     spark = docs.sparkSession
     rows = keyed(docs)
@@ -215,7 +222,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     alone = distinct.filter("n = 1").select("anchor", "digest").join(parts, ["anchor", "digest"])
     known = stored(known.unionByName(alone), "known")
     place, low, high = (F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF), F.col("at").bitwiseAND(0xFFFF))
-    found = hits.join(known, ["anchor", "digest"]).select(
+    places = hits.dropDuplicates(["k1", "k2", "at"])          # copies of a text have the same places
+    found = places.join(known, ["anchor", "digest"]).select(
         "k1", "k2", F.struct(place.alias("place"), (place - low).alias("first"), (place - high).alias("last"),
                              "parts").alias("f"))
     return stored(found.groupBy("k1", "k2").agg(F.collect_list("f").alias("spans")), "spans")
@@ -238,14 +246,14 @@ def covered(size: int, spans, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """Every row with its keys and spans (null without repeats)."""
+def _with_spans(docs: DataFrame, length: int, name: str) -> DataFrame:
+    """Every row with its spans (null without repeats) in the column ``name``."""
     spans = repeated_spans(docs, length)
     settle(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63))).withColumn("__k2", F.crc32(text))
-    named = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
-    return rows.join(named, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    one, two = text_key(F.coalesce("text", F.lit("")))
+    rows = docs.withColumns({f"{name}_1": one, f"{name}_2": two})
+    named = spans.select(F.col("k1").alias(f"{name}_1"), F.col("k2").alias(f"{name}_2"), F.col("spans").alias(name))
+    return rows.join(named, [f"{name}_1", f"{name}_2"], "left").drop(f"{name}_1", f"{name}_2")
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -264,11 +272,11 @@ def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c) for c in zip(*rows)]],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "__spans").mapInArrow(
+    return _with_spans(docs.select("doc_id", "text"), length, "__spans").select("doc_id", "text", "__spans").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _kept_text(length: int) -> Column:
+def _kept_text(length: int, spans: str) -> Column:
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -284,10 +292,11 @@ def _kept_text(length: int) -> Column:
             out.append(raw[keep].tobytes().decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    return cut(F.col("text"), F.col("__spans"))
+    return cut(F.col("text"), F.col(spans))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents without the repeated bytes, cut at whole characters; columns and rows as given."""
-    rows = _with_spans(docs, length)
-    return rows.withColumn("text", _kept_text(length)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = f"__spans_{uuid.uuid4().hex[:8]}"
+    rows = _with_spans(docs, length, name)
+    return rows.withColumn("text", _kept_text(length, name)).select(*[F.col(f"`{c}`") for c in docs.columns])
