@@ -128,6 +128,9 @@ def test_long_training_documents_stay_whole(spark, monkeypatch):
     codes = rng.integers(0, 5, sizes.sum()).astype(np.int32)
     whole = model.expected(codes, np.cumsum(sizes) - sizes, sizes)
     monkeypatch.setattr(hmm, "CUT", 16)
+    monkeypatch.setattr(hmm, "VECTOR_BYTES", 0)
+    monkeypatch.setattr(hmm, "LONG", 20)
+    monkeypatch.setattr(hmm, "LONG_TOKENS", 60)
     for a, b in zip(whole, model.expected(codes, np.cumsum(sizes) - sizes, sizes)):
         assert np.allclose(a, b, rtol=1e-5)
     assert whole[1].sum() == pytest.approx(len(sizes), rel=1e-5)
@@ -138,3 +141,22 @@ def test_long_training_documents_stay_whole(spark, monkeypatch):
     want = hmm.Hmm.from_counts(*whole[1:], np.full(5, 0.1))
     assert logs == pytest.approx(whole[0], rel=1e-5)
     assert np.allclose(made.start, want.start, atol=1e-5) and np.allclose(made.move, want.move, atol=1e-5)
+
+
+def test_long_documents_of_several_chunks_are_scored_together(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").repartition(2)
+    want = {r["doc_id"]: r for r in hmm.score(docs).collect()}
+    for name, value in (("LONG", 40), ("LONG_TOKENS", 2000), ("VECTOR_BYTES", 1 << 14), ("CUT", 128), ("CHUNK_BYTES", 1 << 14)):
+        monkeypatch.setattr(hmm, name, value)
+    got = {r["doc_id"]: r for r in hmm.score(docs).collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(want[i]["score"], rel=1e-3) and r["n_tokens"] == want[i]["n_tokens"]
+
+
+def test_head_is_all_words_of_the_counts_that_fit(spark, monkeypatch):
+    counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 5), ("e", 1)], "word string, c long")
+    for head, names in ((1, ["a"]), (3, ["a"]), (4, ["a", "b", "c", "d"]), (99, ["a", "b", "c", "d", "e"]), (0, [])):
+        monkeypatch.setattr(hmm, "HEAD", head)
+        vocab = hmm.vocabulary(counts, 2)
+        assert list(vocab.head) == names and vocab.n == 27 and vocab.distinct == 6

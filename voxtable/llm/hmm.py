@@ -8,9 +8,9 @@ over an unbounded vocabulary.
 
 Baum-Welch: each task runs scaled forward and backward recursions over the training documents of its chunks in step,
 expected counts are summed by class in a shuffle, and the driver normalises the bounded tables. The score is the scaled
-forward recursion's exact log10 likelihood plus the class-to-word terms. Documents stay whole in training, too: of a
-long one, only the scaled forward vector at every ``CUT``-th token is kept, and the steps of a block are computed again
-on the way back.
+forward recursion's exact log10 likelihood plus the class-to-word terms. Documents stay whole in training, too; where their
+forward vectors are more than a task keeps, only that at every ``CUT``-th token is, and the steps of a block are
+computed again on the way back. Long documents wait for those of the next chunks, so that a step serves many of them.
 
 Null and empty texts are one end token. Repeated rows are scored and learned from one by one. Without training rows
 every table is the smoothed uniform one.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.llm.common import bounded, hash_rest, list_numpy, release, split_words, stored
@@ -33,6 +33,8 @@ STATES, ROUNDS = 8, 3
 HEAD, TAIL = 28_000, 4_096
 CHUNK_BYTES = 5 << 20
 CUT = 1 << 11
+VECTOR_BYTES = 64 << 20         # forward vectors that a task keeps; of more, every ``CUT``-th and the rest again
+LONG, LONG_TOKENS = 1 << 11, 1 << 19    # longer documents of several chunks are taken together, about so many tokens
 SMOOTH, SHARED = 0.1, 0.02      # added to every count; weight of the class prior in every state
 _STICKY = 0.9
 
@@ -76,9 +78,15 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
-    """From the stored word counts: a bounded top list and one row per tail class reach the driver."""
-    top = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-    head = {r["word"]: r["c"] for r in top}
+    """From the stored word counts: the words frequent enough to be among ``HEAD``, and one row per tail class.
+
+    The least count of such a word comes from the counts of counts, so no more than those words reach the driver.
+    """
+    levels = counts.groupBy("c").agg(F.count(F.lit(1)).alias("v"))
+    above = F.sum("v").over(Window.orderBy(F.desc("c")))                # one row per distinct count
+    least = levels.withColumn("above", above).filter(F.col("above") <= HEAD).agg(F.min("c")).first()[0]
+    top = counts.filter(F.col("c") >= least).collect() if least is not None else []
+    head = dict(sorted(((r["word"], r["c"]) for r in top), key=lambda x: (-x[1], x[0])))
     kind = (F.crc32("word") % TAIL).alias("k")
     total, words = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
     for r in counts.groupBy(kind).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
@@ -191,7 +199,8 @@ class Hmm:
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
         move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)
-        blocks = _stretches(sizes[:1])
+        small = sizes.sum() * len(self.start) * move.itemsize <= VECTOR_BYTES
+        blocks = sizes[:1] if small else _stretches(sizes[:1])
         logs, unused = np.zeros(len(sizes)), np.zeros(len(sizes))
         entering, alpha, first = [], None, 0
         for size in blocks[:-1]:
@@ -236,12 +245,42 @@ def _stretches(sizes: np.ndarray) -> np.ndarray:
     return np.array([min(CUT, n - a) for n in sizes for a in range(0, n, CUT)], np.int64)
 
 
-def _chunks(batches):
+def _groups(batches, learn: bool):
+    """``(codes, starts, sizes, about)``: sequences to take in step, with a row about each.
+
+    Those of a chunk up to ``LONG`` tokens make a group, longer ones of several chunks another. ``learn`` leaves training
+    documents only.
+    """
+    held, tokens = [], 0
+
+    def together():
+        sizes = np.array([len(c) for c, _ in held], np.int64)
+        about = pa.Table.from_batches([a for _, a in held]).combine_chunks().to_batches()[0]
+        return np.concatenate([c for c, _ in held]), np.cumsum(sizes) - sizes, sizes, about
+
     for b in batches:
         for i in range(b.num_rows):
             row = b.slice(i, 1)
-            yield row, np.frombuffer(row.column("codes")[0].as_buffer(), np.uint16), list_numpy(
-                row.column("sizes"), np.int64)[1]
+            codes = np.frombuffer(row.column("codes")[0].as_buffer(), np.uint16).astype(np.int32)
+            sizes = list_numpy(row.column("sizes"), np.int64)[1]
+            train = np.array(row.column("train")[0].as_py(), bool)
+            about = pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(sizes), row.column("chunk")[0].as_py())), pa.array(np.arange(len(sizes), dtype=np.int32)),
+                 *(row.column(c).flatten() for c in ("doc_ids", "train", "base") if c in b.schema.names)],
+                names=["chunk", "row", *(c for c in ("doc_ids", "train", "base") if c in b.schema.names)])
+            starts = np.cumsum(sizes) - sizes
+            wanted = train if learn else np.ones(len(sizes), bool)
+            short = np.flatnonzero(wanted & (sizes <= LONG))
+            if len(short):
+                yield codes, starts[short], sizes[short], about.take(pa.array(short))
+            for j in np.flatnonzero(wanted & (sizes > LONG)):
+                held.append((codes[starts[j]:starts[j] + sizes[j]].copy(), about.slice(j, 1)))
+                tokens += sizes[j]
+                if tokens >= LONG_TOKENS:
+                    yield together()
+                    held, tokens = [], 0
+    if held:
+        yield together()
 
 
 def baum_welch(encoded: DataFrame, model: Hmm, smooth: np.ndarray) -> tuple[Hmm, float]:
@@ -253,21 +292,18 @@ def baum_welch(encoded: DataFrame, model: Hmm, smooth: np.ndarray) -> tuple[Hmm,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((classes + k + 2, k))
-        for row, codes, sizes in _chunks(batches):
-            train = np.array(row.column("train")[0].as_py(), bool)
-            codes, sizes = codes[np.repeat(train, sizes)].astype(np.int32), sizes[train]
-            if len(sizes):
-                logs, start, move, emit = shared.value.expected(codes, np.cumsum(sizes) - sizes, sizes)
-                total[:classes] += emit.T
-                total[classes] += start
-                total[classes + 1:classes + 1 + k] += move
-                total[-1, 0] += logs
+        for codes, starts, sizes, _ in _groups(batches, learn=True):
+            logs, start, move, emit = shared.value.expected(codes, starts, sizes)
+            total[:classes] += emit.T
+            total[classes] += start
+            total[classes + 1:classes + 1 + k] += move
+            total[-1, 0] += logs
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, i]) for i in range(k)]],
                                          names=["class", *names])
         release()
 
-    sums = (encoded.select("train", "sizes", "codes")
+    sums = (encoded.select("chunk", "train", "sizes", "codes")
             .mapInArrow(run, "class int, " + ", ".join(f"{n} double" for n in names))
             .groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toPandas())
     total = np.zeros((classes + k + 2, k))
@@ -282,13 +318,11 @@ def _forward_scores(encoded: DataFrame, model: Hmm) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, codes, sizes in _chunks(batches):
-            logs = shared.value.forward(codes.astype(np.int32), np.cumsum(sizes) - sizes, sizes)
-            n = len(sizes)
+        for codes, starts, sizes, about in _groups(batches, learn=False):
+            logs = shared.value.forward(codes, starts, sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, row.column("chunk")[0].as_py())), pa.array(np.arange(n, dtype=np.int32)),
-                 row.column("doc_ids").flatten(), row.column("train").flatten(), pa.array(sizes),
-                 row.column("base").flatten(), pa.array(logs / np.log(10))],
+                [*(about.column(c) for c in ("chunk", "row", "doc_ids", "train")), pa.array(sizes), about.column("base"),
+                 pa.array(logs / np.log(10))],
                 names=["chunk", "row", "doc_id", "train", "n_tokens", "base", "log10p"])
         release()
 
