@@ -62,3 +62,15 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.mix_report(spark.createDataFrame([], DOCS)).count() == 0
     rows = mixing.mix_report(docs_table(spark, [None, "", " "])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in rows] == [(0, 0.0, 0)] * 3
+
+
+def test_rows_without_an_id_of_their_own_draw_alone(spark):
+    rows = [(None if i % 2 else 10_000 + i, "w " * 4, "s") for i in range(6000)] + [(7, "w " * (3 + i % 2), "s") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    a, b = mixing.mix_report(docs).collect(), mixing.mix_report(docs.repartition(3)).collect()
+    for got in (a, b):
+        assert abs(sum(r["taken"] for r in got) - got[0]["target"]) < 0.02 * got[0]["target"]
+    same = [sorted((r["doc_id"] or 0, r["size"], r["copies"]) for r in x) for x in (a, b)]
+    assert same[0] == same[1] and len(a) == 8000
+    taken = sum(r["n"] for r in mixing.mix(docs).groupBy("text").count().selectExpr("count * size(split(trim(text), ' ')) as n").collect())
+    assert taken == sum(r["taken"] for r in a)

@@ -3,30 +3,53 @@
 Tokens are aggregated per source; each source gets a target by weight, held at ``limit`` times its size, the excess
 going to the others by weight. ``rate = target / size``; a document is emitted ``floor(rate)`` times, and once more if
 its hash-seeded draw is below the fraction. The draw depends on seed and ``doc_id`` only, so reruns and lost executors
-change nothing.
+change nothing; rows without an id of their own draw by their text and a running number.
 
-Null sources form one source, last in order. Null texts have size 0 and are emitted like any other row. Rows that
-repeat a ``doc_id`` share its draw. An empty table gives an empty result. Columns that clash with the added ones keep
-the added meaning; other extra columns pass through ``mix``.
+Null sources form one source, last in order. Null and empty texts have size 0 and are emitted like any other row. Very long
+texts are counted whole. An empty table gives an empty result. Added columns of ``mix`` start with two underscores and a random
+word, so other columns may have any name and pass through.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.llm.common import count_words, stored
+from voxtable.operators.ordered import row_index
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT, SEED = 1.5, 2.0, "mix-1"
 
 
-def draw(key: str, seed: str = SEED) -> Column:
+def draw(key: str | Column, seed: str = SEED) -> Column:
     """A number in [0, 1) from the first 52 bits of md5(seed|key)."""
-    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    key = F.col(key) if isinstance(key, str) else key
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(16 ** 13))
 
 
+def with_seed(rows: DataFrame, digest: Column, out: str = "seed") -> DataFrame:
+    """Rows with the text that seeds their draw: the id, if only one row has it.
+
+    Rows without an id of their own add a digest of their text and, among rows equal in both, a running number. Equal rows
+    may swap numbers on a rerun, which changes nothing but their order. Numbers are given by runs of rows, so a text that a third
+    of all rows repeat is no window of its own.
+    """
+    mark = f"__{out}_{uuid.uuid4().hex[:8]}"
+    ids, group, row = f"{mark}_id", f"{mark}_group", f"{mark}_row"
+    several = rows.groupBy(F.col("doc_id").alias(ids)).agg(F.count(F.lit(1)).alias(mark)).filter(
+        F.col(ids).isNull() | (F.col(mark) > 1)).select(ids)
+    same = rows["doc_id"].eqNullSafe(several[ids])
+    own = rows.join(several, same, "left_anti").withColumn(out, F.col("doc_id").cast("string"))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), digest)
+    loose = rows.join(several, same, "left_semi").withColumns({group: key, row: F.monotonically_increasing_id()})
+    loose = row_index(loose, [group], row, out=mark).withColumn(out, F.concat(F.col(group), F.lit("|"), F.col(mark)))
+    return own.unionByName(loose.drop(group, row, mark))
+
+
 def source_targets(sizes: DataFrame, share: float = SHARE, limit: float = LIMIT,
                    weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per source of ``sizes(source, size)``: ``source, source_size, target, rate``.
@@ -54,12 +77,17 @@ def source_targets(sizes: DataFrame, share: float = SHARE, limit: float = LIMIT,
                       .alias("rate"))
 
 
-def _copies(rate: Column) -> Column:
-    return (F.floor(rate) + (draw("doc_id") < rate - F.floor(rate)).cast("long")).cast("long")
+def _copies(rate: Column, seed: str) -> Column:
+    return (F.floor(rate) + (draw(seed) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return stored(docs.select("doc_id", "source", count_words("text").alias("size")), "mix-sizes")
+    return stored(docs.select("doc_id", "source", count_words("text").alias("size"),
+                              _digest().alias("digest")), "mix-sizes")
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -71,7 +99,7 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
     """Per document: ``doc_id, source, size, source_size, target, copies, taken``."""
     sizes = _sizes(docs)
     rates = stored(source_targets(sizes, **how), "mix-rates")
-    got = _with_rates(sizes, rates).withColumn("copies", _copies(F.col("rate")))
+    got = _with_rates(with_seed(sizes, F.col("digest")), rates).withColumn("copies", _copies(F.col("rate"), "seed"))
     return got.select("doc_id", "source", "size", "source_size", "target", "copies",
                       (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -79,10 +107,13 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; columns as given."""
     rates = stored(source_targets(_sizes(docs), **how).select("source", "rate"), "mix-rates")
-    named = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    rows = docs.join(named, docs["source"].eqNullSafe(named["__source"]))
-    rows = rows.withColumn("__copies", _copies(F.col("__rate"))).filter("__copies > 0")
-    return (rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    word = f"__mix_{uuid.uuid4().hex[:8]}"
+    source, rate, copies, seed = (f"{word}_{k}" for k in ("source", "rate", "copies", "seed"))
+    named = rates.select(F.col("source").alias(source), F.col("rate").alias(rate))
+    rows = with_seed(docs, _digest(), seed)
+    rows = rows.join(named, rows["source"].eqNullSafe(named[source]))
+    rows = rows.withColumn(copies, _copies(F.col(rate), seed)).filter(F.col(copies) > 0)
+    return (rows.withColumn(word, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
