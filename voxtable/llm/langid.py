@@ -230,9 +230,9 @@ def _training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
     fold = F.pmod(F.xxhash64(F.lit("langid-limit"), "doc_id", "text"), F.lit(HOLD)) == 0
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.count_if(fold).alias("_f"))
     held = (F.col("_f") >= LEAST) & (2 * F.col("_f") <= F.col("_n"))
-    share = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    share = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rest = F.col("_n") - F.when(held, F.col("_f")).otherwise(0)
-    return docs.join(F.broadcast(counts.limit(10_000)), "lang").withColumn(
+    return docs.join(counts, "lang").withColumn(
         "learn", ~(held & fold) & (share * rest < train_rows))
 
 
@@ -289,7 +289,7 @@ def calibrated(model: Model, labelled: DataFrame) -> Model:
     middles = seen.groupBy("lang").agg(F.percentile_approx("ce", 0.5).alias("middle"), F.count(F.lit(1)).alias("all"),
                                        F.percentile_approx("kind", 0.5).alias("usual"))
     over = F.percentile_approx((F.col("ce") - F.col("middle")) * F.sqrt("n"), HIGH).alias("spread")
-    marked = seen.join(F.broadcast(middles.filter(F.col("all") >= LEAST)), "lang")
+    marked = seen.join(middles.filter(F.col("all") >= LEAST), "lang")
     middle = np.full(len(model.langs), np.nan)
     spread = np.full((len(model.langs), CLASSES), np.nan)
     most = np.full((len(model.langs), CLASSES), np.inf)
