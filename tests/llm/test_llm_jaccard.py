@@ -34,11 +34,11 @@ def near_copies(rng, base, count, most, start):
     return rows
 
 
-@pytest.mark.parametrize("small, block, share", [(8, 512, 10), (2, 6, 1), (2, 6, 10 ** 9)])
-def test_chains_groups_and_thresholds(spark, monkeypatch, small, block, share):
+@pytest.mark.parametrize("small, block, shrink", [(8, 512, 2), (2, 6, 1), (2, 6, 10 ** 9)])
+def test_chains_groups_and_thresholds(spark, monkeypatch, small, block, shrink):
     monkeypatch.setattr(rounds, "SMALL", small)
     monkeypatch.setattr(rounds, "BLOCK", block)
-    monkeypatch.setattr(rounds, "SHARE", share)
+    monkeypatch.setattr(rounds, "SHRINK", shrink)
     monkeypatch.setattr(jaccard, "COUNTERS", 8)                # few counters: another order, the same result
     monkeypatch.setattr(jaccard, "RANGE_SHINGLES", 100)
     rng = random.Random(4)
@@ -51,7 +51,7 @@ def test_chains_groups_and_thresholds(spark, monkeypatch, small, block, share):
     rows += near_copies(rng, base[::-1], 50, 8, 1000)
     rows += [(2000 + i, " ".join(base[:k])) for i, k in enumerate(range(40, 60))]
     rows += [(5000 + i, t) for i, t in enumerate(AWKWARD * 2)] + [(1, "A b"), (2, "a B"), (3, "a"), (4, "a b c")]
-    check(spark, rows, *((1, 75) if share == 10 else (2, 80)))
+    check(spark, rows, *((1, 75) if shrink == 2 else (2, 80)))
 
 
 def test_no_link_is_lost_between_members_of_one_group(spark, monkeypatch):

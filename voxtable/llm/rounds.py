@@ -6,8 +6,8 @@ sets are linked if ``100 * intersection >= percent * union``, and only sets that
 1. Lists of up to ``SMALL`` members give all their pairs, longer ones the pairs of every member with a *centre*, the
    member of least hash, which is the same in lists that share members. Each set first confirms its likeliest pair on full
    sets, then the pairs that still lie in different components.
-2. Long lists with several components get further centres, as long as a round confirms a tenth of its pairs.
-   Every round is linear in the lists.
+2. Long lists with several components get further centres, as long as every round halves the rows of such lists. A round is
+   linear in the lists, and so are all rounds together.
 3. What is left is compared in blocks: a cheap test names the members that may have a partner, those get their full sets
    once, and a task links them by union-find. It emits at most one link less than it has members, never a list of pairs.
 
@@ -28,7 +28,7 @@ from voxtable.llm.graph import components
 
 SMALL = 8
 BLOCK = 512                                    # members of a long list that are compared at once
-SHARE = 10                                     # a round goes on while one in so many pairs is confirmed
+SHRINK = 2                                     # rounds go on while one leaves at most this part of the rows in mixed lists
 
 
 def members(pairs: DataFrame) -> DataFrame:
@@ -202,23 +202,23 @@ def connect(lists: DataFrame, percent: int, close: Callable, judge: Callable, se
     if not more.isEmpty():
         links = stored(links.unionByName(more), "links")
         labels = stored(components(links), "labels")
-    tried, seed, over = likely.select("a", "b"), 0, False
+    tried, seed, before = likely.select("a", "b"), 0, None
     large = lists.filter(F.col("c") > SMALL)
     while True:
         left = _mixed(large, labels)
-        if left.isEmpty():
+        size = left.count()
+        if not size:
             return labels
-        if over:
+        if before is not None and SHRINK * size > before:
             break
-        seed += 1
+        before, seed = size, seed + 1
         pairs = _centred(left, seed, alike).distinct().join(tried, ["a", "b"], "left_anti").withColumn("shared", F.lit(1))
         first = stored(judge(pairs).groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b")), "first")
         more = stored(confirmed(first, sets.of(members(first)), percent), "links")
-        found = more.count()
-        over = SHARE * found < first.count() or not found
-        if found:
-            links, tried = stored(links.unionByName(more), "links"), tried.unionByName(first.select("a", "b"))
-            labels = stored(components(links), "labels")
+        if more.isEmpty():
+            break
+        links, tried = stored(links.unionByName(more), "links"), tried.unionByName(first.select("a", "b"))
+        labels = stored(components(links), "labels")
     kind = lists.schema["key"].dataType.simpleString()
     blocks = stored(_once(stored(_blocks(dress(left), kind, fits, percent), "blocks")), "blocks")
     more = stored(_joined(blocks, sets.of(blocks.select("id").distinct()), percent), "links")
