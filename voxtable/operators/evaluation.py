@@ -37,7 +37,11 @@ def slice_evaluation(slices: DataFrame, hit_iou: float = 0.1, min_component: int
 
 def evaluate_cases(slices: DataFrame, hit_iou: float = 0.1, min_component: int = 10,
                    pred: str = "pred", truth: str = "mask") -> DataFrame:
-    """One row per case; overlap fields are null for a case without positive slices."""
+    """One row per case; overlap fields are null for a case without positive slices.
+
+    Slices that carry ``seconds`` (see :func:`~voxtable.operators.scoring.score_slices`) give the case's scoring time.
+    """
+    time = [F.sum("seconds").alias("seconds")] if "seconds" in slices.columns else []
     s = slice_evaluation(slices, hit_iou, min_component, pred, truth)
     pos, neg = F.col("positive"), ~F.col("positive")
 
@@ -50,7 +54,7 @@ def evaluate_cases(slices: DataFrame, hit_iou: float = 0.1, min_component: int =
         mean_if(F.col("hit_iou")).alias("sensitivity_iou"),
         mean_if(F.col("hit_centroid")).alias("sensitivity_centroid"),
         F.count_if(neg & (F.col("n_components") > 0)).alias("fp_slices"),
-        F.coalesce(F.sum(F.when(neg, F.col("n_components"))), F.lit(0)).alias("fp_components"))
+        F.coalesce(F.sum(F.when(neg, F.col("n_components"))), F.lit(0)).alias("fp_components"), *time)
 
 
 def micro_macro(slices: DataFrame, pred: str = "pred", truth: str = "mask") -> DataFrame:

@@ -293,15 +293,18 @@ def crop_to_roi(slices: DataFrame, margin: int = CROP_MARGIN, window: DataFrame
 
 
 def cut_slab(slices: DataFrame, cases: DataFrame, centre: str = "centre",
-             slab: int = SLAB) -> tuple[DataFrame, DataFrame]:
+             slab: int = SLAB, slim: bool = True) -> tuple[DataFrame, DataFrame]:
     """Slices within ``slab`` of each case's centre, and the shifted case rows.
 
-    A case whose centre lies outside its depth stops the job and is named.
+    A case whose centre lies outside its depth stops the job and is named.  Without ``slim`` all slices stay where they are and the
+    centre is only pinned, unchecked, as the slice to report.
     """
     c = F.col(centre)
+    if not slim:
+        return slices, cases.withColumn("forced_slice", c).drop(centre)
     inside = (c >= 0) & (c < F.col("depth"))
-    msg = F.concat(F.lit("slice "), c.cast("string"), F.lit(" out of range for depth "),
-                   F.col("depth").cast("string"), F.lit(" in "), F.col("case_id"))
+    msg = F.concat(F.lit("the centre of "), F.col("case_id"), F.lit(", slice "), c.cast("string"),
+                   F.lit(", is not among its "), F.col("depth").cast("string"), F.lit(" slices"))
     lo = F.when(inside, F.greatest(c - slab, F.lit(0))).otherwise(F.raise_error(msg).cast("int"))
     cut = cases.withColumn("_lo", lo).withColumn("_hi", F.least(c + slab + 1, F.col("depth")))
     s = slices.join(cut.select("case_id", "_lo", "_hi"), "case_id")

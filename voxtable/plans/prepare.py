@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from voxtable.functions import arrays as A
 from voxtable.operators import volumes as V
 from voxtable.operators.catalog import group_phases, pair_phases
-from voxtable.session import stored
 
+Keep = Callable[[DataFrame, str], DataFrame]
 SLICE = ["z", "h", "w", "pixels"]
 
 
@@ -42,21 +44,26 @@ def contrast_pairs(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, pos
     return pairs.select("case_id", "pre_folder", "post_folder", reason.alias("reason"))
 
 
-def prepare_contrast(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, post_rank: int = 2,
-                     crop: bool = False, margin: int = V.CROP_MARGIN) -> tuple[DataFrame, DataFrame]:
+def as_planned(df: DataFrame, _: str) -> DataFrame:
+    return df
+
+
+def prepare_contrast(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, post_rank: int = 2, crop: bool = False,
+                     margin: int = V.CROP_MARGIN, keep: Keep = as_planned) -> tuple[DataFrame, DataFrame]:
     """Subtract the baseline from the chosen pass, paint the boxes and normalise.
 
     ``series`` has ``patient_id, description, folder``, ``slices`` has ``folder`` and the slice
-    columns, ``boxes3d`` is 1-based inclusive per ``case_id`` (the patient).
+    columns, ``boxes3d`` is 1-based inclusive per ``case_id`` (the patient).  Nothing runs here: the result is a plan.
+    Its passes over the subtracted slices repeat their joins; ``keep=stored`` writes what several passes read.
     """
-    pairs = stored(contrast_pairs(series, slices, boxes3d, post_rank), "pairs")
+    pairs = keep(contrast_pairs(series, slices, boxes3d, post_rank), "pairs")
     good = pairs.where(F.col("reason").isNull())
 
     def phase(column: str) -> DataFrame:
         key = good.select(F.col(column).alias("folder"), "case_id")
         return slices.select("folder", *SLICE).join(key, "folder").drop("folder")
     diff = V.subtract_phases(phase("pre_folder"), phase("post_folder"))
-    painted = stored(V.paint_boxes(diff, V.boxes_from_1based(boxes3d)), "subtracted")
+    painted = keep(V.paint_boxes(diff, V.boxes_from_1based(boxes3d)), "subtracted")
     return _finish(painted, crop, margin), _outcome(pairs)
 
 
@@ -70,15 +77,16 @@ def annotation_boxes(boxes2d: DataFrame, margin: int = 2) -> DataFrame:
 
 
 def prepare_boxes(slices: DataFrame, boxes2d: DataFrame, margin: int = 2, crop: bool = True,
-                  skip_empty: bool = True, crop_margin: int = V.CROP_MARGIN) -> tuple[DataFrame, DataFrame]:
+                  skip_empty: bool = True, crop_margin: int = V.CROP_MARGIN,
+                  keep: Keep = as_planned) -> tuple[DataFrame, DataFrame]:
     """Single-phase volumes with masks from 2-D boxes of the same patient and view.
 
-    ``slices`` carry ``case_id`` (the series), ``patient_id`` and ``view_key``.
+    ``slices`` carry ``case_id`` (the series), ``patient_id`` and ``view_key``.  ``keep`` as in :func:`prepare_contrast`.
     """
-    painted = stored(V.paint_boxes(slices, annotation_boxes(boxes2d, margin), on=["patient_id", "view_key"]), "painted")
+    painted = keep(V.paint_boxes(slices, annotation_boxes(boxes2d, margin), on=["patient_id", "view_key"]), "painted")
     cases = painted.groupBy("case_id").agg(F.max(A.any_positive("mask")).alias("_any"))
     reason = F.when(~F.col("_any"), "no_boxes") if skip_empty else F.lit(None).cast("string")
     cases = cases.select("case_id", reason.alias("reason"))
-    cases = stored(cases, "cases")
+    cases = keep(cases, "cases")
     kept = painted.join(cases.where(F.col("reason").isNull()).select("case_id"), "case_id")
     return _finish(kept, crop, crop_margin), _outcome(cases)

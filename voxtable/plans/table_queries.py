@@ -257,7 +257,7 @@ def _(spark, d):
     for _run in range(2):
         jobs.ingest_stream(spark, d, dst, "event_id", scratch_path(spark, "offsets"), schema,
                            files="events.parquet").awaitTermination()
-    return spark.read.parquet(dst).select("event_id", "user_id", "event_type", "value")
+    return jobs.read_ingested(spark, dst).select("event_id", "user_id", "event_type", "value")
 
 
 def streamed_scores(spark, d, path):

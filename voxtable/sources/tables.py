@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import os
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def trim_header(df: DataFrame) -> DataFrame:
@@ -21,11 +22,63 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return trim_header(df)
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files at a path or pattern, without hidden ones, in order of their names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo, found = list(fs.globStatus(top) or ()), []
+    if not todo:
+        raise FileNotFoundError(path)
+    while todo:
+        status = todo.pop()
+        if status.isDirectory():
+            todo += [x for x in fs.listStatus(status.getPath()) if x.getPath().getName()[0] not in "_."]
+        else:
+            found.append(status.getPath().toString())
+    return sorted(found)
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names in the first line of a file, compressed or not; nothing else of it is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    conf = spark._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        lines = spark._jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        line = spark._jvm.java.io.BufferedReader(lines).readLine()
+    finally:
+        stream.close()
+    return tuple(c.strip() for c in next(csv.reader([(line or "").removeprefix("\ufeff")]), []))
+
+
 def read_tables(spark: SparkSession, paths: str | os.PathLike | Sequence[str],
                 schema: StructType | str | None = None) -> DataFrame:
-    """One path or many with the same columns, matched by name rather than by position."""
+    """One path or many with the same columns, matched by name rather than by position.
+
+    Only the first line of each file is looked at; files with one header are one scan, and one more if types are to be
+    inferred, however many they are.  With ``schema`` its columns come out, null where a file lacks one; files without any
+    line are left out.
+    """
     many = [paths] if isinstance(paths, (str, os.PathLike)) else list(paths)
-    parts = [read_csv(spark, str(p), schema) for p in many]
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in many:
+        for file in _files(spark, str(path)):
+            groups.setdefault(_header(spark, file), []).append(file)
+    groups.pop((), None)
+    if not groups:
+        return spark.createDataFrame([], wanted or StructType())
+    parts = []
+    for header, files in groups.items():
+        if wanted is None:
+            parts.append(trim_header(spark.read.option("header", True).option("inferSchema", True).csv(files)))
+            continue
+        kinds = {f.name: f.dataType for f in wanted.fields}
+        own = StructType([StructField(c, kinds.get(c, StringType())) for c in header])
+        part = spark.read.option("header", True).option("enforceSchema", True).schema(own).csv(files)
+        parts.append(part.select(*[F.col(f"`{c}`") if c in header else F.lit(None).cast(kinds[c]).alias(c) for c in kinds]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
