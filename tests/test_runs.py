@@ -11,6 +11,7 @@ from voxtable.operators import quality as Q
 from voxtable.operators import volumes as V
 from voxtable.plans import runs
 from voxtable.plans.prepare import prepare_contrast
+from voxtable.session import scratch_scope, shared_root, stored
 from voxtable.sources import tables as T
 from voxtable.sources import volumes as SV
 from voxtable.streaming import jobs
@@ -81,6 +82,22 @@ def test_evaluation_run_reports(spark, scratch):
         runs.run_evaluation(t.limit(0), lambda: lambda x: x, f"{scratch}/n")
 
 
+def test_scratch_tables_go_at_the_end_of_a_run(spark, scratch):
+    def left():
+        top = spark._jvm.java.io.File(f"{shared_root(spark)}/voxtable")
+        return {f.getName() for f in (top.listFiles() or ())}
+    args = contrast(spark)
+    before = left()
+    runs.run_preparation(*args, f"{scratch}/p", source="s", root=scratch)
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        stored(spark.range(3), "lost")
+        assert left() != before
+        raise ZeroDivisionError
+    assert left() == before
+    kept = stored(spark.range(3), "kept")
+    assert kept.count() == 3 and left() != before
+
+
 def test_percentiles_unfold_no_pixels(spark):
     t = slice_table(spark, ("a", np.random.default_rng(0).normal(size=(3, 5, 5))))
     plan, n = jobs_of(spark, "levels", lambda: V.normalise_intensity(t))

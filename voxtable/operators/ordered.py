@@ -128,25 +128,31 @@ def best_before(df: DataFrame, keys: Sequence[str], index: str, value: str, out:
             .drop("_b", "_past"))
 
 
-def hash_cutoff(df: DataFrame, key: str, n: Column) -> DataFrame:
-    """One row holding the ``n``-th smallest md5 value of ``key`` ('' when ``n`` is 0).
+def hash_cutoffs(df: DataFrame, key: str, *wanted: Column) -> DataFrame:
+    """One row ``cutoffs``: for every ``n`` the ``n``-th smallest md5 value of ``key`` ('' when ``n`` is 0).
 
-    ``n`` is an aggregate over ``df``.  Per-prefix counts find the prefix that holds the
-    cut, and only the rows of that prefix are ranked, so picking ``n`` rows becomes the
-    filter ``key <= cutoff`` with no shuffle of the rows themselves.
+    Each ``n`` is an aggregate over ``df``.  Per-prefix counts find the prefixes that hold the
+    cuts, and only the rows of those prefixes are ranked, so picking ``n`` rows becomes the
+    filter ``key <= cutoff`` with no shuffle of the rows themselves.  All cuts share both passes.
     """
-    digits = F.substring(F.col(key), 1, HASH_DIGITS)
-    sized = df.select(F.col(key).alias("_h"), digits.alias("_b"))
+    sized = df.select(F.col(key).alias("_h"), F.substring(F.col(key), 1, HASH_DIGITS).alias("_b"))
     counts = sized.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     w = W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)     # at most 16**HASH_DIGITS rows
-    cum = counts.withColumn("_end", F.sum("_n").over(w))
-    want = df.agg(n.cast("long").alias("n")).scalar()
-    hit = (cum.where((F.col("_end") >= want) & (F.col("_end") - F.col("_n") < want))
-           .select("_b", (want - (F.col("_end") - F.col("_n"))).alias("_k")))
-    ranked = sized.join(hit, "_b").withColumn(
-        "_r", F.row_number().over(W.partitionBy("_b").orderBy("_h")))
-    picked = ranked.where(F.col("_r") == F.col("_k"))
-    return picked.agg(F.coalesce(F.max("_h"), F.lit("")).alias("cutoff"))
+    upto = F.sum("_n").over(w)
+    numbers = df.agg(F.array(*[n.cast("long") for n in wanted]).alias("n")).scalar()
+    cum = counts.withColumns({"_end": upto, "_want": numbers}).withColumn("_start", F.col("_end") - F.col("_n"))
+    inside = F.filter("_want", lambda n: (n > F.col("_start")) & (n <= F.col("_end")))
+    hit = cum.select("_b", F.transform(inside, lambda n: n - F.col("_start")).alias("_ranks"), "_start").where(F.size("_ranks") > 0)
+    ranked = sized.join(hit, "_b").withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_h")))
+    picked = ranked.where(F.array_contains("_ranks", F.col("_r").cast("long"))).select(
+        (F.col("_start") + F.col("_r")).alias("_at"), "_h")
+    found = [F.max(F.when(F.col("_at") == F.col("_want")[i], F.col("_h"))) for i in range(len(wanted))]
+    return picked.withColumn("_want", numbers).agg(F.array(*[F.coalesce(f, F.lit("")) for f in found]).alias("cutoffs"))
+
+
+def hash_cutoff(df: DataFrame, key: str, n: Column) -> DataFrame:
+    """:func:`hash_cutoffs` of one ``n``, as ``cutoff``."""
+    return hash_cutoffs(df, key, n).select(F.get("cutoffs", F.lit(0)).alias("cutoff"))
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions.hashing import order_key
-from voxtable.operators.ordered import hash_cutoff
+from voxtable.operators.ordered import hash_cutoff, hash_cutoffs
 
 
 def split_sizes(n: Column, val: float, test: float) -> tuple[Column, Column]:
@@ -30,8 +30,8 @@ def split_cases(df: DataFrame, key: str | Column = "case_id", val: float = 0.15,
     h = order_key(seed, key)
     cases = df.select(key.alias("_key")).distinct().select(order_key(seed, "_key").alias("_h"))
     n_val, n_test = split_sizes(F.count(F.lit(1)), val, test)
-    test_end = hash_cutoff(cases, "_h", n_test).scalar()
-    val_end = hash_cutoff(cases, "_h", n_test + n_val).scalar()
+    ends = hash_cutoffs(cases, "_h", n_test, n_test + n_val).scalar()
+    test_end, val_end = (F.get(ends, F.lit(i)) for i in range(2))
     return df.withColumn(out, F.when(h <= test_end, "test").when(h <= val_end, "val").otherwise("train"))
 
 

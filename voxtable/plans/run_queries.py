@@ -29,9 +29,9 @@ def sigmoid_scorer():
 
 
 def evaluated(spark, d):
+    """The cases of a run, and where its reports are."""
     path = scratch_path(spark, "evaluation")
-    R.run_evaluation(study(spark, d), sigmoid_scorer, path, threshold=LEVEL, min_component=3, resamples=2000)
-    return path
+    return R.run_evaluation(study(spark, d), sigmoid_scorer, path, threshold=LEVEL, min_component=3, resamples=2000), path
 
 
 @query("evaluation_run_cases", recursive(SCORED_CASES + f"""
@@ -40,9 +40,7 @@ SELECT case_id, n_slices, n_positive_slices, n_negative_slices, {r6('dice')} AS
        true AS timed FROM ev""", "study"))
 def _(spark, d):
     """The CSV that the run wrote."""
-    c = T.read_csv(spark, f"{evaluated(spark, d)}/{R.CASES}",
-                   "case_id string, n_slices long, n_positive_slices long, n_negative_slices long, dice double, iou double, "
-                   "sensitivity_iou double, sensitivity_centroid double, fp_slices long, fp_components long, seconds double")
+    c = evaluated(spark, d)[0]
     return c.withColumns({m: rounded(m) for m in ("dice", "iou", "sensitivity_iou", "sensitivity_centroid")}).withColumn(
         "timed", F.col("seconds") > 0).drop("seconds")
 
@@ -56,7 +54,7 @@ SELECT b.*, CAST({LEVEL} AS DOUBLE) AS threshold, (SELECT count(*) FROM ev) AS n
        (SELECT CAST(sum(n_slices) AS BIGINT) FROM ev) AS n_slices FROM ({_BOOT[_LAST:]}) b""", "study"))
 def _(spark, d):
     """The JSON report that the run wrote, a row per metric."""
-    r = T.read_report(spark, f"{evaluated(spark, d)}/{R.REPORT}",
+    r = T.read_report(spark, f"{evaluated(spark, d)[1]}/{R.REPORT}",
                       "threshold double, n_patients long, n_slices long, "
                       "metrics map<string, struct<mean: double, lo: double, hi: double, n: long>>")
     r = r.select("threshold", "n_patients", "n_slices", F.explode("metrics").alias("metric", "m"))

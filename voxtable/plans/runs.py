@@ -13,7 +13,7 @@ from voxtable.operators import evaluation as E
 from voxtable.operators import volumes as V
 from voxtable.operators.scoring import score_slices
 from voxtable.plans.prepare import prepare_contrast
-from voxtable.session import stored
+from voxtable.session import scratch_scope, stored
 from voxtable.sources import tables as T
 from voxtable.sources import volumes as SV
 
@@ -32,11 +32,12 @@ def run_preparation(series: DataFrame, slices: DataFrame, boxes3d: DataFrame, pa
     finished = None if force else SV.read_manifest(spark, path)
     if finished is not None:
         return finished[0]
-    made, outcome = prepare_contrast(series, slices, boxes3d, post_rank, keep=stored)
-    skipped = outcome.where(F.col("status") == "skipped").count()
-    warnings = SV.write_volumes(made, path, crop=crop, mode="overwrite", margin=margin)
-    record = {"post_rank": post_rank, "crop": crop, **dict(parameters or {}), "skipped": skipped}
-    SV.write_manifest(SV.read_volumes(spark, path), path, source, record, root, warnings, revision)
+    with scratch_scope(spark):
+        made, outcome = prepare_contrast(series, slices, boxes3d, post_rank, keep=stored)
+        skipped = outcome.where(F.col("status") == "skipped").count()
+        warnings = SV.write_volumes(made, path, crop=crop, mode="overwrite", margin=margin)
+        record = {"post_rank": post_rank, "crop": crop, **dict(parameters or {}), "skipped": skipped}
+        SV.write_manifest(SV.read_volumes(spark, path), path, source, record, root, warnings, revision)
     return SV.read_manifest(spark, path)[0]
 
 
@@ -54,20 +55,23 @@ def predict_masks(slices: DataFrame, make_scorer: Callable[[], Callable[[np.ndar
 def run_evaluation(slices: DataFrame, make_scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], path: str,
                    threshold: float = 0.5, size: int | None = None, hit_iou: float = 0.1, min_component: int = 10,
                    resamples: int = 10_000, seed: int = 0, about: Mapping[str, str] | None = None) -> DataFrame:
-    """Score slices with a truth mask, evaluate their cases, write both reports; returns the cases.
+    """Score slices with a truth mask, evaluate their cases, write both reports; returns the cases as written.
 
     ``eval_per_case`` is a CSV table with the eleven fields of a case, ``eval_report`` one JSON line: what was asked, counts,
     an interval per metric, and times.  Slices are scored once; a table without cases is refused.
     """
     kept = ["case_id", "z", "h", "w", "pixels", "mask"]
-    predicted = predict_masks(slices.select(*kept), make_scorer, threshold, size)
-    cases = stored(E.evaluate_cases(predicted, hit_iou, min_component), "cases")
-    if cases.isEmpty():
-        raise ValueError("no slices to evaluate")
-    T.write_csv(cases.orderBy("case_id"), f"{path}/{CASES}", single_file=True)
-    entry = F.struct("metric", F.struct("mean", "lo", "hi", "n"))
-    metrics = E.cohort_report(cases, resamples, seed=seed).agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"))
-    asked = {"threshold": threshold, "hit_iou": hit_iou, "min_component": min_component, **dict(about or {})}
-    report = E.cohort_timing(cases).select(*[F.lit(v).alias(k) for k, v in asked.items()], "*", metrics.scalar().alias("metrics"))
-    T.write_report(report, f"{path}/{REPORT}")
-    return cases
+    spark = slices.sparkSession
+    with scratch_scope(spark):
+        predicted = predict_masks(slices.select(*kept), make_scorer, threshold, size)
+        cases = stored(E.evaluate_cases(predicted, hit_iou, min_component), "cases")
+        if cases.isEmpty():
+            raise ValueError("no slices to evaluate")
+        T.write_csv(cases.orderBy("case_id"), f"{path}/{CASES}", single_file=True)
+        entry = F.struct("metric", F.struct("mean", "lo", "hi", "n"))
+        metrics = E.cohort_report(cases, resamples, seed=seed).agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"))
+        asked = {"threshold": threshold, "hit_iou": hit_iou, "min_component": min_component, **dict(about or {})}
+        report = E.cohort_timing(cases).select(*[F.lit(v).alias(k) for k, v in asked.items()], "*",
+                                               metrics.scalar().alias("metrics"))
+        T.write_report(report, f"{path}/{REPORT}")
+    return T.read_csv(spark, f"{path}/{CASES}", cases.schema)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows may hold whole slices (1 MB at 512 x 512), so Arrow batches are kept short.
 ARROW_ROWS = "64"
 
+_SCOPES: list[list[str]] = []         # paths written inside open ``scratch_scope`` blocks
 _LOCAL_ROOTS: dict[str, str] = {}     # only for local sessions without a shared folder
 
 
@@ -78,5 +81,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     repeating its joins, and a lost executor costs a re-read and not a recomputation.
     """
     path = scratch_path(df.sparkSession, name)
+    for made in _SCOPES[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what :func:`stored` wrote inside, also after a failure.
+
+    For runs that end with written results; plans that still read a stored table must be run inside.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            remove_path(spark, path)
