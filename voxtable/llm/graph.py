@@ -12,7 +12,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over ``u > v`` edges: neighbours are hung on the least one of their hub."""
     turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     around = edges.unionByName(turned) if large else edges
-    least = stored(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     hung = around.join(least, "u")
     if large:
         found = hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
