@@ -12,8 +12,9 @@ forward recursion's exact log10 likelihood plus the class-to-word terms. Documen
 forward vectors are more than a task keeps, only that at every ``CUT``-th token is, and the steps of a block are
 computed again on the way back. Long documents wait for those of the next chunks, so that a step serves many of them.
 
-Null and empty texts are one end token. Repeated rows are scored and learned from one by one. Without training rows
-every table is the smoothed uniform one.
+Null and empty texts are one end token. Repeated rows are scored and learned from one by one. Very long texts are read whole.
+Without training rows every table is the smoothed uniform one. Only ``doc_id`` and ``text`` are read, so other columns may have any
+name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

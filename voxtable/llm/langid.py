@@ -12,12 +12,15 @@ bounds its size; every document is scored whole. The limits come from all labell
 fifth of a language being held back: the language's median cross-entropy and, per class, the ``HIGH`` quantile of the
 surplus over it, so single unlike documents do not move them. Classes with fewer than ``LEAST`` such documents borrow
 from the next shorter class, else from the next longer one. A language with fewer has no part held back and goes by the
-widest limit of the others; without others, by that of a uniform draw over all letters. Null texts and texts without a letter are ``und`` with score 0 and are
-rejected; so is everything when there is nothing to learn from. Repeated rows are scored one by one.
+widest limit of the others; without others, by that of a uniform draw over all letters. Null texts and texts without a letter
+are ``und`` with score 0 and are rejected; so is everything when there is nothing to learn from. Repeated rows are scored one by
+one, very long texts whole. The added column of ``keep_identified`` starts with two underscores and a random word, so other columns
+may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -343,5 +346,6 @@ def language_report(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that are not rejected; columns as given."""
     model = train(docs, train_rows)
-    return (docs.withColumn("__r", identified(docs, model)).filter(~F.col("__r.rejected"))
+    name = f"__lang_{uuid.uuid4().hex[:8]}"
+    return (docs.withColumn(name, identified(docs, model)).filter(~F.col(f"{name}.rejected"))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

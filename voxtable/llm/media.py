@@ -6,7 +6,8 @@ keyed by the digest of the stored form; ``interleave`` resolves references by jo
 are described once and positions and captions stay with their references.
 
 Null pages give an empty sequence. Null payloads count as empty, which is one row of blanks. Broken HTML is parsed as
-far as it makes sense; a reference without a stored payload keeps a null payload. Repeated rows stay repeated.
+far as it makes sense; a reference without a stored payload keeps a null payload. Repeated rows stay repeated. Very long texts
+are stored whole. Only ``doc_id`` and the text are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ finds its bin from its rank among the pieces of its length. Ranks come from coun
 length, however common, meets in one task.
 
 A document longer than the largest capacity is cut into full pieces and a rest; nothing is dropped. A document without
-tokens (null and empty texts too) has one row of length 0 and null bin. Repeated rows are packed one by one.
+tokens (null and empty texts too) has one row of length 0 and null bin. Repeated rows are packed one by one. Very long texts are
+counted whole. Only ``doc_id`` and what ``tokens`` reads are used, so other columns may have any name. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ their Cholesky factors. The score is the logistic of the log-density difference
 
 Null and empty texts have the statistics of no bytes and get a score. Repeated label rows of a document count once,
 the highest quality winning; null labels are ignored. Without training rows of one class, the score is that of the
-other class (0.5 without any).
+other class (0.5 without any). Very long texts are read whole. Only ``doc_id`` and ``text``, and of the labels ``doc_id`` and
+``quality``, are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

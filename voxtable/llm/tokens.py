@@ -7,7 +7,8 @@ count, and a text's count is the sum over its pre-tokens.
 
 The vocabulary is a public one and only read: its pieces get Zipf scores by rank, ``-log(rank + 2.7)``. Characters no
 piece covers fall back to one token per UTF-8 byte. Equal scores prefer fewer tokens, then the shorter last piece. Null
-and empty texts, and texts of white space, have 0 tokens.
+and empty texts, and texts of white space, have 0 tokens. Very long texts are counted whole, repeated rows one by one. Only
+``doc_id`` and ``text`` are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

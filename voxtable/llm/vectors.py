@@ -11,7 +11,8 @@ rows.
 
 Vectors that are null, or hold null or non-finite components, take no part. Vectors of different lengths are not
 compared. Repeated rows are candidates each; a repeated query id asks once, with its smallest vector; a candidate with
-the query's own id is left out. Products beyond 64 bits are held at the limits of ``long``.
+the query's own id is left out. Products beyond 64 bits are held at the limits of ``long``. Only the id and the vector are read,
+so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
