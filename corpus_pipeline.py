@@ -10,7 +10,8 @@ shared folder and read again as the next stage's documents. All stages but the l
 5. ``packing``: words are packed in sequences of several permitted lengths; one row per piece.
 
 Null and empty texts are rejected by the first stage. A text that loses all its bytes stays as an empty document, and
-has one row without bin at the end. An empty table gives an empty result.
+has one row without bin at the end. Of repeated rows the second stage keeps one. Very long texts pass whole. Stages name their own
+columns by random words, so other columns may have any name and pass through to the last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
