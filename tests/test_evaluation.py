@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -72,6 +73,49 @@ def test_bootstrap_does_not_depend_on_partitions(golden):
     assert a == b
 
 
+def under_broadcasts(df):
+    """Lines of the plan that lie below a broadcast."""
+    out, edge = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-*"))
+        edge = None if edge is not None and at <= edge else edge
+        if edge is not None:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            edge = at
+    return out
+
+
+def test_bootstrap_never_broadcasts_its_draws(spark):
+    df = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("case_id"), (F.col("id") % 7).alias("metric"),
+                                  F.rand(1).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        held, dealt = (E.bootstrap_ci(df, "v", by=["metric"], resamples=60, held_values=n) for n in (3000, 2999))
+        assert any("_block" in line for line in under_broadcasts(held))
+        for plan in (held, dealt):
+            assert not any("Range" in line for line in under_broadcasts(plan)), plan
+        key = lambda r: r.metric
+        for a, b in zip(sorted(held.collect(), key=key), sorted(dealt.collect(), key=key), strict=True):
+            assert (a.metric, a.n) == (b.metric, b.n) and (a.mean, a.lo, a.hi) == pytest.approx((b.mean, b.lo, b.hi), rel=1e-12)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bootstrap_by_plain_counting(spark):
+    rows = [(f"c{i}", m, float((i * 37 + j) % 101)) for j, (m, n) in enumerate((("x", 5000), ("y", 40))) for i in range(n)]
+    df = spark.createDataFrame(rows, "case_id string, metric string, v double")
+    got = {r.metric: r for r in E.bootstrap_ci(df, "v", by=["metric"], resamples=40, seed=6).collect()}
+
+    def md5(*parts):
+        return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    for m in ("x", "y"):
+        vals = [v for _, v in sorted((md5(6, c), v) for c, own, v in rows if own == m)]
+        means = [np.mean([vals[int(md5(6, r, i)[:7], 16) % len(vals)] for i in range(len(vals))]) for r in range(40)]
+        assert (got[m].lo, got[m].hi) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), rel=1e-9)
+
+
 def test_case_row_by_hand(spark):
     truth, pred = np.zeros((3, 12, 12), int), np.zeros((3, 12, 12), int)
     truth[0, 2:6, 2:6] = 1

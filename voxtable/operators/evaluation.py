@@ -17,6 +17,8 @@ from voxtable.operators.volumes import bilinear_array
 from voxtable.session import stored
 
 CASE_METRICS = ["dice", "iou", "sensitivity_iou", "sensitivity_centroid"]
+LOOKUP = 1 << 12            # positions of a group whose values one row holds while cases are drawn
+HELD_VALUES = 1 << 23       # values that a bootstrap broadcasts, 64 MB
 SCORE_BUCKETS = 1 << 20     # a unit of score near zero; buckets widen with the score, so none takes all large ones
 
 
@@ -69,12 +71,13 @@ def micro_macro(slices: DataFrame, pred: str = "pred", truth: str = "mask") -> D
 
 
 def bootstrap_ci(df: DataFrame, value: str, key: str = "case_id", by: Sequence[str] = (),
-                 resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+                 resamples: int = 10_000, alpha: float = 0.05, seed: int = 0, held_values: int = HELD_VALUES) -> DataFrame:
     """Percentile bootstrap of the mean with whole cases as the resampling unit.
 
     Draw ``i`` of resample ``r`` takes the case at position ``hash(seed, r, i) mod n``, so the
     interval does not depend on partitioning.  Nulls and NaN are dropped first; a group
-    without values keeps its row with ``n = 0``.
+    without values keeps its row with ``n = 0``.  Up to ``held_values`` values of all groups are broadcast, eight
+    bytes each; more are met by a shuffle of the draws.
     """
     by = list(by)
     flat = df.withColumn("_all", F.lit(0)) if not by else df
@@ -84,8 +87,10 @@ def bootstrap_ci(df: DataFrame, value: str, key: str = "case_id", by: Sequence[s
     groups = rows.groupBy(*k).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))
     vals = rows.where(F.col("_v").isNotNull()).withColumn("_h", order_key(seed, "_k"))
     vals = rejoin(hash_index(vals, k, "_h", out="_pos").select(*k, "_pos", "_v"), groups.select(*k, "n"), k)
-    # Read by both sides of the join, which is planned by its true size.
-    vals = stored(vals.select(*k, "n", "_pos", "_v"), "resampled")
+    # Values of ``LOOKUP`` positions share a row, so what a draw looks up is as small as the numbers themselves.
+    block = F.floor(F.col("_pos") / LOOKUP)
+    vals = vals.groupBy(*k, "n", block.alias("_block")).agg(F.sort_array(F.collect_list(F.struct("_pos", "_v"))).alias("_a"))
+    vals = stored(vals.select(*k, "n", "_block", F.transform("_a", lambda x: x["_v"]).alias("_a")), "resampled")
     # Draw (r, i) is hashed once and serves every group that has an i-th draw, whatever its size. All draws of a resample
     # come from one task, so a broadcast join needs no shuffle before the sums.
     sizes = F.sort_array(F.collect_set("n"))
@@ -98,7 +103,11 @@ def bootstrap_ci(df: DataFrame, value: str, key: str = "case_id", by: Sequence[s
                          as_int(order_key(seed, "_r", "_i")).alias("_h"))
     draws = draws.select("_r", "_h", F.explode("_sizes").alias("n")).select(
         "_r", "n", F.coalesce(F.pmod("_h", "n"), F.lit(-1)).alias("_pos"))
-    means = draws.join(vals, ["n", "_pos"]).groupBy(*k, "_r").agg(F.avg("_v").alias("_m"))
+    draws = draws.select("_r", "n", F.floor(F.col("_pos") / LOOKUP).alias("_block"), (F.col("_pos") % LOOKUP).cast("int").alias("_at"))
+    # The planner takes the draws for as few rows as there are resamples, so it is told which side is the small one.
+    held = vals.agg(F.sum(F.size("_a"))).first()[0] or 0
+    vals = F.broadcast(vals) if held <= held_values else vals.hint("merge")
+    means = draws.join(vals, ["n", "_block"]).groupBy(*k, "_r").agg(F.avg(F.get("_a", "_at")).alias("_m"))
     ends = F.percentile("_m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))   # over ``resamples`` means
     ci = means.groupBy(*k).agg(ends.alias("_e"))
     return (rejoin(groups, ci, k, "left")
