@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from util import AWKWARD, DOCS, by_id, docs_table
 
 from voxtable.llm import langid
-from voxtable.llm.common import table
+from voxtable.llm.common import stored, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -138,3 +138,15 @@ def test_one_unlike_document_does_not_move_the_limits(spark):
         kept = langid.keep_identified(docs.unionByName(added))
         ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
         assert first not in ids and len(ids) >= 990
+
+
+def test_few_languages_move_no_texts(spark):
+    rows = [(i, "word%d " % i * 40, ["en", "de"][i % 2], "s") for i in range(400)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "texts")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        plan = langid._training_rows(docs.select("doc_id", "text", "lang"), 3000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

@@ -232,6 +232,7 @@ def _training_rows(docs: DataFrame, train_rows: int) -> DataFrame:
     """All rows with ``learn``: whether they are counted, at most about ``train_rows`` documents per language by hash."""
     fold = F.pmod(F.xxhash64(F.lit("langid-limit"), "doc_id", "text"), F.lit(HOLD)) == 0
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.count_if(fold).alias("_f"))
+    counts = stored(counts, "langid-counts")       # of known size, so that few languages move no texts
     held = (F.col("_f") >= LEAST) & (2 * F.col("_f") <= F.col("_n"))
     share = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rest = F.col("_n") - F.when(held, F.col("_f")).otherwise(0)
