@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from util import DOCS, by_id, docs_table
 
 from voxtable.llm import mixing
+from voxtable.llm.common import stored
 
 
 def expected_targets(sizes, share=1.5, limit=2.0, weights=(5, 2, 1)):
@@ -74,3 +75,19 @@ def test_rows_without_an_id_of_their_own_draw_alone(spark):
     assert same[0] == same[1] and len(a) == 8000
     taken = sum(r["n"] for r in mixing.mix(docs).groupBy("text").count().selectExpr("count * size(split(trim(text), ' ')) as n").collect())
     assert taken == sum(r["taken"] for r in a)
+
+
+def test_few_repeated_ids_move_no_texts(spark):
+    rows = [(i % 399, "word%d " % i * 40, "s") for i in range(400)] + [(None, "no id", "s")]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "texts")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        made = mixing.with_seed(docs, F.md5("text"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        seeds = [r.seed for r in made.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(seeds) == len(set(seeds)) == 401
+    joins = [line for line in plan.splitlines() if "LeftAnti" in line or "LeftSemi" in line]
+    assert joins and all("Broadcast" in line for line in joins)

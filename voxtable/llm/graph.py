@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import stored
+from voxtable.llm.common import settle, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         edges = stored(_star(stored(_star(edges, large=True), "edges"), large=False), "edges")
+        settle(links.sparkSession)
         found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == mark:
             break

@@ -42,6 +42,7 @@ def with_seed(rows: DataFrame, digest: Column, out: str = "seed") -> DataFrame:
     ids, group, row = f"{mark}_id", f"{mark}_group", f"{mark}_row"
     several = rows.groupBy(F.col("doc_id").alias(ids)).agg(F.count(F.lit(1)).alias(mark)).filter(
         F.col(ids).isNull() | (F.col(mark) > 1)).select(ids)
+    several = stored(several, "mix-several")       # of known size, so that few of them move no rows
     same = rows["doc_id"].eqNullSafe(several[ids])
     own = rows.join(several, same, "left_anti").withColumn(out, F.col("doc_id").cast("string"))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), digest)
