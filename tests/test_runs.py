@@ -82,6 +82,16 @@ def test_evaluation_run_reports(spark, scratch):
         runs.run_evaluation(t.limit(0), lambda: lambda x: x, f"{scratch}/n")
 
 
+def test_scoring_sends_each_pixel_once_and_keeps_other_columns_as_they_came(spark):
+    t = slice_table(spark, ("a", np.arange(108.0).reshape(3, 6, 6)), ("b", np.ones((2, 4, 5)))).withColumn("extra", F.lit("x"))
+    made = runs.predict_masks(t, lambda: lambda x: x / 107, 0.5)
+    assert "_pixels" not in operators_of(made) and "MapInArrow" in operators_of(made)
+    got = {(r.case_id, r.z): r for r in made.collect()}
+    assert len(got) == 5 and all(r.extra == "x" and r.seconds > 0 for r in got.values())
+    assert got["a", 1].pixels == list(np.arange(36.0, 72)) and got["a", 1].pred == [int(v >= 53.5) for v in range(36, 72)]
+    assert got["b", 0].pred == [0] * 20 and (got["b", 0].h, got["b", 0].w) == (4, 5)
+
+
 def test_scratch_tables_go_at_the_end_of_a_run(spark, scratch):
     def left():
         top = spark._jvm.java.io.File(f"{shared_root(spark)}/voxtable")

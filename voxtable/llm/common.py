@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtable.functions.memory import release
 from voxtable.session import stored
 
 __all__ = ["WORD", "bounded", "byte_runs", "count_words", "hash_rest", "list_numpy", "parts_for",
@@ -109,14 +109,6 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) ->
             start = stop
 
 
-def release() -> None:
-    """Hand freed memory back to the system at the end of a task: its Python worker lives on beside others."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # only where the C library has it
-    if trim is not None:
-        trim(0)
-
-
 def settle(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps, which else stay until the driver collects."""
     gc.collect()

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from voxtable.functions import arrays as A
+from voxtable.functions.memory import release
 
+LABELLED = 1 << 17       # pixels labelled at once; a dozen arrays of that size are alive then
 COMPONENT = (StructType().add("seed", IntegerType()).add("size", IntegerType())
              .add("cy", DoubleType()).add("cx", DoubleType()))
 
@@ -53,11 +55,12 @@ def _components(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
     for mask, h, w in it:
         out = [None] * len(mask)
         for (hh, ww), at in pd.DataFrame({"h": h, "w": w}).groupby(["h", "w"]).groups.items():
-            for block in A.pixel_blocks(mask.index.get_indexer(at), hh * ww):
+            for block in A.pixel_blocks(mask.index.get_indexer(at), hh * ww, LABELLED):
                 stack = np.stack([np.asarray(mask.iloc[i]) > 0 for i in block]).reshape(-1, hh, ww)
                 for i, lab in zip(block, label_stack(stack)):
                     out[i] = _describe(lab)
         yield pd.Series(out, dtype=object)
+    release()
 
 
 def with_components(slices: DataFrame, mask: str = "pred", out: str = "components",

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from voxtable.functions import arrays as A
 from voxtable.functions.hashing import as_unit, order_key
+from voxtable.functions.memory import release
 
 # Ranges of the random changes.
 MAX_ROTATION_DEG = 15.0
@@ -31,20 +33,24 @@ def score_slices(slices: DataFrame, make_scorer: Callable[[], Callable[[np.ndarr
     times = [StructField(seconds, DoubleType())] if seconds else []
     schema = StructType([*slices.schema.fields, StructField(out, ArrayType(DoubleType())), *times])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make_scorer()
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            for (h, w), rows in pdf.groupby(["h", "w"]).groups.items():
+        for batch in batches:
+            frames = pd.DataFrame({c: batch.column(c).to_pandas() for c in ("h", "w")})
+            for (h, w), rows in frames.groupby(["h", "w"]).groups.items():
                 for block in A.pixel_blocks(rows, h * w):
-                    part = pdf.loc[block].reset_index(drop=True)
-                    stack = np.stack([np.asarray(p, dtype=float) for p in part["pixels"]]).reshape(-1, h, w)
+                    part = batch.take(pa.array(block))          # other columns stay as they came
+                    stack = np.stack([np.asarray(p, dtype=float) for p in part.column("pixels").to_pandas()]).reshape(-1, h, w)
                     begun = time.perf_counter()
-                    maps = np.asarray(score(stack), dtype=float)
-                    share = (time.perf_counter() - begun) / len(part)
-                    found = {out: pd.Series([m.ravel() for m in maps], dtype=object)}
-                    yield part.assign(**found, **({seconds: share} if seconds else {}))
-    return slices.mapInPandas(run, schema)
+                    maps = np.asarray(score(stack), dtype=float).reshape(len(stack), -1)
+                    share = (time.perf_counter() - begun) / len(stack)
+                    ends = np.arange(len(maps) + 1, dtype=np.int32) * maps.shape[1]
+                    found = [pa.ListArray.from_arrays(pa.array(ends), pa.array(maps.ravel()))]
+                    if seconds:
+                        found.append(pa.array(np.full(len(maps), share)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *found], names=schema.names)
+        release()
+    return slices.mapInArrow(run, schema)
 
 
 def _sample(img: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
