@@ -109,3 +109,46 @@ def test_empty_and_clashing_columns(spark):
     assert phrases.mine_phrases(docs.limit(0), least=1).count() == 0
     wide = docs.withColumns({c: F.lit("z") for c in ("chunk", "codes", "n", "phrase", "m", "rank")})
     assert {r["phrase"] for r in phrases.mine_phrases(wide, least=3).collect()} == {"a b c"}
+
+
+@pytest.mark.parametrize("kind", ["u1", "i4", "i8"])
+def test_packed_numbers_come_back(kind):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    top = np.iinfo(kind).max
+    for values in (np.zeros(0, kind), np.array([top], kind), rng.integers(0, top, 1000).astype(kind)):
+        assert phrases._unpacked(phrases._packed(values), kind).tolist() == values.tolist()
+    places = np.array([3, 4, 900, 70_000], np.int64)
+    assert phrases._unpacked_column([phrases._packed_places(places)] * 2, "places").tolist() == places.tolist() * 2
+    prints = phrases._mixed(rng.integers(0, 2 ** 63, 50).astype(np.uint64), 2)
+    assert phrases._unpacked_column([phrases._packed_prints(prints)], "prints").tolist() == prints.tolist()
+
+
+def test_languages_fill_their_chunks(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 2000)
+    langs = ["en", "de", "fr", "es"]
+    docs = docs_table(spark, [f"w{i:03d} " * 20 for i in range(160)], [langs[i % 4] for i in range(160)]).coalesce(1)
+    rows = phrases._chunks(docs).collect()
+    # 16,000 bytes, 4,000 of each language: a chunk of each language for every 2,000 bytes would be 32.
+    assert len(rows) <= 3 * len(langs)
+    assert sum(r["n"] for r in rows) == 160 * 20
+
+
+def test_many_languages_do_not_pile_up(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 100)
+    rows = [(f"a b{i % 7} a b{i % 7}", f"l{i % 60}") for i in range(300)]
+    assert mined(spark, rows, least=2) == plain(rows, 2)
+
+
+def test_what_travels_is_packed(spark):
+    rng = random.Random(1)
+    text = " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(60_000))
+    chunks = phrases.stored(phrases._chunks(docs_table(spark, [text], ["en"])), "chunks")
+    chunk = chunks.first()
+    assert sum(len(chunk[c]) for c in ("codes", "words", "ends")) < 2.5 * chunk["n"]         # 4 bytes a code before
+    words = phrases.stored(phrases._frequent(phrases._words(chunks, 2), 1), "words")
+    entries = phrases._longer(chunks, words, range(2, 3), 2).collect()
+    codes = phrases._unpacked(chunk["codes"])
+    pairs = len(set(zip(codes[:-1].tolist(), codes[1:].tolist())))
+    assert sum(len(r[c]) for r in entries for c in ("prints", "counts", "places")) < 8 * pairs     # 16 before
+    assert sum(r["size"] for r in words.collect()) == len(set(codes.tolist()))

@@ -2,10 +2,12 @@
 
 Texts become *chunks*: the words of some megabytes of documents of one language as codes into the chunk's own
 dictionary, with a border between pieces. A chunk's prefix polynomial gives the fingerprint of every n-gram as a difference.
+Texts of a language wait until they fill a chunk, as fuller chunks share more of their words and phrases. What travels is
+packed: codes are ranks by frequency, places are differences, and numbers go by byte planes through zstd.
 
 * **Shuffle.** A chunk sends one entry per distinct n-gram: fingerprint, count, and the place of its first occurrence in
   the chunk as pointer. Entries travel packed by fingerprint range; a range sums its counts and returns the pointers of
-  what reaches the least count to their chunks. Single words go first, then pairs of words that reached it, then phrases
+  what reaches the least count to their chunks, without fingerprints. Single words go first, then pairs of words that reached it, then phrases
   of three to five words whose pairs all did; a phrase is never more frequent than its parts, so nothing is lost.
 * **Verification.** Inside a chunk, occurrences that share a fingerprint are compared code by code with the first one; unlike
   ones get entries of their own. Across chunks, pointers are read back as text, sent packed by range again, and counts are
@@ -33,9 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtable.llm.common import bounded, byte_runs, parts_for, release, stored
+from voxtable.llm.common import bounded, byte_runs, parts_for, release, settle, stored
 
 CHUNK_BYTES = 8 << 20
+HELD_CHUNKS = 4                                 # as many chunks' bytes wait in a task at most, whatever the number of languages
 RANGE_ENTRIES = 4_000_000                       # words per fingerprint range, so that a range fits a task
 SALTS = 32                                      # partial rankings of a language
 _BORDER = np.zeros(256, bool)
@@ -44,36 +47,94 @@ _INSIDE = ~_BORDER
 _INSIDE[[0x20, 0x09]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)           # odd, so it has an inverse
 _BACK = np.uint64(pow(int(_BASE), -1, 2 ** 64))
-BITS = 64                                       # fingerprint bits; tests use few to force collisions
+RANGE_TEXTS = 1_000_000                         # phrases read back per group of ranges
+PRINT_BYTES = 5                                 # leading bytes of a fingerprint that travel
+BITS = 8 * PRINT_BYTES                          # fingerprint bits; tests use few to force collisions
 
 CHUNK = "lang string, n long, codes binary, words binary, ends binary"
 ENTRY = "range int, chunk long, m int, prints binary, counts binary, places binary"
+POINTER = "range int, chunk long, m int, size long, counts binary, places binary"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Their number and their byte planes, compressed; small numbers leave the upper planes empty."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind=np.int32) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
+
+
+def _packed_prints(prints: np.ndarray) -> bytes:
+    return prints.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES].tobytes()
+
+
+def _packed_places(places: np.ndarray) -> bytes:
+    return _packed(np.diff(places, prepend=0).astype(np.int32))
+
+
+def _unpacked_column(rows: list[bytes], column: str) -> np.ndarray:
+    """``prints``, ``counts`` or ``places`` of entry rows, one after the other."""
+    if column == "prints":
+        flat = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, PRINT_BYTES)
+        wide = np.zeros((len(flat), 8), np.uint8)
+        wide[:, :PRINT_BYTES] = flat
+        return wide.reshape(-1).view(">u8").astype(np.uint64)
+    parts = [_unpacked(x) for x in rows]
+    if column == "places":
+        parts = [np.cumsum(x, dtype=np.int32) for x in parts]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+def _chunk_row(lang: str, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The chunk of some texts of a language, if they have a word."""
+    offsets, starts, runs, data = byte_runs(texts, _INSIDE)
+    if not len(runs):
+        return
+    coded = runs.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")
+    words = coded.dictionary.take(pa.array(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    piece = np.cumsum(_BORDER[data])[starts]
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    cut = np.flatnonzero((piece[1:] != piece[:-1]) | (text[1:] != text[:-1])) + 1
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+    joined = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+    packed = (_packed(np.insert(rank[codes] + np.int32(1), cut, 0)), _packed(joined), _packed(lengths))
+    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([len(codes)]), *(pa.array([x], pa.binary()) for x in packed)],
+                                     names=["lang", "n", "codes", "words", "ends"])
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
     """``lang, n, codes, words, ends``: a row per some megabytes of texts of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[pa.Array]] = {}
+        held: dict[str, int] = {}
+
+        def full(lang: str) -> Iterator[pa.RecordBatch]:
+            held.pop(lang)
+            return _chunk_row(lang, pa.concat_arrays(waiting.pop(lang)))
+
         for b in bounded(batches, "text", CHUNK_BYTES):
             langs = pc.fill_null(b.column("lang"), "und").dictionary_encode()
             own = langs.indices.to_numpy(zero_copy_only=False)
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 texts = b.column("text").filter(pa.array(own == k))
-                offsets, starts, runs, data = byte_runs(texts, _INSIDE)
-                if not len(runs):
-                    continue
-                coded = runs.dictionary_encode()
-                words = coded.dictionary
-                codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-                piece = np.cumsum(_BORDER[data])[starts]
-                text = np.repeat(np.arange(len(texts)), np.diff(offsets))
-                cut = np.flatnonzero((piece[1:] != piece[:-1]) | (text[1:] != text[:-1])) + 1
-                ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False)).astype(np.int64)
-                joined = b"".join(words.to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([len(codes)]), pa.array([np.insert(codes, cut, -1).tobytes()], pa.binary()),
-                     pa.array([joined], pa.binary()), pa.array([ends.tobytes()], pa.binary())],
-                    names=["lang", "n", "codes", "words", "ends"])
+                size = pc.sum(pc.binary_length(texts)).as_py() or 0
+                if held.get(lang, 0) + size > CHUNK_BYTES and lang in held:
+                    yield from full(lang)
+                waiting.setdefault(lang, []).append(texts)
+                held[lang] = held.get(lang, 0) + size
+            while sum(held.values()) > HELD_CHUNKS * CHUNK_BYTES:
+                yield from full(max(held, key=held.get))
+        for lang in list(held):
+            yield from full(lang)
         release()
 
     return docs.select("lang", "text").mapInArrow(run, CHUNK).withColumn("chunk", F.monotonically_increasing_id())
@@ -83,10 +144,10 @@ class _Chunk:
     """A chunk row, read back."""
 
     def __init__(self, table: pa.Table):
-        row = {c: table.column(c)[0] for c in ("chunk", "lang", "codes", "words", "ends")}
-        self.id, self.lang = row["chunk"].as_py(), row["lang"].as_py()
-        self.codes = np.frombuffer(row["codes"].as_buffer(), np.int32)
-        self.words, self.ends = row["words"].as_py(), np.frombuffer(row["ends"].as_buffer(), np.int64)
+        row = {c: table.column(c)[0].as_py() for c in ("chunk", "lang", "codes", "words", "ends")}
+        self.id, self.lang = row["chunk"], row["lang"]
+        self.codes = _unpacked(row["codes"]) - np.int32(1)              # a border is -1
+        self.words, self.ends = _unpacked(row["words"], np.uint8).tobytes(), np.cumsum(_unpacked(row["ends"]), dtype=np.int64)
 
     def word(self, code: int) -> bytes:
         return self.words[self.ends[code - 1] if code else 0:self.ends[code]]
@@ -103,14 +164,14 @@ def _range_of(prints: np.ndarray, ranges: int) -> np.ndarray:
 
 def _scatter(chunk: _Chunk, m: int, prints, counts, places, ranges: int) -> Iterator[tuple]:
     """Entry rows of one chunk and phrase length, a row per fingerprint range that has any."""
-    order = np.argsort(prints)
-    prints, counts, places = prints[order], counts[order], places[order]
     own = _range_of(prints, ranges)
+    order = np.argsort(own * np.int64(len(chunk.codes)) + places)           # by place inside a range
+    prints, counts, places, own = prints[order], counts[order], places[order], own[order]
     cuts = np.flatnonzero(np.diff(own)) + 1
     for a, z in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(own)]])):
         if z > a:
-            yield (int(own[a]), chunk.id, m, prints[a:z].tobytes(), counts[a:z].astype(np.int32).tobytes(),
-                   places[a:z].astype(np.int32).tobytes())
+            yield (int(own[a]), chunk.id, m, _packed_prints(prints[a:z]), _packed(counts[a:z].astype(np.int32)),
+                   _packed_places(places[a:z]))
 
 
 def _entry_rows(rows: list[tuple]) -> pa.Table:
@@ -124,7 +185,7 @@ def _mixed(prints: np.ndarray, m: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         prints = (prints ^ (prints >> np.uint64(29)) ^ np.uint64(m)) * np.uint64(0xBF58476D1CE4E5B9)
     prints = prints ^ (prints >> np.uint64(32))
-    return prints if BITS == 64 else prints & ~np.uint64(2 ** (64 - BITS) - 1)
+    return prints & ~np.uint64(2 ** (64 - BITS) - 1)
 
 
 def _grams(codes: np.ndarray, hashed: np.ndarray, m: int, starts: np.ndarray):
@@ -167,12 +228,11 @@ def _words(chunks: DataFrame, ranges: int) -> DataFrame:
 
 
 def _frequent(entries: DataFrame, least: int) -> DataFrame:
-    """``chunk, m, prints, counts, places`` of the entries whose fingerprint occurs ``least`` times in all chunks."""
+    """``range, chunk, m, size, counts, places`` of the entries whose fingerprint occurs ``least`` times in all chunks."""
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = pc.divide(pc.binary_length(table.column("prints")), 8).to_numpy()
-        prints, counts, places = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (
-            ("prints", np.uint64), ("counts", np.int32), ("places", np.int32)))
+        sizes = pc.divide(pc.binary_length(table.column("prints")), PRINT_BYTES).to_numpy()
+        prints, counts, places = (_unpacked_column(table.column(c).to_pylist(), c) for c in ("prints", "counts", "places"))
         order = np.argsort(prints)
         new = np.concatenate([[True], np.diff(prints[order]) != 0])
         total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
@@ -181,16 +241,16 @@ def _frequent(entries: DataFrame, least: int) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         left = np.concatenate([[0], np.cumsum(good)])[ends]
         some = np.flatnonzero(np.diff(left))
-        packed = {name: pa.array([x[left[i]:left[i + 1]].tobytes() for i in some], pa.binary()) for name, x in (
-            ("prints", prints[good]), ("counts", counts[good]), ("places", places[good]))}
-        return pa.table({c: table.column(c).combine_chunks().take(pa.array(some)) for c in ("chunk", "m")} | packed)
+        packed = {name: pa.array([pack(x[left[i]:left[i + 1]]) for i in some], pa.binary()) for name, x, pack in (
+            ("counts", counts[good], _packed), ("places", places[good], _packed_places))}
+        kept = {c: table.column(c).combine_chunks().take(pa.array(some)) for c in ("range", "chunk", "m")}
+        return pa.table(kept | {"size": pa.array(np.diff(left)[some])} | packed)
 
-    return entries.groupBy("range").applyInArrow(run, "chunk long, m int, prints binary, counts binary, places binary")
+    return entries.groupBy("range").applyInArrow(run, POINTER)
 
 
-def _joined(table: pa.Table, m: int, column: str, kind=np.int32) -> np.ndarray:
-    rows = table.filter(pc.equal(table.column("m"), m)).column(column).to_pylist()
-    return np.frombuffer(b"".join(rows), kind)
+def _joined(table: pa.Table, m: int, column: str) -> np.ndarray:
+    return _unpacked_column(table.filter(pc.equal(table.column("m"), m)).column(column).to_pylist(), column)
 
 
 def _longer(chunks: DataFrame, parts: DataFrame, lengths: range, ranges: int) -> DataFrame:
@@ -233,18 +293,18 @@ def _longer(chunks: DataFrame, parts: DataFrame, lengths: range, ranges: int) ->
     return chunks.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(run, ENTRY)
 
 
-def _texts(chunks: DataFrame, frequent: DataFrame, ranges: int) -> DataFrame:
-    """``lang, m, range, texts, counts``: pointers read back as text, packed by fingerprint range; words hold no line end."""
+def _texts(chunks: DataFrame, frequent: DataFrame, groups: int) -> DataFrame:
+    """``lang, m, range, texts, counts``: pointers read back as text, packed by group of ranges; words hold no line end."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
             chunk = _Chunk(left)
+            right = right.set_column(0, "range", pa.array(right.column("range").to_numpy() % groups))
             for m in sorted(set(right.column("m").to_pylist())):
-                places, counts = _joined(right, m, "places"), _joined(right, m, "counts").astype(np.int64)
-                own = _range_of(_joined(right, m, "prints", np.uint64), ranges)
-                order = np.argsort(own, kind="stable")
-                places, counts, own = places[order], counts[order], own[order]
+                of_m = right.filter(pc.equal(right.column("m"), m)).sort_by("range")
+                places, counts = _joined(of_m, m, "places"), _joined(of_m, m, "counts").astype(np.int64)
+                own = np.repeat(of_m.column("range").to_numpy(), of_m.column("size").to_numpy())
                 codes = places[:, None] if m == 1 else chunk.codes[places[:, None] + np.arange(m)]
                 used = np.unique(codes)
                 words = pa.array([chunk.word(c) for c in used.tolist()], pa.binary())
@@ -252,7 +312,8 @@ def _texts(chunks: DataFrame, frequent: DataFrame, ranges: int) -> DataFrame:
                 texts = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if m > 1 else parts[0]
                 cuts = np.flatnonzero(np.diff(own)) + 1
                 for a, z in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(own)]]).tolist()):
-                    rows.append((chunk.lang, m, int(own[a]), b"\n".join(texts[a:z].to_pylist()), counts[a:z].tobytes()))
+                    joined = np.frombuffer(b"\n".join(texts[a:z].to_pylist()), np.uint8)
+                    rows.append((chunk.lang, m, int(own[a]), _packed(joined), _packed(counts[a:z])))
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         columns = zip(*rows) if rows else [[]] * len(kinds)
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["lang", "m", "range", "texts", "counts"])
@@ -262,11 +323,12 @@ def _texts(chunks: DataFrame, frequent: DataFrame, ranges: int) -> DataFrame:
 
 
 def _counted(texts: DataFrame, least: int) -> DataFrame:
-    """``lang, m, phrase, f`` by the text itself; equal texts have equal fingerprints and so one range."""
+    """``lang, m, phrase, f`` by the text itself; equal texts have equal fingerprints and so one range and group."""
 
     def run(table: pa.Table) -> pa.Table:
-        phrases = pc.split_pattern(pa.chunked_array([table.column("texts").combine_chunks().cast(pa.large_string())]), "\n")
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
+        joined = b"\n".join(_unpacked(x, np.uint8).tobytes() for x in table.column("texts").to_pylist())
+        phrases = pc.split_pattern(pa.chunked_array([pa.array([joined], pa.large_binary()).cast(pa.large_string())]), "\n")
+        counts = np.concatenate([_unpacked(x, np.int64) for x in table.column("counts").to_pylist()])
         found = pa.table({"phrase": pc.list_flatten(phrases), "f": pa.array(counts)}).group_by("phrase").aggregate([("f", "sum")])
         found = found.filter(pc.greater_equal(found.column("f_sum"), least))
         return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * found.num_rows, pa.string()),
@@ -278,18 +340,25 @@ def _counted(texts: DataFrame, least: int) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(phrases, sizes)``: ``lang, m, phrase, f`` of phrases of up to ``longest`` words, and ``lang, n`` words."""
+    spark = docs.sparkSession
     chunks = stored(_chunks(docs), "chunks")
     sizes = stored(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     ranges = parts_for(total, RANGE_ENTRIES, 8)
     found = stored(_frequent(_words(chunks, ranges), least), "words")
+    settle(spark)                                               # each step's shuffle files go before the next
     if longest > 1:
         pairs = stored(_frequent(_longer(chunks, found, range(2, 3), ranges), least), "pairs")
+        settle(spark)
         found = found.unionByName(pairs)
         if longest > 2:
             found = found.unionByName(_frequent(_longer(chunks, pairs, range(3, longest + 1), ranges), least))
         found = stored(found, "frequent")
-    return stored(_counted(_texts(chunks, found, ranges), least), "phrases"), sizes
+        settle(spark)
+    groups = parts_for(found.agg(F.sum("size")).first()[0] or 0, RANGE_TEXTS, 8)
+    phrases = stored(_counted(_texts(chunks, found, groups), least), "phrases")
+    settle(spark)
+    return phrases, sizes
 
 
 def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
